@@ -37,7 +37,7 @@ class MixConfig:
     shard_slots: int = 65536
     cells: int = 65536
     #: Documents of a source are dealt into buckets of about so many, for the running sums.
-    bucket_docs: int = 20000
+    bucket_docs: int = 1000
     seed: str = "mix"
 
 

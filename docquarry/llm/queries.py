@@ -43,7 +43,7 @@ WITH sized AS (
     greatest(1, least(256, source_size // 256)) AS block
   FROM opened
 ), plan AS (
-  SELECT *, (source_size + block - 1) // block AS blocks, (source_docs + 19999) // 20000 AS buckets FROM planned
+  SELECT *, (source_size + block - 1) // block AS blocks, (source_docs + 999) // 1000 AS buckets FROM planned
 ), quotas AS (
   SELECT *, CASE WHEN source_size > 0 THEN least(blocks * 2, floor(blocks * target / source_size + 0.5)::BIGINT) ELSE 0 END AS slots,
     [2305843009213693951, 2305843009213693921, 2305843009213693907, 2305843009213693723][((('0x' || md5('mix|' || rank)[1:15])::BIGINT) % 4 + 1)::INT] AS prime,
