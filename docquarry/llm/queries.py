@@ -13,6 +13,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op6_quality_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docquarry.llm.quality import classify
+
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op7_language_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docquarry.llm.language import identify
+
+    return identify(table(spark, sf_dir, "documents"))
+
+
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docquarry.llm.mixing import mix
 
@@ -69,5 +81,9 @@ WITH sized AS (
 SELECT doc_id, size, source_size, target, coalesce(taken, 0)::BIGINT AS taken, source FROM placed LEFT JOIN taken USING (row_no)
 """
 
-QUERIES: dict[str, Query] = {"op10_mix_sources": op10_mix_sources}
+QUERIES: dict[str, Query] = {
+    "op6_quality_neighbours": op6_quality_neighbours,
+    "op7_language_hierarchy": op7_language_hierarchy,
+    "op10_mix_sources": op10_mix_sources,
+}
 ORACLE: dict[str, str] = {"op10_mix_sources": MIX_SQL}
