@@ -25,6 +25,12 @@ def op7_language_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docquarry.llm.linededup import dedup_lines
+
+    return dedup_lines(table(spark, sf_dir, "documents"))
+
+
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docquarry.llm.mixing import mix
 
@@ -81,9 +87,27 @@ WITH sized AS (
 SELECT doc_id, size, source_size, target, coalesce(taken, 0)::BIGINT AS taken, source FROM placed LEFT JOIN taken USING (row_no)
 """
 
+LINE_SQL = r"""
+WITH texts AS (
+  SELECT row_number() OVER () AS row_no, doc_id, coalesce(text, '') AS text FROM documents
+), lines AS (
+  SELECT row_no, doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS ord FROM texts
+), keyed AS (
+  SELECT *, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM lines
+), repeated AS (
+  SELECT key, max(doc_id) AS keeps FROM keyed WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3
+), marked AS (
+  SELECT k.*, r.key IS NOT NULL AND k.doc_id <> r.keeps AS lost FROM keyed k LEFT JOIN repeated r ON k.key = r.key
+)
+SELECT any_value(doc_id) AS doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (WHERE lost)::BIGINT AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY ord) FILTER (WHERE NOT lost), '')) AS kept_sha256
+FROM marked GROUP BY row_no
+"""
+
 QUERIES: dict[str, Query] = {
     "op6_quality_neighbours": op6_quality_neighbours,
     "op7_language_hierarchy": op7_language_hierarchy,
+    "op9_line_dedup": op9_line_dedup,
     "op10_mix_sources": op10_mix_sources,
 }
-ORACLE: dict[str, str] = {"op10_mix_sources": MIX_SQL}
+ORACLE: dict[str, str] = {"op9_line_dedup": LINE_SQL, "op10_mix_sources": MIX_SQL}
