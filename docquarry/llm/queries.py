@@ -13,6 +13,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_simhash_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docquarry.llm.simhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op6_quality_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docquarry.llm.quality import classify
 
@@ -105,6 +111,7 @@ FROM marked GROUP BY row_no
 """
 
 QUERIES: dict[str, Query] = {
+    "op1_simhash_links": op1_simhash_links,
     "op6_quality_neighbours": op6_quality_neighbours,
     "op7_language_hierarchy": op7_language_hierarchy,
     "op9_line_dedup": op9_line_dedup,
