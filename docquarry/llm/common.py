@@ -43,6 +43,10 @@ def materialize(df: DataFrame, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: A stage's output, between two stages.
+rewritten = materialize
+
+
 def release(keep: int = 0) -> None:
     """Delete the written scratch tables, but for the last `keep`. Frames that read the deleted ones become invalid."""
     while len(_WRITTEN) > keep:

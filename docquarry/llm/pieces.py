@@ -31,10 +31,14 @@ from docquarry.llm.common import bounded_batches
 #: A public BPE vocabulary with byte pieces; another model's path can be given instead.
 MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-SEGMENT = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
+#: Letters; what looks like one but counts as a number is left out.
+LETTER = r"[^\W\d_\u00b2\u00b3\u00b9\u2070-\u2089]"
+#: Words, and within them runs of letters and of other characters: what may be told apart depends on the model's pieces.
+WORD = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
+RUN = re.compile(f"{SPACE}*(?:{LETTER}+|(?:(?!{LETTER})[^{SPACE}])+)|{SPACE}+")
 BASE = np.uint64(0x100000001B3)
 #: Words remembered by a Python worker, neighbours of pieces told apart, and the size of what is searched in groups.
-WORDS_KEPT, PAIRS_KEPT, GROUP_LEAST, GROUP_LENGTH = 200_000, 2_000_000, 12, 64
+WORDS_KEPT, PAIRS_KEPT, PAIRS_LOOSE, GROUP_LEAST, GROUP_LENGTH = 400_000, 2_000_000, 20_000, 12, 64
 
 
 @dataclass
@@ -94,9 +98,7 @@ class Searcher:
         self.usable = {p: self.ids[p] for p in usable}
         self.longest = max(map(len, usable), default=1)
         self.least = min(self.table.values(), default=0.0) - 10
-        self.power = [np.uint64(1)]
-        for _ in range(self.longest):
-            self.power.append(self.power[-1] * BASE)
+        self.power = [np.uint64(pow(int(BASE), k, 2**64)) for k in range(self.longest + 1)]
         keys, at = [], []
         for k in range(1, self.longest + 1):
             same = [p for p in usable if len(p) == k]
@@ -108,7 +110,9 @@ class Searcher:
         order = np.argsort(keys)
         self.keys, self.at = keys[order], at[order]
         self.score = np.array(m.scores)
-        self.whole = not any(SPACE in p.lstrip(SPACE) for p in usable)  # words can be told apart at spaces
+        # No merge crosses a place that no piece has inside: texts can be told apart there.
+        self.segment = next((cut for cut in (RUN, WORD) if all(cut.fullmatch(p) for p in usable)), None)
+        self.pairs, self.holds = np.zeros(0, np.int64), np.zeros(0, bool)
 
     @staticmethod
     def salted(h: np.ndarray, length: int) -> np.ndarray:
@@ -138,12 +142,32 @@ class Searcher:
         key = left << 32 | right
         found = self.known.get(key)
         if found is None:
-            if len(self.known) > PAIRS_KEPT:
-                self.known.clear()
             a, b = self.string(left), self.string(right)
             found = self.known[key] = self.merged(a + b) == [a, b]
         return found
 
+    def apart_all(self, pairs: np.ndarray) -> np.ndarray:
+        """`apart` of many pairs of tokens: those found before are in sorted arrays, new ones join them now and then."""
+        if len(self.known) > PAIRS_LOOSE:
+            fresh = np.array(list(self.known), np.int64)
+            holds = np.array(list(self.known.values()), bool)
+            if len(self.pairs) > PAIRS_KEPT:
+                self.pairs, self.holds = self.pairs[:0], self.holds[:0]
+            order = np.argsort(both := np.concatenate([self.pairs, fresh]))
+            self.pairs, self.holds = both[order], np.concatenate([self.holds, holds])[order]
+            self.known.clear()
+        out = np.zeros(len(pairs), bool)
+        rest = np.arange(len(pairs))
+        if len(self.pairs):
+            spot = np.minimum(np.searchsorted(self.pairs, pairs), len(self.pairs) - 1)
+            hit = self.pairs[spot] == pairs
+            out[hit] = self.holds[spot[hit]]
+            rest = np.flatnonzero(~hit)
+        if len(rest):
+            pair, inverse = np.unique(pairs[rest], return_inverse=True)
+            out[rest] = np.array([self.apart(x >> 32, x & 0xFFFFFFFF) for x in pair.tolist()], bool)[inverse]
+        return out
+
     def searched(self, words: list[str]) -> list[tuple[int, ...]]:
         """Paths of words of one length, all at once."""
         n, length = len(words), len(words[0])
@@ -170,9 +194,7 @@ class Searcher:
                 elif i == k:
                     step = np.zeros(len(rows))
                 else:
-                    pair, inverse = np.unique(token[i - k][rows] << 32 | piece, return_inverse=True)
-                    holds = np.array([self.apart(x >> 32, x & 0xFFFFFFFF) for x in pair.tolist()], bool)
-                    step = np.where(holds[inverse], 0.0, -np.inf)
+                    step = np.where(self.apart_all(token[i - k][rows] << 32 | piece), 0.0, -np.inf)
                 score = best[i - k][rows] + step
                 better = score > best[i][rows]
                 rows = rows[better]
@@ -213,7 +235,7 @@ class Searcher:
 
     def final(self, path: tuple[int, ...]) -> tuple[int, ...]:
         """The ids of a path: unknown characters as bytes."""
-        if all(t < self.size for t in path):
+        if max(path) < self.size:
             return path
         out: list[int] = []
         for t in path:
@@ -234,7 +256,7 @@ class Searcher:
             found: list[str] = []
             if text:
                 text = (SPACE if self.model.prefix else "") + text.replace(" ", SPACE)
-                found = SEGMENT.findall(text) if self.whole else [text]
+                found = self.segment.findall(text) if self.segment else [text]
             codes += [index.setdefault(w, len(index)) for w in found]
             counts.append(len(found))
         fresh: dict[int, list[str]] = {}
@@ -248,9 +270,7 @@ class Searcher:
             else:
                 got.update((w, self.final(self.walked(w))) for w in same)
         paths = [self.words[w] if w in self.words else got[w] for w in index]
-        if len(self.words) + len(got) > WORDS_KEPT:
-            self.words.clear()
-        if len(got) <= WORDS_KEPT:
+        if len(self.words) < WORDS_KEPT:  # the first words seen are the frequent ones
             self.words.update((w, p) for w, p in got.items() if len(w) <= GROUP_LENGTH)
         ids = np.array([t for p in paths for t in p], np.int32)
         ends = np.concatenate([[0], np.cumsum([len(p) for p in paths], dtype=np.int64)]) if paths else np.zeros(1, np.int64)

@@ -19,6 +19,12 @@ def op1_simhash_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_piece_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docquarry.llm.pieces import round_trip
+
+    return round_trip(table(spark, sf_dir, "documents"))
+
+
 def op6_quality_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docquarry.llm.quality import classify
 
@@ -43,6 +49,12 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpus_pipeline import run
+
+    return run(spark, sf_dir)
+
+
 MIX_SQL = r"""
 WITH sized AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents
@@ -112,9 +124,11 @@ FROM marked GROUP BY row_no
 
 QUERIES: dict[str, Query] = {
     "op1_simhash_links": op1_simhash_links,
+    "op5_piece_round_trip": op5_piece_round_trip,
     "op6_quality_neighbours": op6_quality_neighbours,
     "op7_language_hierarchy": op7_language_hierarchy,
     "op9_line_dedup": op9_line_dedup,
     "op10_mix_sources": op10_mix_sources,
+    "pipeline": pipeline,
 }
 ORACLE: dict[str, str] = {"op9_line_dedup": LINE_SQL, "op10_mix_sources": MIX_SQL}
