@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docquarry.llm.blooms import suspected, twice_seen
 from docquarry.llm.common import bounded_batches, materialize
 
 
@@ -52,12 +53,6 @@ def digests(text: bytes | None, least: int) -> set[bytes]:
     return {digest(key) for line in (text or b"").split(b"\n") if (key := key_of(line, least)) is not None}
 
 
-def places(keys: list[bytes], bits: int) -> np.ndarray:
-    """Two bit positions of each digest."""
-    words = np.frombuffer(b"".join(keys), np.uint64).reshape(-1, 2)
-    return (words & np.uint64(bits - 1)).astype(np.int64)
-
-
 def whole_id() -> Column:
     """doc_id with a value in place of null, so that it can be compared and joined."""
     return F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("__id")
@@ -68,48 +63,11 @@ def narrow(docs: DataFrame) -> DataFrame:
     return docs.select(whole_id(), F.col("text").cast("binary").alias("__text"))
 
 
-def twice_seen(docs: DataFrame, config: LineConfig = LineConfig()) -> np.ndarray:
-    """The second filter, as bytes of eight bits. Tasks send slices of both filters; a slice's are merged in one stream."""
-    bits, slices, least = config.bits, config.slices, config.least_chars
-
-    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(bits, np.uint8)
-        for batch in batches:
-            keys = [d for text in batch.column(1).to_pylist() for d in digests(text, least)]
-            if keys:
-                at, n = np.unique(places(keys, bits).ravel(), return_counts=True)
-                seen[at] = np.minimum(2, seen[at] + np.minimum(n, 2))
-        once, twice = np.packbits(seen > 0).reshape(slices, -1), np.packbits(seen > 1).reshape(slices, -1)
-        some = np.flatnonzero(once.any(1))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(some, pa.int32()), pa.array([once[k].tobytes() for k in some], pa.binary()), pa.array([twice[k].tobytes() for k in some], pa.binary())], ["slice", "once", "twice"]
-        )
-
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        for batch in batches:
-            for k, one, two in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                one, two = np.frombuffer(one, np.uint8), np.frombuffer(two, np.uint8)
-                if k in held:
-                    had, hit = held[k]
-                    two = hit | two | (had & one)
-                    one = had | one
-                held[k] = one, two
-        ks = list(held)
-        yield pa.RecordBatch.from_arrays([pa.array(ks, pa.int32()), pa.array([held[k][0].tobytes() for k in ks], pa.binary()), pa.array([held[k][1].tobytes() for k in ks], pa.binary())], ["slice", "once", "twice"])
-
-    kind = "slice int, once binary, twice binary"
-    parts = narrow(docs).mapInArrow(fill, kind).repartition(slices, "slice").mapInArrow(merge, kind)
-    out = np.zeros((slices, bits // 8 // slices), np.uint8)
-    for row in parts.select("slice", "twice").toLocalIterator():  # never more than the filter's own bytes
-        out[row["slice"]] = np.frombuffer(row["twice"], np.uint8)
-    return out.ravel()
-
-
 def drops(docs: DataFrame, config: LineConfig = LineConfig()) -> DataFrame:
     """__id and __drop: for each document that loses lines, the digests of their keys."""
     bits, least = config.bits, config.least_chars
-    shared = docs.sparkSession.sparkContext.broadcast(twice_seen(docs, config))
+    twice = twice_seen(narrow(docs), 1, lambda text: digests(text, least), bits, config.slices)
+    shared = docs.sparkSession.sparkContext.broadcast(twice)
 
     def suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         twice = shared.value
@@ -121,8 +79,7 @@ def drops(docs: DataFrame, config: LineConfig = LineConfig()) -> DataFrame:
                 owners += [own] * len(found)
             if not keys:
                 continue
-            at = places(keys, bits)
-            hit = np.flatnonzero(((twice[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).all(1))
+            hit = np.flatnonzero(suspected(keys, twice, bits))
             yield pa.RecordBatch.from_arrays([pa.array([owners[k] for k in hit], pa.int64()), pa.array([keys[k] for k in hit], pa.binary())], ["__id", "__key"])
 
     found = materialize(narrow(docs).mapInArrow(suspects, "__id long, __key binary"))

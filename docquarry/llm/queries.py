@@ -19,6 +19,12 @@ def op1_simhash_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docquarry.llm.media import media_column
+
+    return media_column(table(spark, sf_dir, "documents"))
+
+
 def op5_piece_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docquarry.llm.pieces import round_trip
 
@@ -37,6 +43,12 @@ def op7_language_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
 
+def op8_multiset_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docquarry.llm.fingerprint import edited
+
+    return edited(table(spark, sf_dir, "documents"))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docquarry.llm.linededup import dedup_lines
 
@@ -124,9 +136,11 @@ FROM marked GROUP BY row_no
 
 QUERIES: dict[str, Query] = {
     "op1_simhash_links": op1_simhash_links,
+    "op2_media_chunks": op2_media_chunks,
     "op5_piece_round_trip": op5_piece_round_trip,
     "op6_quality_neighbours": op6_quality_neighbours,
     "op7_language_hierarchy": op7_language_hierarchy,
+    "op8_multiset_fingerprints": op8_multiset_fingerprints,
     "op9_line_dedup": op9_line_dedup,
     "op10_mix_sources": op10_mix_sources,
     "pipeline": pipeline,
