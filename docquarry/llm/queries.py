@@ -25,6 +25,18 @@ def op2_media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_column(table(spark, sf_dir, "documents"))
 
 
+def op3_preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docquarry.llm.preferences import digests, preferences
+
+    return digests(preferences(table(spark, sf_dir, "conversations")))
+
+
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docquarry.llm.secrets import scan
+
+    return scan(table(spark, sf_dir, "documents")).drop("literals")
+
+
 def op5_piece_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docquarry.llm.pieces import round_trip
 
@@ -134,9 +146,53 @@ SELECT any_value(doc_id) AS doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER
 FROM marked GROUP BY row_no
 """
 
+PREFERENCE_SQL = """
+WITH given AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+), talks AS (
+  SELECT conv_id, list({'role': role, 'text': text} ORDER BY turn NULLS FIRST, role, text) AS turns FROM given GROUP BY conv_id
+), known AS (
+  SELECT *, CASE WHEN list_position(list_transform(turns, lambda t: t.role), 'user') > 0
+      THEN turns[1:list_position(list_transform(turns, lambda t: t.role), 'user')] ELSE turns END AS opening,
+    coalesce(list_sum(list_transform(turns, lambda t: CASE WHEN t.role = 'assistant' THEN length(t.text) ELSE 0 END)), 0) AS said,
+    list_max(list_transform(range(1, len(turns) + 1), lambda i: CASE WHEN turns[i].role = 'assistant' THEN i END)) AS last
+  FROM talks
+), chained AS (
+  SELECT conv_id, turns, said, lead(conv_id) OVER w AS other_id, lead(turns) OVER w AS other, lead(said) OVER w AS other_said
+  FROM known WINDOW w AS (PARTITION BY opening ORDER BY conv_id NULLS FIRST)
+), pairs AS (
+  SELECT 'prompt' AS source, CASE WHEN other_said > said THEN other_id ELSE conv_id END AS chosen_id, CASE WHEN other_said > said THEN conv_id ELSE other_id END AS rejected_id,
+    CASE WHEN other_said > said THEN other ELSE turns END AS a, CASE WHEN other_said > said THEN turns ELSE other END AS b
+  FROM chained WHERE other IS NOT NULL
+  UNION ALL
+  SELECT 'stale', conv_id, conv_id, turns[1:last], list_append(turns[1:last - 1], {'role': 'assistant', 'text': coalesce(
+      list_filter(turns[1:last - 1], lambda t: t.role = 'assistant')[-1].text, list_filter(turns[1:last - 1], lambda t: t.role = 'user')[-1].text, '')})
+  FROM known WHERE last IS NOT NULL
+), cut AS (
+  SELECT *, coalesce(list_min(list_transform(range(1, least(len(a), len(b)) + 1), lambda i: CASE WHEN a[i] <> b[i] THEN i END)) - 1, least(len(a), len(b))) AS n FROM pairs
+), parts AS (
+  SELECT source, chosen_id, rejected_id, n, a[1:n] AS p, a[n + 1:] AS x, b[n + 1:] AS y FROM cut
+), lined AS (
+  SELECT *, list_transform(p, lambda t: '<|' || t.role || '|>' || chr(10) || t.text || '<|end|>' || chr(10)) AS ps,
+    list_transform(x, lambda t: '<|' || t.role || '|>' || chr(10) || t.text || '<|end|>' || chr(10)) AS xs,
+    list_transform(y, lambda t: '<|' || t.role || '|>' || chr(10) || t.text || '<|end|>' || chr(10)) AS ys
+  FROM parts
+)
+SELECT source, chosen_id, rejected_id, n::BIGINT AS prompt_turns, sha256(array_to_string(ps, '')) AS prompt_sha256,
+  sha256(array_to_string(xs, '')) AS chosen_sha256, sha256(array_to_string(ys, '')) AS rejected_sha256,
+  array_to_string(list_transform(list_filter(range(1, len(x) + 1), lambda i: x[i].role = 'assistant'), lambda i:
+    (length(array_to_string(xs[1:i], '')) - length(x[i].text) - 8)::VARCHAR || ':' || length(array_to_string(xs[1:i], ''))::VARCHAR), ',') AS chosen_mask,
+  array_to_string(list_transform(list_filter(range(1, len(y) + 1), lambda i: y[i].role = 'assistant'), lambda i:
+    (length(array_to_string(ys[1:i], '')) - length(y[i].text) - 8)::VARCHAR || ':' || length(array_to_string(ys[1:i], ''))::VARCHAR), ',') AS rejected_mask,
+  len(x) > 0 OR len(y) > 0 AS differs
+FROM lined
+"""
+
 QUERIES: dict[str, Query] = {
     "op1_simhash_links": op1_simhash_links,
     "op2_media_chunks": op2_media_chunks,
+    "op3_preference_pairs": op3_preference_pairs,
+    "op4_secret_scan": op4_secret_scan,
     "op5_piece_round_trip": op5_piece_round_trip,
     "op6_quality_neighbours": op6_quality_neighbours,
     "op7_language_hierarchy": op7_language_hierarchy,
@@ -145,4 +201,4 @@ QUERIES: dict[str, Query] = {
     "op10_mix_sources": op10_mix_sources,
     "pipeline": pipeline,
 }
-ORACLE: dict[str, str] = {"op9_line_dedup": LINE_SQL, "op10_mix_sources": MIX_SQL}
+ORACLE: dict[str, str] = {"op3_preference_pairs": PREFERENCE_SQL, "op9_line_dedup": LINE_SQL, "op10_mix_sources": MIX_SQL}
