@@ -1,0 +1,237 @@
+"""Tables: HTML to a rectangular grid, shape, text forms. A table is one value, so these are functions of one table, and Arrow functions over columns of them."""
+
+from __future__ import annotations
+
+import re
+from dataclasses import dataclass, field
+from html.parser import HTMLParser
+
+import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType, DoubleType, IntegerType, StringType, StructField, StructType
+
+#: What a label is, what a number is, and where shapes begin.
+LABEL_CHARS, NUMERIC_SHARE, NUMERIC_BODY = 40, 0.6, 0.55
+NUMERIC = re.compile(r"[\d.,%￥$¥+-]")
+MODEL = StructType(
+    [
+        StructField("grid", ArrayType(ArrayType(StringType()))), StructField("header_cells", IntegerType()), StructField("nested", BooleanType()), StructField("status", StringType()),
+        StructField("kind", StringType()), StructField("confidence", DoubleType()), StructField("rows", IntegerType()), StructField("columns", IntegerType()),
+    ]
+)
+
+
+@dataclass
+class Grid:
+    """The cells of a table, spans filled with what they cover."""
+
+    rows: list[list[str]] = field(default_factory=list)
+    headers: int = 0
+    nested: bool = False
+    status: str = "ok"
+
+
+class Reader(HTMLParser):
+    """Collects the cells of the first table; tables within it are text of their cell and make it nested."""
+
+    def __init__(self) -> None:
+        super().__init__(convert_charrefs=True)
+        self.depth, self.nested, self.found, self.headers = 0, False, False, 0
+        self.rows: list[list[tuple[str, int, int]]] = []
+        self.cell: list[str] | None = None
+        self.spans = (1, 1)
+
+    @staticmethod
+    def span(attrs: dict[str, str | None], name: str) -> int:
+        value = (attrs.get(name) or "1").strip()
+        return max(1, int(value)) if value.isdigit() else 1
+
+    def close_cell(self) -> None:
+        if self.cell is not None:
+            self.rows[-1].append((" ".join("".join(self.cell).split()), *self.spans))
+            self.cell = None
+
+    def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        if tag == "table":
+            self.depth += 1
+            self.nested |= self.depth > 1
+            self.found = True
+        elif self.depth == 1 and tag == "tr":
+            self.close_cell()
+            self.rows.append([])
+        elif self.depth == 1 and tag in ("td", "th"):
+            self.close_cell()
+            if not self.rows:
+                self.rows.append([])
+            values = dict(attrs)
+            self.cell, self.spans = [], (self.span(values, "rowspan"), self.span(values, "colspan"))
+            self.headers += tag == "th"
+        elif self.cell is not None and tag in ("br", "p", "div", "li"):
+            self.cell.append(" ")
+
+    def handle_endtag(self, tag: str) -> None:
+        if tag == "table":
+            if self.depth == 1:
+                self.close_cell()
+            self.depth = max(0, self.depth - 1)
+        elif self.depth == 1 and tag in ("td", "th", "tr"):
+            self.close_cell()
+
+    def handle_data(self, data: str) -> None:
+        if self.cell is not None:
+            self.cell.append(data)
+
+
+def from_html(html: str) -> Grid:
+    """The grid of the first table in the text. A cell's text fills all it spans; later cells go to the next free place."""
+    reader = Reader()
+    reader.feed(html)
+    reader.close()
+    reader.close_cell()
+    if not reader.found:
+        return Grid(status="invalid_html")
+    filled: dict[tuple[int, int], str] = {}
+    for r, row in enumerate(reader.rows):
+        c = 0
+        for text, down, across in row:
+            while (r, c) in filled:
+                c += 1
+            for dr in range(min(down, len(reader.rows) - r)):
+                for dc in range(across):
+                    filled.setdefault((r + dr, c + dc), text)
+            c += across
+    if not filled:
+        return Grid(headers=reader.headers, nested=reader.nested, status="empty")
+    width = max(c for _, c in filled) + 1
+    grid = [[filled.get((r, c), "") for c in range(width)] for r in range(len(reader.rows))]
+    return Grid(grid, reader.headers, reader.nested)
+
+
+def from_rows(rows: list[list[str]]) -> Grid:
+    """Ragged rows, padded."""
+    width = max(map(len, rows), default=0)
+    return Grid([[*map(str, row), *[""] * (width - len(row))] for row in rows], status="ok" if width else "empty")
+
+
+def from_text(text: str) -> Grid:
+    """Lines with cells between tabs, or else between bars."""
+    lines = [x for x in text.splitlines() if x.strip()]
+    return from_rows([[c.strip() for c in (x.split("\t") if "\t" in x else re.split(r"\s*\|\s*", x.strip().strip("|")))] for x in lines])
+
+
+def mostly_numeric(text: str) -> bool:
+    solid = "".join(text.split())
+    return bool(solid) and len(NUMERIC.findall(solid)) / len(solid) >= NUMERIC_SHARE
+
+
+def label_like(text: str) -> bool:
+    return 0 < len(text.strip()) <= LABEL_CHARS and not mostly_numeric(text)
+
+
+def section_rows(grid: list[list[str]]) -> list[int]:
+    """Rows with one text only, short, over a row that is clearly longer."""
+    out = []
+    for i, row in enumerate(grid[:-1]):
+        texts = {c for c in row if c.strip()}
+        if len(texts) == 1 and len(row) > 1:
+            own = len(next(iter(texts)))
+            below = sum(len(c) for c in dict.fromkeys(grid[i + 1]))
+            if own <= LABEL_CHARS and below > max(12, 1.5 * own) and len({c for c in grid[i + 1] if c.strip()}) > 1:
+                out.append(i)
+    return out
+
+
+def pair_rows(grid: list[list[str]]) -> list[int]:
+    """Rows that alternate labels and values."""
+    out = []
+    for i, row in enumerate(grid):
+        cells = [c for c in row if c.strip()]
+        if len(cells) >= 2 and len(cells) % 2 == 0 and all(label_like(c) for c in cells[::2]) and any(len(b) > len(a) or mostly_numeric(b) for a, b in zip(cells[::2], cells[1::2], strict=True)):
+            out.append(i)
+    return out
+
+
+def numeric_body(grid: list[list[str]]) -> float:
+    cells = [c for row in grid[1:] for c in row[1:] if c.strip()]
+    return sum(map(mostly_numeric, cells)) / len(cells) if cells else 0.0
+
+
+def shape(model: Grid) -> tuple[str, float]:
+    """The kind of table and how sure that is; the first that fits."""
+    grid = model.rows
+    if model.nested or not grid:
+        return "complex", 0.45 if model.nested else 0.0
+    sections, keyed = section_rows(grid), pair_rows(grid)
+    if sections and keyed:
+        return "sectioned_key_value", 0.95 if len(keyed) + len(sections) >= len(grid) - 1 else 0.82
+    widths = {sum(bool(c.strip()) for c in row) for row in grid}
+    stable = len(widths) == 1 and min(widths) > 1
+    if stable and len(grid[0]) >= 3 and len(grid) >= 2 and numeric_body(grid) >= NUMERIC_BODY:
+        return "matrix", 0.86
+    if stable and len(grid) >= 2 and all(label_like(c) for c in grid[0]) and len(grid[0]) > 2:
+        return "record_table", 0.9 if model.headers else 0.72
+    if len(keyed) * 2 >= len(grid):
+        return "key_value", 0.78
+    if stable and len(grid) >= 2:
+        return "record_table", 0.9 if model.headers else 0.72
+    return "complex", 0.5
+
+
+def linearize(grid: list[list[str]], captions: list[str] | None = None, notes: list[str] | None = None) -> str:
+    lines = [f"表题：{'；'.join(captions)}"] if captions else []
+    lines += ["\t".join(row) for row in grid]
+    return "\n".join(lines + ([f"表注：{'；'.join(notes)}"] if notes else []))
+
+
+def units(model: Grid) -> list[str]:
+    """The texts that a table is searched by: rows under their header, pairs under their section and the first pair."""
+    kind, _ = shape(model)
+    grid, out = model.rows, []
+    if kind in ("record_table", "matrix"):
+        out = ["\n".join(("\t".join(grid[0]), "; ".join(f"{h}: {c}" for h, c in zip(grid[0], row, strict=True) if c))) for row in grid[1:]]
+    elif kind in ("key_value", "sectioned_key_value"):
+        section, anchor = "", ""
+        sections = set(section_rows(grid))
+        for i, row in enumerate(grid):
+            cells = list(dict.fromkeys(c for c in row if c.strip()))
+            if i in sections:
+                section = cells[0]
+                continue
+            text = "; ".join(f"{a}: {b}" for a, b in zip(cells[::2], cells[1::2], strict=False)) or " ".join(cells)
+            out.append("\n".join(x for x in (anchor, section, text) if x))
+            anchor = anchor or text
+    else:
+        out = ["\t".join(row) for row in grid if any(c.strip() for c in row)]
+    return list(dict.fromkeys(x for x in out if x.strip()))
+
+
+@F.pandas_udf(MODEL)
+def table_model(html: pd.Series) -> pd.DataFrame:
+    rows = []
+    for text in html:
+        g = from_html(text or "")
+        kind, sure = shape(g)
+        rows.append((g.rows, g.headers, g.nested, g.status, kind, sure, len(g.rows), len(g.rows[0]) if g.rows else 0))
+    return pd.DataFrame(rows, columns=[f.name for f in MODEL])
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def table_units(html: pd.Series) -> pd.Series:
+    return html.map(lambda text: units(from_html(text or "")))
+
+
+def linear_text(grid: Column | str) -> Column:
+    """A grid as lines of cells between tabs."""
+    return F.array_join(F.transform(grid, lambda row: F.array_join(row, "\t")), "\n")
+
+
+def padded(rows: Column | str) -> Column:
+    """Ragged rows of equal length, within the JVM."""
+    width = F.array_max(F.transform(rows, F.size))
+    return F.transform(rows, lambda r: F.concat(r, F.array_repeat(F.lit(""), width - F.size(r))))
+
+
+def numeric_share(cell: Column | str) -> Column:
+    """Of the characters that aren't white space, those of numbers."""
+    return F.regexp_count(cell, F.lit(r"[0-9.,%\x{ffe5}$\x{a5}+-]")) / F.greatest(F.regexp_count(cell, F.lit(r"\S")), F.lit(1))
