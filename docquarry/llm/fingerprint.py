@@ -156,18 +156,18 @@ def edited(docs: DataFrame) -> DataFrame:
         return pd.Series(np.searchsorted(cuts, ids.fillna(-(2**63)).to_numpy(np.int64), "right").astype(np.int32))
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    given = docs.select("doc_id", F.col("text").cast("binary").alias("__text"), range_of(F.col("doc_id").cast("long")).alias("__range"))
-    heads = docs.select(F.struct(F.col("doc_id").isNotNull(), "doc_id").alias("__key"), range_of(F.col("doc_id").cast("long")).alias("__range")).groupBy("__range").agg(F.min("__key")["doc_id"].alias("__head")).collect()  # a row for each range
-    filled = sorted(r["__range"] for r in heads)
-    head = {r["__range"]: r["__head"] for r in heads}
+    given = docs.select("doc_id", F.col("text").cast("binary").alias("__dq_text"), range_of(F.col("doc_id").cast("long")).alias("__dq_range"))
+    heads = docs.select(F.struct(F.col("doc_id").isNotNull(), "doc_id").alias("__dq_key"), range_of(F.col("doc_id").cast("long")).alias("__dq_range")).groupBy("__dq_range").agg(F.min("__dq_key")["doc_id"].alias("__dq_head")).collect()  # a row for each range
+    filled = sorted(r["__dq_range"] for r in heads)
+    head = {r["__dq_range"]: r["__dq_head"] for r in heads}
     before = {head[b]: a for a, b in zip([filled[-1], *filled[:-1]], filled, strict=True)} if heads else {}
-    owners = spark.createDataFrame([(k, v) for k, v in before.items()], f"__head {kind}, __before int")
+    owners = spark.createDataFrame([(k, v) for k, v in before.items()], f"__dq_head {kind}, __dq_before int")
     # the head of each range, once more, behind the range before it; the first head ends the last range
-    texts = docs.select(F.col("doc_id").alias("__head_id"), F.col("text").cast("binary").alias("__text"))
-    guard = texts.join(F.broadcast(owners), texts["__head_id"].eqNullSafe(owners["__head"]))  # RANGES rows at most
-    guard = guard.groupBy("__before").agg(F.min_by("__text", F.struct(F.coalesce("__text", F.lit(b"")))).alias("__text"))
-    rows = given.withColumn("__last", F.lit(False)).unionByName(guard.select(F.lit(None).cast(kind).alias("doc_id"), "__text", F.col("__before").alias("__range"), F.lit(True).alias("__last")))
-    ordered = rows.repartition("__range").sortWithinPartitions("__range", "__last", F.col("doc_id").asc_nulls_first(), F.coalesce("__text", F.lit(b"")))
+    texts = docs.select(F.col("doc_id").alias("__dq_head_id"), F.col("text").cast("binary").alias("__dq_text"))
+    guard = texts.join(F.broadcast(owners), texts["__dq_head_id"].eqNullSafe(owners["__dq_head"]))  # RANGES rows at most
+    guard = guard.groupBy("__dq_before").agg(F.min_by("__dq_text", F.struct(F.coalesce("__dq_text", F.lit(b"")))).alias("__dq_text"))
+    rows = given.withColumn("__dq_last", F.lit(False)).unionByName(guard.select(F.lit(None).cast(kind).alias("doc_id"), "__dq_text", F.col("__dq_before").alias("__dq_range"), F.lit(True).alias("__dq_last")))
+    ordered = rows.repartition("__dq_range").sortWithinPartitions("__dq_range", "__dq_last", F.col("doc_id").asc_nulls_first(), F.coalesce("__dq_text", F.lit(b"")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple | None = None

@@ -122,13 +122,13 @@ def held_out() -> Column:
 def fit(docs: DataFrame, config: LanguageConfig = LanguageConfig()) -> LanguageModel | None:
     """Learn from the rows that aren't held out. Null where no row has a label."""
     pool = docs.filter(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang")
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("__h", "doc_id"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("__dq_h", "doc_id"))
     # a few hashes' worth of rows for each language and part of the input, then the smallest of them all
-    dealt = pool.withColumn("__h", F.xxhash64("doc_id")).withColumn("__part", F.pmod("__h", F.lit(997)))
-    near = dealt.withColumn("__r", F.row_number().over(Window.partitionBy("lang", "__part").orderBy("__h", "doc_id"))).filter(F.col("__r") <= config.sample)
-    ids = near.withColumn("__r", rank).filter(F.col("__r") <= config.sample).select(F.col("doc_id").alias("__id"), F.col("lang").alias("__lang"), "__r")
-    ids = ids.orderBy("__r", "__lang").limit(config.sample * config.languages).dropDuplicates(["__id"])  # so many rows at most: small enough to broadcast
-    picked = docs.join(F.broadcast(ids), (docs["doc_id"] == ids["__id"]) & (docs["lang"] == ids["__lang"])).select("doc_id", "lang", docs["text"].cast("binary").alias("text"))
+    dealt = pool.withColumn("__dq_h", F.xxhash64("doc_id")).withColumn("__dq_part", F.pmod("__dq_h", F.lit(997)))
+    near = dealt.withColumn("__dq_r", F.row_number().over(Window.partitionBy("lang", "__dq_part").orderBy("__dq_h", "doc_id"))).filter(F.col("__dq_r") <= config.sample)
+    ids = near.withColumn("__dq_r", rank).filter(F.col("__dq_r") <= config.sample).select(F.col("doc_id").alias("__dq_id"), F.col("lang").alias("__dq_lang"), "__dq_r")
+    ids = ids.orderBy("__dq_r", "__dq_lang").limit(config.sample * config.languages).dropDuplicates(["__dq_id"])  # so many rows at most: small enough to broadcast
+    picked = docs.join(F.broadcast(ids), (docs["doc_id"] == ids["__dq_id"]) & (docs["lang"] == ids["__dq_lang"])).select("doc_id", "lang", docs["text"].cast("binary").alias("text"))
     bits = config.bits
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,5 +210,5 @@ def identify(docs: DataFrame, config: LanguageConfig = LanguageConfig()) -> Data
 
 def accepted(docs: DataFrame, config: LanguageConfig = LanguageConfig(), least: float = 0.0) -> DataFrame:
     """The rows of `docs` whose language is recognised: not `und`, and with a score of `least` or more."""
-    out = predict(docs, fit(docs, config), *docs.columns, names=("__lang", "__sure"))
-    return out.filter((F.col("__lang") != UNKNOWN) & (F.col("__sure") >= least)).select(*docs.columns)
+    out = predict(docs, fit(docs, config), *docs.columns, names=("__dq_lang", "__dq_sure"))
+    return out.filter((F.col("__dq_lang") != UNKNOWN) & (F.col("__dq_sure") >= least)).select(*docs.columns)

@@ -9,7 +9,7 @@ the shuffle when other keys happen to share its bits, which costs time and chang
 Defined cases: a null or empty text is one empty line; white space is ASCII only; rows that share a doc_id count as
 one document and are treated alike; all rows of a null doc_id count as one document, smaller than any other; an empty
 table gives an empty result. `dedup_lines` reads doc_id and text only; `drop_lines` keeps the other columns as they
-are, whatever their names (names that begin with two underscores are its own).
+are, whatever their names (names that begin with __dq_ are its own).
 """
 
 from __future__ import annotations
@@ -55,16 +55,16 @@ def digests(text: bytes | None, least: int) -> set[bytes]:
 
 def whole_id() -> Column:
     """doc_id with a value in place of null, so that it can be compared and joined."""
-    return F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("__id")
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("__dq_id")
 
 
 def narrow(docs: DataFrame) -> DataFrame:
     bounded_batches(docs.sparkSession)
-    return docs.select(whole_id(), F.col("text").cast("binary").alias("__text"))
+    return docs.select(whole_id(), F.col("text").cast("binary").alias("__dq_text"))
 
 
 def drops(docs: DataFrame, config: LineConfig = LineConfig()) -> DataFrame:
-    """__id and __drop: for each document that loses lines, the digests of their keys."""
+    """__dq_id and __dq_drop: for each document that loses lines, the digests of their keys."""
     bits, least = config.bits, config.least_chars
     twice = twice_seen(narrow(docs), 1, lambda text: digests(text, least), bits, config.slices)
     shared = docs.sparkSession.sparkContext.broadcast(twice)
@@ -80,12 +80,12 @@ def drops(docs: DataFrame, config: LineConfig = LineConfig()) -> DataFrame:
             if not keys:
                 continue
             hit = np.flatnonzero(suspected(keys, twice, bits))
-            yield pa.RecordBatch.from_arrays([pa.array([owners[k] for k in hit], pa.int64()), pa.array([keys[k] for k in hit], pa.binary())], ["__id", "__key"])
+            yield pa.RecordBatch.from_arrays([pa.array([owners[k] for k in hit], pa.int64()), pa.array([keys[k] for k in hit], pa.binary())], ["__dq_id", "__dq_key"])
 
-    found = materialize(narrow(docs).mapInArrow(suspects, "__id long, __key binary"))
-    repeated = found.groupBy("__key").agg(F.count_distinct("__id").alias("__docs"), F.max("__id").alias("__keeps")).filter(F.col("__docs") >= config.least_docs)
-    lost = found.join(repeated, "__key").filter(F.col("__id") != F.col("__keeps"))
-    return lost.groupBy("__id").agg(F.collect_set("__key").alias("__drop"))
+    found = materialize(narrow(docs).mapInArrow(suspects, "__dq_id long, __dq_key binary"))
+    repeated = found.groupBy("__dq_key").agg(F.count_distinct("__dq_id").alias("__dq_docs"), F.max("__dq_id").alias("__dq_keeps")).filter(F.col("__dq_docs") >= config.least_docs)
+    lost = found.join(repeated, "__dq_key").filter(F.col("__dq_id") != F.col("__dq_keeps"))
+    return lost.groupBy("__dq_id").agg(F.collect_set("__dq_key").alias("__dq_drop"))
 
 
 def cut(text: bytes | None, lost: set[bytes], least: int) -> tuple[int, int, bytes]:
@@ -102,7 +102,7 @@ def dedup_lines(docs: DataFrame, config: LineConfig = LineConfig()) -> DataFrame
     """doc_id, n_lines, n_dropped, kept_sha256 of every document."""
     least = config.least_chars
     bounded_batches(docs.sparkSession)
-    both = docs.select("doc_id", whole_id(), F.col("text").cast("binary").alias("__text")).join(drops(docs, config), "__id", "left").select("doc_id", "__text", "__drop")
+    both = docs.select("doc_id", whole_id(), F.col("text").cast("binary").alias("__dq_text")).join(drops(docs, config), "__dq_id", "left").select("doc_id", "__dq_text", "__dq_drop")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -117,7 +117,7 @@ def drop_lines(docs: DataFrame, config: LineConfig = LineConfig()) -> DataFrame:
     """The rows of `docs` without the dropped lines; n_chars, where there is one, follows the text. A null text stays null."""
     least = config.least_chars
     names = docs.columns
-    both = docs.withColumn("__id", whole_id()).join(drops(docs, config), "__id", "left").select(*names, "__drop")
+    both = docs.withColumn("__dq_id", whole_id()).join(drops(docs, config), "__dq_id", "left").select(*names, "__dq_drop")
     spot = names.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -174,15 +174,15 @@ def mix_documents(docs: DataFrame, config: MixConfig = MixConfig()) -> DataFrame
     same = Window.partitionBy("doc_id")
     places = materialize(placed(sizes, plan, config).withColumn("copy", F.row_number().over(same.orderBy(F.col("source").asc_nulls_last(), "size", "start"))))
     ranges = taken_ranges(places, plan, config)
-    passes = ranges.groupBy("rank", "start").agg(F.sort_array(F.collect_list(F.struct("lo", "hi", "times"))).alias("__ranges"))
-    chosen = places.filter("size > 0").join(passes, ["rank", "start"]).select(F.col("doc_id").alias("__id"), F.col("copy").alias("__copy"), "__ranges")
-    texts = docs.withColumn("__size", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)))
-    texts = texts.withColumn("__copy", F.row_number().over(same.orderBy(F.col("source").asc_nulls_last(), "__size")))
-    both = texts.join(chosen, texts["doc_id"].eqNullSafe(chosen["__id"]) & (texts["__copy"] == chosen["__copy"])).drop(chosen["__copy"])
-    both = both.withColumn("__words", F.regexp_extract_all("text", F.lit(f"{WORD}[{SPACE_CLASS}]*"), F.lit(0)))
-    both = both.withColumn("__pass", F.explode(F.array(*[F.lit(k) for k in range(1, config.cap + 1)])))
-    both = both.withColumn("__ranges", F.filter("__ranges", lambda r: r["times"] >= F.col("__pass"))).filter(F.size("__ranges") > 0)
-    text = F.array_join(F.flatten(F.transform("__ranges", lambda r: F.slice("__words", (r["lo"] + 1).cast("int"), (r["hi"] - r["lo"]).cast("int")))), "")
+    passes = ranges.groupBy("rank", "start").agg(F.sort_array(F.collect_list(F.struct("lo", "hi", "times"))).alias("__dq_ranges"))
+    chosen = places.filter("size > 0").join(passes, ["rank", "start"]).select(F.col("doc_id").alias("__dq_id"), F.col("copy").alias("__dq_copy"), "__dq_ranges")
+    texts = docs.withColumn("__dq_size", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)))
+    texts = texts.withColumn("__dq_copy", F.row_number().over(same.orderBy(F.col("source").asc_nulls_last(), "__dq_size")))
+    both = texts.join(chosen, texts["doc_id"].eqNullSafe(chosen["__dq_id"]) & (texts["__dq_copy"] == chosen["__dq_copy"])).drop(chosen["__dq_copy"])
+    both = both.withColumn("__dq_words", F.regexp_extract_all("text", F.lit(f"{WORD}[{SPACE_CLASS}]*"), F.lit(0)))
+    both = both.withColumn("__dq_pass", F.explode(F.array(*[F.lit(k) for k in range(1, config.cap + 1)])))
+    both = both.withColumn("__dq_ranges", F.filter("__dq_ranges", lambda r: r["times"] >= F.col("__dq_pass"))).filter(F.size("__dq_ranges") > 0)
+    text = F.array_join(F.flatten(F.transform("__dq_ranges", lambda r: F.slice("__dq_words", (r["lo"] + 1).cast("int"), (r["hi"] - r["lo"]).cast("int")))), "")
     both = both.withColumn("text", text)
     if "n_chars" in docs.columns:
         both = both.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))

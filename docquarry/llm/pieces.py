@@ -340,7 +340,7 @@ def encode(docs: DataFrame, keep: list[str], model: PieceModel | None = None) ->
                 counts = pa.array(np.diff(ends), pa.int64(), mask=gone.to_numpy(zero_copy_only=False))
                 yield pa.RecordBatch.from_arrays([*(c.slice(lo, hi - lo) for c in batch.columns[: len(keep)]), counts, lists], [*keep, "n_tokens", "ids"])
 
-    return docs.select(*keep, F.col("text").alias("__text")).mapInArrow(run, f"{given}, n_tokens long, ids array<int>")
+    return docs.select(*keep, F.col("text").alias("__dq_text")).mapInArrow(run, f"{given}, n_tokens long, ids array<int>")
 
 
 def decode(encoded: DataFrame, keep: list[str], model: PieceModel | None = None) -> DataFrame:
@@ -359,7 +359,7 @@ def decode(encoded: DataFrame, keep: list[str], model: PieceModel | None = None)
             values = [None if gone else t.decode("utf-8", "replace") for t, gone in zip(texts, lists.is_null().to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(values, pa.string())], [*keep, "text"])
 
-    return encoded.select(*keep, F.col("ids").alias("__ids")).mapInArrow(run, f"{given}, text string")
+    return encoded.select(*keep, F.col("ids").alias("__dq_ids")).mapInArrow(run, f"{given}, text string")
 
 
 def round_trip(docs: DataFrame, model: PieceModel | None = None) -> DataFrame:
@@ -386,4 +386,4 @@ def round_trip(docs: DataFrame, model: PieceModel | None = None) -> DataFrame:
                 )
 
     kind = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string, whole boolean"
-    return docs.select("doc_id", F.col("text").alias("__text")).mapInArrow(run, kind)
+    return docs.select("doc_id", F.col("text").alias("__dq_text")).mapInArrow(run, kind)

@@ -114,15 +114,15 @@ def mask(turns: Column, config: ChatConfig = ChatConfig()) -> Column:
 
 def format_preferences(pairs: DataFrame, config: ChatConfig = ChatConfig()) -> DataFrame:
     """chosen_id, rejected_id, prompt, prompt_turns, chosen and rejected completions with their masks, differs."""
-    n = F.col("__n")
-    cut = pairs.withColumn("__n", shared_turns(F.col("chosen"), F.col("rejected")))
-    cut = cut.withColumn("__head", F.slice("chosen", F.lit(1), n)).withColumn("__a", F.slice("chosen", n + 1, F.greatest(F.size("chosen") - n, F.lit(0)))).withColumn("__b", F.slice("rejected", n + 1, F.greatest(F.size("rejected") - n, F.lit(0))))
+    n = F.col("__dq_n")
+    cut = pairs.withColumn("__dq_n", shared_turns(F.col("chosen"), F.col("rejected")))
+    cut = cut.withColumn("__dq_head", F.slice("chosen", F.lit(1), n)).withColumn("__dq_a", F.slice("chosen", n + 1, F.greatest(F.size("chosen") - n, F.lit(0)))).withColumn("__dq_b", F.slice("rejected", n + 1, F.greatest(F.size("rejected") - n, F.lit(0))))
     return cut.select(
         "chosen_id", "rejected_id",
-        rendered(F.col("__head"), config).alias("prompt"), n.alias("prompt_turns"),
-        rendered(F.col("__a"), config).alias("chosen_text"), mask(F.col("__a"), config).alias("chosen_mask"),
-        rendered(F.col("__b"), config).alias("rejected_text"), mask(F.col("__b"), config).alias("rejected_mask"),
-        ((F.size("__a") > 0) | (F.size("__b") > 0)).alias("differs"),
+        rendered(F.col("__dq_head"), config).alias("prompt"), n.alias("prompt_turns"),
+        rendered(F.col("__dq_a"), config).alias("chosen_text"), mask(F.col("__dq_a"), config).alias("chosen_mask"),
+        rendered(F.col("__dq_b"), config).alias("rejected_text"), mask(F.col("__dq_b"), config).alias("rejected_mask"),
+        ((F.size("__dq_a") > 0) | (F.size("__dq_b") > 0)).alias("differs"),
     )
 
 

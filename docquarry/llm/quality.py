@@ -82,8 +82,8 @@ def axes(x: np.ndarray, k: int, seed: int) -> np.ndarray:
 def fit(docs: DataFrame, labels: DataFrame, config: QualityConfig = QualityConfig()) -> QualityModel | None:
     known = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     ids = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(config.sample)  # so many rows at most: small enough to broadcast
-    ids = ids.select(F.col("doc_id").alias("__id"), F.col("quality").cast("int").alias("__label"))
-    picked = docs.join(F.broadcast(ids), docs["doc_id"] == ids["__id"]).select("doc_id", ids["__label"].alias("label"), docs["text"].cast("binary").alias("text"))
+    ids = ids.select(F.col("doc_id").alias("__dq_id"), F.col("quality").cast("int").alias("__dq_label"))
+    picked = docs.join(F.broadcast(ids), docs["doc_id"] == ids["__dq_id"]).select("doc_id", ids["__dq_label"].alias("label"), docs["text"].cast("binary").alias("text"))
     bits = config.bits
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -155,7 +155,7 @@ def scan(docs: DataFrame, config: SecretConfig = SecretConfig()) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[k] for r in out], t) for k, t in enumerate(types))], ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "literals"])
 
     kind = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, literals array<struct<start: long, end: long, name: string, score: double>>"
-    return docs.select("doc_id", F.col("text").alias("__text")).mapInArrow(run, kind)
+    return docs.select("doc_id", F.col("text").alias("__dq_text")).mapInArrow(run, kind)
 
 
 def redact(docs: DataFrame, mask: str = "[secret]", config: SecretConfig = SecretConfig()) -> DataFrame:

@@ -200,4 +200,4 @@ def representatives(docs: DataFrame, config: SimhashConfig = SimhashConfig()) ->
     """The rows of `docs` whose doc_id names their component: one document of each group stays. Rows of a null doc_id, in groups of their own only, stay as well."""
     groups = grouped(docs, config)
     keep = groups.filter(F.col("component_id").isNull() | (F.col("doc_id") == F.col("component_id"))).select("doc_id").distinct()
-    return docs.join(keep.select(F.col("doc_id").alias("__id")), docs["doc_id"].eqNullSafe(F.col("__id")), "left_semi")
+    return docs.join(keep.select(F.col("doc_id").alias("__dq_id")), docs["doc_id"].eqNullSafe(F.col("__dq_id")), "left_semi")
