@@ -1,6 +1,6 @@
 """Plans of the registered queries."""
 
-from docquarry.plans import documents, nodes, records, retrieval
+from docquarry.plans import documents, nodes, parsing, records, retrieval
 from docquarry.plans.registry import ORACLE, QUERIES
 
-__all__ = ["ORACLE", "QUERIES", "documents", "nodes", "records", "retrieval"]
+__all__ = ["ORACLE", "QUERIES", "documents", "nodes", "parsing", "records", "retrieval"]
