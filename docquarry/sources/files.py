@@ -25,9 +25,9 @@ ILLEGAL = re.compile(r'[\x00-\x1f\x7f<>:"/\\|?*]+')
 
 
 def scan(spark: SparkSession, path: str, suffixes: tuple[str, ...] = SUFFIXES, most: int = MOST_BYTES) -> DataFrame:
-    """filename, suffix, file_size, sha256, content, status (ok, EMPTY_FILE, FILE_TOO_LARGE) of the files under a path. The reader itself lists files by suffix."""
+    """filename, suffix, file_size, sha256, content, status (ok, FILE_TOO_LARGE) of the files under a path. The reader itself lists files by suffix, and leaves empty files out: they are never taken in."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{" + ",".join(suffixes) + "}").load(path)
-    status = F.when(F.col("length") == 0, "EMPTY_FILE").when(F.col("length") > most, "FILE_TOO_LARGE").otherwise("ok")
+    status = F.when(F.col("length") > most, "FILE_TOO_LARGE").otherwise("ok")
     name = F.element_at(F.split("path", "/"), -1)
     return files.select(name.alias("filename"), suffix_of(name).alias("suffix"), F.col("length").alias("file_size"), F.sha2("content", 256).alias("sha256"), "content", status.alias("status"))
 
