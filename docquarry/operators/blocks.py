@@ -75,3 +75,18 @@ def cycle_nodes(nodes: DataFrame, ident: str, parent: str) -> DataFrame:
         now = now.join(step, now["up"] == step["__id"], "left").select("id", F.when(F.col("up").isNotNull(), F.col("__up")).alias("up"))
         now = checkpointed(now)
     return now.filter("up IS NOT NULL").select(F.col("id").alias(ident))
+
+
+def repair(blocks: DataFrame, document: str, ident: str, parent: str, order: str, root: str) -> DataFrame:
+    """Blocks whose parent is gone go to the root; orders are numbered anew, and siblings linked."""
+    known = blocks.select(F.col(document).alias("__d"), F.col(ident).alias("__i"))
+    there = blocks.join(known, (F.col(document) == F.col("__d")) & (F.col(parent) == F.col("__i")), "left")
+    mended = there.withColumn(parent, F.when(F.col(ident) == F.col(root), F.col(parent)).when(F.col("__i").isNull(), F.col(root)).otherwise(F.col(parent))).drop("__d", "__i")
+    numbered = mended.withColumn("new_order", (F.row_number().over(Window.partitionBy(document).orderBy(order)) - 1).cast("long"))
+    return sibling_links(numbered, [document, parent], "new_order", ident)
+
+
+def with_mark(flags: Column, findings: Column, code: str, detail: Column) -> tuple[Column, Column]:
+    """A block's flags and findings with one more finding: a flag is there once, a later finding replaces an earlier one."""
+    kept = F.map_filter(findings, lambda k, v: k != code)
+    return F.array_union(flags, F.array(F.lit(code))), F.map_concat(kept, F.create_map(F.lit(code), detail))

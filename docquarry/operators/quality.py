@@ -123,3 +123,38 @@ def long_form(scored: DataFrame, document: list[str]) -> DataFrame:
     """A row for each document and dimension."""
     names = ["parse", "text", "density_score", "duplication", "structure", "traceability", "context", "readiness"]
     return scored.unpivot(document, names, "dimension", "score")
+
+
+def page_scores(blocks: DataFrame, document: list[str], page: str, text: str) -> DataFrame:
+    """pages, empty_pages and whether too many are empty (half of them or more)."""
+    full = F.max(F.when(T.collapse(F.coalesce(F.col(text), F.lit(""))) != "", 1).otherwise(0))
+    pages = blocks.groupBy(*document, page).agg(full.alias("__full"))
+    out = pages.groupBy(*document).agg(F.count("*").alias("pages"), F.count_if(F.col("__full") == 0).alias("empty_pages"))
+    return out.withColumn("empty_high", F.col("empty_pages") / F.col("pages") >= EMPTY_PAGES_HIGH)
+
+
+def ocr_scores(blocks: DataFrame, document: list[str], confidence: str) -> DataFrame:
+    """measured blocks, how many are below the least confidence, and how severe that is. Blocks without a confidence don't count."""
+    out = blocks.groupBy(*document).agg(F.count(confidence).alias("measured"), F.count_if(F.col(confidence) < OCR_LOW).alias("low"))
+    share = F.col("low") / F.greatest(F.col("measured"), F.lit(1))
+    return out.withColumn("severity", F.when((F.col("low") > 0) & (share >= OCR_HIGH), "high").when(F.col("low") > 0, "warning"))
+
+
+def traceability(blocks: DataFrame, document: list[str], located: str) -> DataFrame:
+    """The share of blocks with a locator as score, and how severe what is missing is."""
+    out = blocks.groupBy(*document).agg(F.count("*").alias("blocks"), F.count_if(~F.col(located)).alias("missing"))
+    share = F.col("missing") / F.greatest(F.col("blocks"), F.lit(1))
+    return out.withColumn("score", F.round(1 - share, 6)).withColumn("severity", F.when(share >= LOCATOR_HIGH, "high").when(share > 0, "warning"))
+
+
+def context_score(title: Column, contextual: Column, valid: Column) -> Column:
+    """Half from the title, half from the share of blocks under a heading."""
+    return F.when(valid == 0, 0.0).otherwise((F.when(title != "", 1.0).otherwise(0.5) + contextual / F.greatest(valid, F.lit(1))) / 2)
+
+
+def merge_dimensions(scores: DataFrame, document: list[str]) -> DataFrame:
+    """Of several evaluators' scores (dimension, score), the least of each dimension; dimensions without one count as 1."""
+    names = F.array(*map(F.lit, DIMENSIONS))
+    every = scores.select(*document).distinct().select("*", F.explode(names).alias("dimension"))
+    least = scores.groupBy(*document, "dimension").agg(F.min("score").alias("score"))
+    return every.join(least, [*document, "dimension"], "left").withColumn("score", F.coalesce("score", F.lit(1.0)))

@@ -55,7 +55,7 @@ def html_tables(t: Tables) -> DataFrame:
 WITH {LINES}, c AS (SELECT doc_id, ord, trim(unnest(string_split(line, ','))) AS cell FROM lines)
 SELECT doc_id, ord, count(*)::BIGINT AS cells, count(*) FILTER (WHERE len(regexp_extract_all(cell, '[0-9.,%\x{{ffe5}}$\x{{a5}}+-]')) / greatest(len(regexp_extract_all(cell, '\S')), 1) >= 0.6)::BIGINT AS numeric_cells FROM c GROUP BY ALL""")
 def table_grid_stats(t: Tables) -> DataFrame:
-    cells = B.lines_of(t.documents, "doc_id").select("doc_id", "ord", F.explode(F.transform(F.split("line", ","), F.trim)).alias("cell"))
+    cells = B.lines_of(t.documents, "doc_id").select("doc_id", "ord", F.explode(F.transform(F.split("line", ","), lambda x: F.trim(x))).alias("cell"))
     return cells.groupBy("doc_id", "ord").agg(F.count("*").alias("cells"), F.count_if(H.numeric_share("cell") >= H.NUMERIC_SHARE).alias("numeric_cells"))
 
 
