@@ -88,14 +88,14 @@ def context_scores(t: Tables) -> DataFrame:
 
 @query("merged_dimensions", """
 WITH s AS (SELECT doc_id, 'text' AS dimension, quality * 0.5 AS score FROM labels UNION ALL SELECT doc_id, 'text', 1 - toxic * 0.9 FROM labels UNION ALL SELECT doc_id, 'parse', 0.75 FROM labels WHERE quality = 1)
-SELECT l.doc_id, d.dimension, coalesce(min(s.score), 1.0)::DOUBLE AS score FROM (SELECT DISTINCT doc_id FROM labels) l, (SELECT unnest(['parse', 'text', 'density', 'duplication', 'structure', 'traceability', 'context', 'readiness']) AS dimension) d
+SELECT l.doc_id, d.dimension, round(coalesce(min(s.score), 1.0)::DOUBLE, 6) AS score FROM (SELECT DISTINCT doc_id FROM labels) l, (SELECT unnest(['parse', 'text', 'density', 'duplication', 'structure', 'traceability', 'context', 'readiness']) AS dimension) d
 LEFT JOIN s ON s.doc_id = l.doc_id AND s.dimension = d.dimension GROUP BY ALL""")
 def merged_dimensions(t: Tables) -> DataFrame:
     def of(name: str, score) -> DataFrame:  # noqa: ANN001
         return t.labels.select("doc_id", F.lit(name).alias("dimension"), score.cast("double").alias("score"))
 
     scores = of("text", F.col("quality") * 0.5).unionByName(of("text", 1 - F.col("toxic") * 0.9)).unionByName(of("parse", F.when(F.col("quality") == 1, 0.75)).filter("score IS NOT NULL"))
-    return Q.merge_dimensions(scores, ["doc_id"])
+    return Q.merge_dimensions(scores, ["doc_id"]).withColumn("score", F.round("score", 6))
 
 
 @query("structure_repair", f"""
