@@ -35,6 +35,8 @@ class LineConfig:
     #: Bits of each of the two filters (2 MB), a proven bound of what is broadcast; parts they are merged in.
     bits: int = 1 << 24
     slices: int = 64
+    #: Parts that a repeated key's documents are dealt into.
+    salts: int = 16
 
 
 def key_of(line: bytes, least: int) -> bytes | None:
@@ -84,7 +86,10 @@ def drops(docs: DataFrame, config: LineConfig = LineConfig()) -> DataFrame:
 
     found = materialize(narrow(docs).mapInArrow(suspects, "__dq_id long, __dq_key binary"))
     repeated = found.groupBy("__dq_key").agg(F.count_distinct("__dq_id").alias("__dq_docs"), F.max("__dq_id").alias("__dq_keeps")).filter(F.col("__dq_docs") >= config.least_docs)
-    lost = found.join(repeated, "__dq_key").filter(F.col("__dq_id") != F.col("__dq_keeps"))
+    # A key that very many documents hold is dealt by document as well: each of its parts meets its own copy of the one row.
+    salt = F.pmod(F.xxhash64("__dq_id"), F.lit(config.salts)).cast("int").alias("__dq_salt")
+    copies = repeated.withColumn("__dq_salt", F.explode(F.sequence(F.lit(0), F.lit(config.salts - 1))))
+    lost = found.select("*", salt).join(copies, ["__dq_key", "__dq_salt"]).filter(F.col("__dq_id") != F.col("__dq_keeps"))
     return lost.groupBy("__dq_id").agg(F.collect_set("__dq_key").alias("__dq_drop"))
 
 
