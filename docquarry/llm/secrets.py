@@ -42,7 +42,8 @@ SENSITIVE = (
     ("token", 0.9), ("credential", 0.9), ("bearer", 0.8), ("auth", 0.7), ("signingkey", 0.9), ("encryptionkey", 0.9), ("connectionstring", 0.8), ("dsn", 0.6), ("salt", 0.5),
 )
 PLACEHOLDER = re.compile(r"^(?:x+|\*+|\.+|-+|_+|change_?me|example.*|placeholder|dummy|your[_-].*|test|null|none|true|false|undefined)$", re.IGNORECASE)
-PAIR = re.compile(r"""(["']?)([A-Za-z_][A-Za-z0-9_.\-]{0,63})\1[\x20\t]{0,8}(?::=|=>|=(?!=)|:(?![:/]))[\x20\t]{0,8}""", re.ASCII)
+#: Names are whole runs of their characters, but for digits, dots and dashes in front; each run is read once.
+PAIR = re.compile(r"""(?:(["'])([A-Za-z_][A-Za-z0-9_.\-]*+)\1|(?<![A-Za-z0-9_.\-])[0-9.\-]*+([A-Za-z_][A-Za-z0-9_.\-]*+))[\x20\t]*+(?::=|=>|=(?!=)|:(?![:/]))[\x20\t]*+""", re.ASCII)
 TERM = re.compile(r""""((?:[^"\\\n]|\\.)*)"|'((?:[^'\\\n]|\\.)*)'|([A-Za-z0-9+/_.=\-]+)""", re.ASCII)
 PLUS = re.compile(r"[\x20\t]*\+[\x20\t]*")
 NAME = re.compile(r"[A-Za-z_][A-Za-z0-9_.\-]*\Z", re.ASCII)
@@ -82,7 +83,7 @@ def pairs(text: str) -> list[tuple[str, list[tuple[int, int, str, bool]]]]:
                 break
             at = more.end()
         if terms:
-            out.append((m.group(2), terms))
+            out.append((m.group(2) or m.group(3), terms))
             # a bare value may itself begin a pair, as in `a: b = "c"`
             if not terms[-1][3] and len(terms) == 1:
                 at = terms[0][0]

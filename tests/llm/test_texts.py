@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -107,6 +108,20 @@ def test_lexer_follows_constants():
     assert [SECRETS[7][a:b] for a, b, _, _ in secrets.lexed(SECRETS[7])] == ["Xy77Qq81Zz"]
 
 
+def test_lexer_reads_aligned_columns_and_long_names():
+    value, key = "Zx81Qw0pLm72", "service." * 12 + "credential"
+    for text in (
+        f"db_credential{' ' * 30}= {' ' * 20}'{value}'", f"pwd\t\t{' ' * 9}:{' ' * 9}{value}", f'base{" " * 40}= "{value}"\npassphrase = base',
+        f'"{key}": "{value}"', f"{key} = '{value}'", f"--private_key={value}", f"9credential = '{value}'", f'"CREDENTIAL={value}"',
+    ):
+        ((a, b, _, _),) = secrets.lexed(text)
+        assert text[a:b] == value
+    assert secrets.lexed(f'"{key}": "{value}"')[0][2] == key
+    start = time.process_time()
+    secrets.lexed("credential = 'x'\n" + "a" * 1_000_000 + " " * 1_000_000 + '"' + "b-" * 500_000)
+    assert time.process_time() - start < 5
+
+
 ODD = ["", " ", "   a  b ", "Hello  world\n\nfoo\tbär 中文😀 ", "<s> </s> <0x0A>", "x" * 700, "日本語テキスト" * 40, "\x00\x01", "    def f(x):\n        return  x", "naïve café's 12,345.67 $$$", "²³.¹", "supercalifragilistic" * 7, None]
 
 
