@@ -2,8 +2,10 @@
 
 The lexer reads a text as pairs of a name and what is assigned to it: `name = "x"`, `name: x`, `"name": "x"`,
 `name := x`, `name => x`, with concatenations by `+` and references to other names. Constants are propagated: a literal
-that reaches a sensitive name through other names is found where it stands. A literal's score is the sensitivity of
-the target's name times how much the literal looks like a secret (length, variety, no placeholder).
+that reaches a sensitive name through other names is found where it stands. The terms of a concatenation are one value:
+its score is the sensitivity of the target's name times how much the value looks like a secret (length, variety, no
+placeholder), and all literals it is made of are found. A literal that scores by itself is found as well; where a term
+is an unknown name and a literal scores by itself, the value is judged by such literals alone.
 
 Kinds, in the order in which spans of one start are listed: assign, access, hex (the fixed patterns), literal (the
 lexer's). Starts and ends are in code points, ends exclusive. Patterns match leftmost and without overlaps, a kind by
@@ -21,7 +23,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -46,6 +48,10 @@ PLACEHOLDER = re.compile(r"^(?:x+|\*+|\.+|-+|_+|change_?me|example.*|placeholder
 PAIR = re.compile(r"""(?:(["'])([A-Za-z_][A-Za-z0-9_.\-]*+)\1|(?<![A-Za-z0-9_.\-])[0-9.\-]*+([A-Za-z_][A-Za-z0-9_.\-]*+))[\x20\t]*+(?::=|=>|=(?!=)|:(?![:/]))[\x20\t]*+""", re.ASCII)
 TERM = re.compile(r""""((?:[^"\\\n]|\\.)*)"|'((?:[^'\\\n]|\\.)*)'|([A-Za-z0-9+/_.=\-]+)""", re.ASCII)
 PLUS = re.compile(r"[\x20\t]*\+[\x20\t]*")
+#: Characters of a value that tell whether it is a placeholder.
+HEAD = 64
+#: Start, end, value, quoted.
+Term = tuple[int, int, str, bool]
 NAME = re.compile(r"[A-Za-z_][A-Za-z0-9_.\-]*\Z", re.ASCII)
 
 
@@ -62,14 +68,21 @@ def sensitivity(name: str) -> float:
 
 def suspicion(value: str) -> float:
     """How much a literal looks like a secret, 0 to 1: by its entropy, in bits a character, and by its length."""
-    if PLACEHOLDER.match(value) or value.startswith(("${", "{{", "<", "%(", "$(")):
+    return suspicion_of(Value(len(value), value, Counter(value)))
+
+
+def suspicion_of(value: Value) -> float:
+    # A placeholder is short, or known by how it begins, or one character again and again.
+    if PLACEHOLDER.match(value.head) and (value.length == len(value.head) or value.head[0].isalpha() and value.head[0] not in "xX" or len(set(map(str.lower, value.counts))) == 1):
+        return 0.0
+    if value.head.startswith(("${", "{{", "<", "%(", "$(")):
         return 0.0
-    n = len(value)
-    bits = -sum(c / n * math.log2(c / n) for c in Counter(value).values())
-    return min(1.0, bits / 3) * min(1.0, 0.5 + n / 32)
+    n = value.length
+    bits = -sum(p * math.log2(p) for c in value.counts.values() if (p := c / n) > 0)
+    return min(1.0, bits / 3) * min(1.0, 0.5 + min(n, 16) / 32)
 
 
-def pairs(text: str) -> list[tuple[str, list[tuple[int, int, str, bool]]]]:
+def pairs(text: str) -> list[tuple[str, list[Term]]]:
     """The names and the terms assigned to them, in order: (start, end, value, quoted) for each term."""
     out, at = [], 0
     while (m := PAIR.search(text, at)) is not None:
@@ -91,28 +104,70 @@ def pairs(text: str) -> list[tuple[str, list[tuple[int, int, str, bool]]]]:
     return out
 
 
+@dataclass
+class Value:
+    """What is assigned to a name, with constants put in: its length, characters and beginning; complete: every term is known."""
+
+    length: int = 0
+    head: str = ""
+    counts: Counter[str] = field(default_factory=Counter)
+    complete: bool = True
+
+    def add(self, other: Value) -> None:
+        self.length += other.length
+        self.head = (self.head + other.head)[:HEAD]
+        for c, n in other.counts.items():
+            self.counts[c] += n
+        self.complete &= other.complete
+
+
+def folded(name: str, terms: list[Term], latest: dict[str, list[Term]]) -> tuple[Value, list[Term]]:
+    """The value of `terms`, and the literals that it is made of. Each name is valued once, so constants that double others don't grow."""
+    values: dict[str, Value | None] = {name: None}  # None: being valued, so a reference to it is a circle
+    literals: dict[tuple[int, int], Term] = {}
+    stack: list[tuple[str, list[Term], int, Value]] = [(name, terms, 0, Value())]
+    while True:
+        own, of, at, value = stack.pop()
+        while at < len(of):
+            start, end, text, quoted = of[at]
+            if not quoted and NAME.match(text) and text in latest:
+                if text not in values:
+                    values[text] = None
+                    stack += [(own, of, at, value), (text, latest[text], 0, Value())]
+                    break
+                value.add(values[text] or Value(complete=False))
+            else:
+                literals[start, end] = of[at]
+                unknown = not quoted and len(of) > 1 and NAME.match(text) is not None
+                value.add(Value(complete=False) if unknown else Value(len(text), text[:HEAD], Counter(text)))
+            at += 1
+        else:
+            values[own] = value
+            if not stack:
+                return value, list(literals.values())
+
+
 def lexed(text: str, config: SecretConfig = SecretConfig()) -> list[tuple[int, int, str, float]]:
     """(start, end, name, score) of literals that reach a sensitive name."""
     found = pairs(text)
     if not any(sensitivity(name) for name, _ in found):
         return []
-    latest: dict[str, list[tuple[int, int, str, bool]]] = {}
+    latest: dict[str, list[Term]] = {}
     best: dict[tuple[int, int], tuple[str, float]] = {}
     for name, terms in found:
         weight = sensitivity(name)
         if weight:
-            todo, seen = list(terms), {name}
-            while todo:
-                start, end, value, quoted = todo.pop()
-                if not quoted and NAME.match(value) and value in latest:
-                    if value not in seen:
-                        seen.add(value)
-                        todo += latest[value]
-                    continue
-                if len(value) >= config.least_length:
-                    score = weight * suspicion(value)
-                    if score >= config.least_score and score > best.get((start, end), ("", 0.0))[1]:
-                        best[start, end] = name, score
+            value, literals = folded(name, terms, latest)
+            scores = {(a, b): weight * suspicion(x) if len(x) >= config.least_length else 0.0 for a, b, x, _ in literals}
+            whole = weight * suspicion_of(value) if value.length >= config.least_length else 0.0
+            # With a term unknown, literals that look like secrets by themselves stand for the value.
+            if whole >= config.least_score and (value.complete or max(scores.values(), default=0.0) < config.least_score):
+                for a, b, x, quoted in literals:
+                    if x and (quoted or value.complete or not NAME.match(x)):
+                        scores[a, b] = max(scores[a, b], whole)
+            for span, score in scores.items():
+                if score >= config.least_score and score > best.get(span, ("", 0.0))[1]:
+                    best[span] = name, score
         latest[name] = terms
     return sorted((a, b, name, round(score, 4)) for (a, b), (name, score) in best.items())
 

@@ -108,6 +108,22 @@ def test_lexer_follows_constants():
     assert [SECRETS[7][a:b] for a, b, _, _ in secrets.lexed(SECRETS[7])] == ["Xy77Qq81Zz"]
 
 
+def test_lexer_scores_the_whole_value():
+    def read(text):
+        return [text[a:b] for a, b, _, _ in secrets.lexed(text)]
+
+    parts = ["ab12cd", "34ef56", "gh78"]
+    assert read('secret = "ab12cd" + "34ef56" + "gh78"') == parts
+    assert read('a = "ab12cd"\nb = a + "34ef56"\nc = "gh78"\nclient_secret = b + c\n') == parts
+    assert read('secret = "ab12cd" + tail + "34ef56"') == parts[:2]
+    assert read('half = "ab12"\npassword = half + half') == ["ab12"]
+    assert read('password = "change" + "me"') == read('token = "ab" + "cd"') == read("secret = 'xxxx' + 'XXXX'") == read(f"secret = 'x' + '{'x' * 99}'") == []
+    assert read(f"secret = '{'x' * 70}' + 'Zx81Qw0pLm72'")[-1] == "Zx81Qw0pLm72"
+    assert read("a = b + 'ab12'\nb = a + 'cd34'\nsecret = b + 'ef56'\n") == ["ab12", "cd34", "ef56"]
+    doubled = "n0 = 'ab12'\n" + "".join(f"n{k + 1} = n{k} + n{k}\n" for k in range(3000)) + "secret = n3000\n"
+    assert read(doubled) == ["ab12"]
+
+
 def test_lexer_reads_aligned_columns_and_long_names():
     value, key = "Zx81Qw0pLm72", "service." * 12 + "credential"
     for text in (
