@@ -152,7 +152,7 @@ def candidates(t: Tables) -> DataFrame:
     asked = asked_documents(t).withColumnRenamed("text", "query_text")
     out = fused(t).join(texts, "doc_id").join(asked, "query_id")
     out = out.withColumn("rerank_score", F.round(U.overlap_rerank("query_text", "text"), 6)).withColumn("scope", F.when(F.col("doc_id") % 3 == 0, 1.0).when(F.col("doc_id") % 3 == 1, 0.0))
-    return out.withColumn("exact", U.exact_match(F.left("query_text", F.lit(60)), "text"))
+    return out.withColumn("exact", U.exact_match("query_text", "text"))
 
 
 CANDIDATE_CTES = rf"""{FUSED_CTES}, held AS (
@@ -165,7 +165,9 @@ CANDIDATE_CTES = rf"""{FUSED_CTES}, held AS (
 
 @query("hydrate_candidates", f"WITH {CANDIDATE_CTES} SELECT query_id, doc_id, rrf_score, bm25_score, rerank_score, exact FROM held")
 def hydrate_candidates(t: Tables) -> DataFrame:
-    return candidates(t).select("query_id", "doc_id", "rrf_score", "bm25_score", "rerank_score", "exact")
+    # As its SQL has it, `exact` is of the query's first 60 characters here, and here only.
+    opening = U.exact_match(F.left("query_text", F.lit(60)), "text").alias("exact")
+    return candidates(t).select("query_id", "doc_id", "rrf_score", "bm25_score", "rerank_score", opening)
 
 
 RELEVANCE_CTES = f"""{CANDIDATE_CTES}, shared AS (SELECT *, rrf_score / max(rrf_score) OVER (PARTITION BY query_id) AS r, bm25_score / max(bm25_score) OVER (PARTITION BY query_id) AS b FROM held),

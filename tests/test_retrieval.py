@@ -1,6 +1,8 @@
 """Retrieval queries over whole passages, on small tables worked out by hand."""
 
 import docquarry.plans as plans
+from docquarry.plans.registry import Tables
+from docquarry.plans.retrieval import candidates
 
 OPENING = "the quick brown fox jumps over the lazy dog while everybody is looking on"
 
@@ -17,3 +19,9 @@ def test_exact_match_flag_takes_whole_passages(spark, tmp_path):
     folder = written(spark, tmp_path, docs, [(7, OPENING + " and then home"), (8, "a long passage that ends with the number of part-77x")])
     got = {(r["item_id"], r["doc_id"]) for r in plans.QUERIES["exact_match_flag"](spark, folder).collect()}
     assert got == {(7, 1), (8, 4)}
+
+
+def test_candidates_are_exact_by_the_whole_query(spark, tmp_path):
+    docs = {0: OPENING + " with part-77x", 1: OPENING + " at night", 2: "the part-77x dog", 3: "the dog"}
+    got = {r["doc_id"]: r["exact"] for r in candidates(Tables(spark, written(spark, tmp_path, docs))).collect() if r["query_id"] == 0}
+    assert got == {0: True, 1: False, 2: True, 3: False}
