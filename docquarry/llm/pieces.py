@@ -322,12 +322,13 @@ def runs(texts: list[str | None]) -> Iterator[tuple[int, int]]:
         yield lo, len(texts)
 
 
-def encode(docs: DataFrame, keep: list[str], model: PieceModel | None = None) -> DataFrame:
-    """`keep` columns, n_tokens and ids of every row's text."""
+def encode(docs: DataFrame, keep: list[str], model: PieceModel | None = None, check: bool = False) -> DataFrame:
+    """`keep` columns, n_tokens and ids of every row's text; to check, the ids are decoded too: whole says whether the text came back."""
     spark: SparkSession = docs.sparkSession
     bounded_batches(spark)
     shared = spark.sparkContext.broadcast(model or PieceModel.load())  # a model's own size, some MB
     given = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
+    names = [*keep, "n_tokens", "ids", *["whole"] * check]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = searcher(shared.value)
@@ -338,9 +339,10 @@ def encode(docs: DataFrame, keep: list[str], model: PieceModel | None = None) ->
                 gone = pa.array([t is None for t in texts[lo:hi]])
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()), mask=gone)
                 counts = pa.array(np.diff(ends), pa.int64(), mask=gone.to_numpy(zero_copy_only=False))
-                yield pa.RecordBatch.from_arrays([*(c.slice(lo, hi - lo) for c in batch.columns[: len(keep)]), counts, lists], [*keep, "n_tokens", "ids"])
+                same = [pa.array([None if t is None else t.encode() == b for t, b in zip(texts[lo:hi], own.decode(ids, ends), strict=True)], pa.bool_())] if check else []
+                yield pa.RecordBatch.from_arrays([*(c.slice(lo, hi - lo) for c in batch.columns[: len(keep)]), counts, lists, *same], names)
 
-    return docs.select(*keep, F.col("text").alias("__dq_text")).mapInArrow(run, f"{given}, n_tokens long, ids array<int>")
+    return docs.select(*keep, F.col("text").alias("__dq_text")).mapInArrow(run, f"{given}, n_tokens long, ids array<int>" + ", whole boolean" * check)
 
 
 def decode(encoded: DataFrame, keep: list[str], model: PieceModel | None = None) -> DataFrame:

@@ -157,6 +157,15 @@ def test_pieces_equal_the_library_and_decode(spark):
     assert pieces.round_trip(empty(spark)).collect() == [] and pieces.encode(empty(spark), ["doc_id"]).collect() == []
 
 
+def test_last_stage_tells_what_does_not_come_back(spark):
+    import corpus_pipeline
+
+    texts = ["plain words here", "with \u2581 in it", "", None, "日本 \x00"]
+    docs = spark.createDataFrame([(k, t, "s") for k, t in enumerate(texts)], "doc_id long, text string, source string")
+    got = {r["doc_id"]: r["whole"] for r in corpus_pipeline.STAGES[-1][1](spark, docs, "").collect()}
+    assert got == {0: True, 1: False, 2: True, 3: None, 4: True}
+
+
 def test_unigram_search_finds_the_best_path():
     scores = {"a": -2.0, "b": -2.0, "ab": -3.0, "abc": -7.0, "c": -2.5, "bc": -1.0, "▁": -1.0, "▁a": -2.2}
     model = pieces.PieceModel(["<unk>", *scores], [0.0, *scores.values()], "u" + "n" * len(scores), False, True, "own")
