@@ -79,7 +79,25 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run(spark, sf_dir)
 
 
-MIX_SQL = r"""
+def draw_rounds(rounds: int) -> str:
+    """The rounds of draws: each draws three quarters of the slots that are left, by what the sources still lack."""
+    out = ""
+    for k in range(rounds):
+        high = "total" if k == rounds - 1 else f"total - (total >> {2 * k + 2})"
+        out += f"""
+), lack{k} AS (
+  SELECT *, greatest(slots - got, 0) AS lack, sum(greatest(slots - got, 0)) OVER (ORDER BY rank) AS upto FROM state{k}
+), slot{k} AS (
+  SELECT ('0x' || md5('mix|' || id)[1:15])::BIGINT % (SELECT sum(lack) FROM lack{k}) AS spot
+  FROM (SELECT unnest(range(total - (total >> {2 * k}), {high})) AS id FROM (SELECT sum(slots)::BIGINT AS total FROM quotas))
+), state{k + 1} AS (
+  SELECT l.rank, any_value(l.slots) AS slots, any_value(l.blocks) AS blocks, any_value(l.got) + least(count(spot), any_value(l.blocks) * 2 - any_value(l.got)) AS got
+  FROM lack{k} l LEFT JOIN slot{k} d ON d.spot >= l.upto - l.lack AND d.spot < l.upto GROUP BY l.rank"""
+    return out
+
+
+MIX_SQL = (
+    r"""
 WITH sized AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents
 ), stats AS (
@@ -99,8 +117,7 @@ WITH sized AS (
   SELECT *, min(CASE WHEN level <= ratio THEN pos END) OVER () AS first_at FROM levelled
 ), planned AS (
   SELECT source, rank, source_docs, source_size,
-    CASE WHEN pos < first_at THEN ceiling::DOUBLE ELSE weight * max(CASE WHEN pos = first_at THEN level END) OVER () END AS target,
-    greatest(1, least(256, source_size // 256)) AS block
+    CASE WHEN pos < first_at THEN ceiling::DOUBLE ELSE weight * max(CASE WHEN pos = first_at THEN level END) OVER () END AS target, 16 AS block
   FROM opened
 ), plan AS (
   SELECT *, (source_size + block - 1) // block AS blocks, (source_docs + 999) // 1000 AS buckets FROM planned
@@ -109,15 +126,19 @@ WITH sized AS (
     [2305843009213693951, 2305843009213693921, 2305843009213693907, 2305843009213693723][((('0x' || md5('mix|' || rank)[1:15])::BIGINT) % 4 + 1)::INT] AS prime,
     ('0x' || md5('mix+|' || rank)[1:15])::BIGINT AS mover
   FROM plan
+), state0 AS (
+  SELECT rank, slots, blocks, 0::BIGINT AS got FROM quotas"""
+    + draw_rounds(5)
+    + r"""
 ), dealt AS (
-  SELECT s.doc_id, s.size, q.*, (('0x' || md5(coalesce(s.doc_id::VARCHAR, ''))[1:15])::BIGINT) % q.buckets AS bucket
+  SELECT s.doc_id, s.size, q.*, (('0x' || md5(concat_ws('|', s.doc_id, s.size))[1:15])::BIGINT) % q.buckets AS bucket
   FROM sized s JOIN quotas q ON s.source IS NOT DISTINCT FROM q.source
 ), placed AS (
   SELECT *, row_number() OVER () AS row_no,
     (sum(size) OVER (PARTITION BY rank ORDER BY bucket, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size)::BIGINT AS start
   FROM dealt
 ), slot AS (
-  SELECT rank, unnest(range(slots)) AS n, blocks, prime, mover FROM quotas WHERE slots > 0
+  SELECT rank, unnest(range(state5.got)) AS n, q.blocks, prime, mover FROM quotas q JOIN state5 USING (rank) WHERE state5.got > 0
 ), times AS (
   SELECT rank, (((prime % blocks)::HUGEINT * (n % blocks)::HUGEINT + mover % blocks) % blocks)::BIGINT AS idx, count(*) AS times FROM slot GROUP BY 1, 2
 ), spans AS (
@@ -128,6 +149,7 @@ WITH sized AS (
 )
 SELECT doc_id, size, source_size, target, coalesce(taken, 0)::BIGINT AS taken, source FROM placed LEFT JOIN taken USING (row_no)
 """
+)
 
 LINE_SQL = r"""
 WITH texts AS (

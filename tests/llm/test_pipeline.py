@@ -46,20 +46,36 @@ def number(*parts):
     return int(hashlib.md5("|".join(map(str, parts)).encode()).hexdigest()[:15], 16)
 
 
+def plain_draws(plan, config=mixing.MixConfig()):
+    """Slots that each rank draws: plan has (slots, blocks) by rank. A round draws three quarters of what is left, by what ranks lack."""
+    total, got = sum(slots for slots, _ in plan), [0] * len(plan)
+    for k in range(config.rounds):
+        low, high = total - (total >> 2 * k), total if k == config.rounds - 1 else total - (total >> 2 * k + 2)
+        lack = [max(0, slots - g) for (slots, _), g in zip(plan, got)]
+        drew = Counter()
+        for i in range(low, high):
+            spot = number(config.seed, i) % sum(lack)
+            rank = 0
+            while spot >= lack[rank]:
+                spot -= lack[rank]
+                rank += 1
+            drew[rank] += 1
+        got = [min(g + drew[r], 2 * blocks) for r, (g, (_, blocks)) in enumerate(zip(got, plan))]
+    return got
+
+
 def plain_mix(rows):
     sizes = Counter()
     for _, t, _, s, _ in rows:
         sizes[s] += len(re.findall(WORD, t))
     order, target = plain_targets(sizes)
-    out = []
-    for rank, s in enumerate(order):
+    block, out = mixing.MixConfig().block_words, []
+    blocks = [-(-sizes[s] // block) for s in order]
+    drew = plain_draws([(min(2 * n, int(n * target[s] / sizes[s] + 0.5)) if n else 0, n) for s, n in zip(order, blocks)])
+    for rank, (s, n, slots) in enumerate(zip(order, blocks, drew)):
         own = sorted((r for r in rows if r[3] == s), key=lambda r: r[0])
-        size = sizes[s]
-        if not size:
+        if not n:
             continue
-        block = max(1, min(256, size // 256))
-        n = -(-size // block)
-        slots = min(2 * n, int(n * target[s] / size + 0.5))
         prime = mixing.PRIMES[number("mix", rank) % 4]
         times = Counter((prime % n * (q % n) + number("mix+", rank) % n) % n for q in range(slots))
         at = 0

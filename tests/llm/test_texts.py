@@ -216,6 +216,43 @@ def test_mixed_documents_have_the_taken_words(spark):
     assert mixing.mix_documents(empty(spark)).collect() == []
 
 
+def test_draws_decide_the_mix(spark):
+    rng = random.Random(6)
+    docs = spark.createDataFrame([(k, " ".join(words(rng, 60)), f"s{k % 7}") for k in range(300)], "doc_id long, text string, source string")
+    plan = materialize(mixing.source_plan(mixing.sized(docs)))
+
+    def drew(config):
+        got = Counter()
+        for r in mixing.drawn(plan, config).collect():
+            got[r["rank"]] += r["taken_slots"]
+        return got
+
+    one, other, narrow = drew(mixing.MixConfig()), drew(mixing.MixConfig(seed="other")), drew(mixing.MixConfig(shard_slots=100))
+    wanted = {r["rank"]: (r["slots"], r["blocks"]) for r in plan.collect()}
+    assert one != other and one == narrow  # other draws, another mix; where shards end doesn't matter
+    for got in (one, other):
+        assert all(got[k] <= 2 * blocks and abs(got[k] - slots) <= 5 for k, (slots, blocks) in wanted.items())
+    slots = mixing.mixed_slots(plan, mixing.drawn(plan)).collect()
+    times = Counter((r["rank"], r["index"]) for r in slots)
+    assert max(times.values()) <= 2 and all(0 <= i < wanted[k][1] for k, i in times)
+    assert sorted((r["rank"], r["slot"]) for r in slots) == sorted((k, q) for k, n in one.items() for q in range(n))
+    assert {r["index"] for r in slots if r["rank"] == 0 and r["slot"] < wanted[0][1]} == set(range(min(one[0], wanted[0][1])))
+
+
+def test_mixing_of_repeated_ids_and_equal_sizes(spark):
+    rows = [(5, f"{a} " * 40 + "end", s) for a in "xyz" for s in ("a", "b")] + [(5, "x " * 40 + "end", "a")] * 3 + [(None, "w " * 30, "a")] * 2 + [(None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    first = Counter(mixing.mix_documents(docs).collect())
+    assert first == Counter(mixing.mix_documents(docs.repartition(5)).collect())
+    took = Counter()
+    for r in mixing.mix(docs).collect():
+        took[r["doc_id"], r["source"]] += r["taken"]
+    got = Counter()
+    for (i, t, s), n in first.items():
+        got[i, s] += n * len(t.split())
+    assert +got == +took
+
+
 def corpus(spark, n=240):
     rng = random.Random(9)
     letters = {"en": "thewhonras", "de": "schungeiz", "fr": "éèlaiouex", "es": "cióndañose"}
