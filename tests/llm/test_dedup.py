@@ -145,6 +145,38 @@ def test_vectors_are_homomorphic():
     assert fingerprint.vector(b"").like(fingerprint.vector(b"")) == 1.0
 
 
+def test_vectors_tell_unlike_texts_apart():
+    for size in (1024, 4096):  # the Thue-Morse string and its complement: sums of bytes times powers modulo 2**k are equal
+        bits = [bin(k).count("1") & 1 for k in range(size)]
+        a, b = (bytes(97 + (x ^ flip) for x in bits) for flip in (0, 1))
+        assert fingerprint.vector(a).hex() != fingerprint.vector(b).hex()
+        assert (fingerprint.vector(a).exact != fingerprint.vector(b).exact).all()
+        assert fingerprint.vector(a).like(fingerprint.vector(b)) < 1
+    assert fingerprint.vector(b"a\n\nb").hex() != fingerprint.vector(b"a\nb").hex()  # an empty paragraph counts
+    assert fingerprint.vector(b"\na").hex() == fingerprint.vector(b"a\n").hex()
+    lanes = np.stack([fingerprint.vector(f"p{k}".encode()).exact for k in range(200)])
+    assert lanes.shape[1] == 8 and np.linalg.matrix_rank(lanes.astype(float)) == 8  # no lane follows from the others
+
+
+def test_edits_are_deletions_and_insertions():
+    texts = [b"", b"a", b"\n", b"a\n", b"\n\nb", b"one two\nthree four\nfive six seven eight", "é\nü ß\n日本 語\n".encode(), b"x\n" * 9]
+    for text in texts:
+        for after in texts:
+            _, changed, same = fingerprint.edit(text, after)
+            assert changed[:same] == text[:same]
+            assert fingerprint.changed_vector(text, fingerprint.vector(text), changed, same).hex() == fingerprint.vector(changed).hex()
+
+
+def test_word_hashes_differ():
+    found = [bytes([x]) * n for x in (0, 1, 97, 255) for n in (1, 2, 3, 31, 32, 33, 500)] + [b"ab", b"ba", b"aab", b"aba"]
+    raw = np.frombuffer(b" ".join(found), np.uint8)
+    ends = np.cumsum([len(w) + 1 for w in found]) - 1
+    first = ends - [len(w) for w in found]
+    assert len(set(fingerprint.word_hashes(raw, first, ends).tolist())) == len(found)
+    alone = [fingerprint.word_hashes(np.frombuffer(w, np.uint8), np.array([0]), np.array([len(w)]))[0] for w in found]
+    assert alone == fingerprint.word_hashes(raw, first, ends).tolist()
+
+
 def test_edited_against_brute_force(spark):
     docs = table(spark)
     rows = sorted(pairs(docs), key=lambda x: (x[0] is not None, x[0] or 0, (x[1] or "").encode()))
