@@ -33,8 +33,8 @@ from docquarry.llm.common import bounded_batches
 #: Lanes of 64 bits for equality, lanes of 32 bits for likeness, words of a window.
 EXACT, SKETCH, WINDOW = 8, 64, 3
 NAMES = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
-#: Documents of a range of doc_id, about.
-RANGE_DOCS = 1_000_000
+#: Documents of a range of doc_id, about, and ranges (a long and an int each) that are broadcast at most.
+RANGE_DOCS, BROADCAST_ROWS = 1_000_000, 1 << 19
 ODD, MIX1, MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 #: White space of ASCII.
 BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
@@ -181,7 +181,9 @@ def edited(docs: DataFrame) -> DataFrame:
     owners = spark.createDataFrame([(k, v) for k, v in before.items()], f"__dq_head {kind}, __dq_before int")
     # the head of each range, once more, behind the range before it; the first head ends the last range
     texts = docs.select(F.col("doc_id").alias("__dq_head_id"), F.col("text").cast("binary").alias("__dq_text"))
-    guard = texts.join(owners, texts["__dq_head_id"].eqNullSafe(owners["__dq_head"]))  # a row for each range: broadcast while that is small
+    if len(before) <= BROADCAST_ROWS:
+        owners = F.broadcast(owners)
+    guard = texts.join(owners, texts["__dq_head_id"].eqNullSafe(owners["__dq_head"]))  # a row for each range
     guard = guard.groupBy("__dq_before").agg(F.min_by("__dq_text", F.struct(F.coalesce("__dq_text", F.lit(b"")))).alias("__dq_text"))
     rows = given.withColumn("__dq_last", F.lit(False)).unionByName(guard.select(F.lit(None).cast(kind).alias("doc_id"), "__dq_text", F.col("__dq_before").alias("__dq_range"), F.lit(True).alias("__dq_last")))
     ordered = rows.repartition("__dq_range").sortWithinPartitions("__dq_range", "__dq_last", F.col("doc_id").asc_nulls_first(), F.coalesce("__dq_text", F.lit(b"")))
