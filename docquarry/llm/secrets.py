@@ -1,19 +1,28 @@
 """Secret scans: fixed patterns, and assignment-aware lexing of source and configuration syntax.
 
-The lexer reads a text as pairs of a name and what is assigned to it: `name = "x"`, `name: x`, `"name": "x"`,
-`name := x`, `name => x`, with concatenations by `+` and references to other names. Constants are propagated: a literal
-that reaches a sensitive name through other names is found where it stands. The terms of a concatenation are one value:
-its score is the sensitivity of the target's name times how much the value looks like a secret (length, variety, no
-placeholder), and all literals it is made of are found. A literal that scores by itself is found as well; where a term
-is an unknown name and a literal scores by itself, the value is judged by such literals alone.
+The lexer reads a text as pairs of a name and what is assigned to it:
+
+* names: `name`, `"name"`, `cfg["name"]`, `name: type` (annotated), `--name`, a call `name(...)`, an XML element
+  `<name>...</name>`, attributes `key="name" value="..."`, and a literal before another one, `("name", "...")`;
+* signs: `=`, `:=`, `=>`, `:`;
+* values: strings (single, double, back-quoted, triple, with prefixes and escapes), bare values, YAML block scalars,
+  concatenations (`+`, `.`, `..`, `&`, `||`, strings side by side, continued lines), references to other names, and the
+  literals in a call's arguments, a list or brackets, each a value of its own.
+
+Constants are propagated: a literal that reaches a sensitive name through other names is found where it stands; a name
+has the value assigned last before its use, or else the first one assigned after it. The terms of a concatenation are
+one value: its score is the sensitivity of the target's name (by its words, so `author` isn't `auth`) times how much
+the value looks like a secret (length, variety, no placeholder, no plain words), and all literals it is made of are
+found. A literal that scores by itself is found as well; where a term is an unknown name and a literal scores by
+itself, the value is judged by such literals alone.
 
 Kinds, in the order in which spans of one start are listed: assign, access, hex (the fixed patterns), literal (the
 lexer's). Starts and ends are in code points, ends exclusive. Patterns match leftmost and without overlaps, a kind by
 itself; matches that are too short are dropped after matching.
 
 Defined cases: a null text is an empty one and has no spans; a literal that two names reach is listed once, with its
-highest score; a name that is assigned again has its latest value; references in a circle end; repeated rows have
-equal spans; an empty table gives an empty result. Only doc_id and text are read (`redact` keeps all columns).
+highest score; references in a circle end; repeated rows have equal spans; an empty table gives an empty result. Only
+doc_id and text are read (`redact` keeps all columns).
 """
 
 from __future__ import annotations
@@ -38,16 +47,36 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")  # of a maximal run of such characters, all: its first 32 begin the match
 ASSIGN_LEAST, ACCESS_LEAST = 8, 16
 
-#: How sensitive a name is, by the parts it has.
+#: How sensitive a name is, by the word or words it ends with, also inside of a longer name.
 SENSITIVE = (
-    ("password", 1.0), ("passwd", 1.0), ("passphrase", 1.0), ("pwd", 0.9), ("secret", 1.0), ("privatekey", 1.0), ("apikey", 1.0), ("accesskey", 1.0), ("accountkey", 0.9),
-    ("token", 0.9), ("credential", 0.9), ("bearer", 0.8), ("auth", 0.7), ("signingkey", 0.9), ("encryptionkey", 0.9), ("connectionstring", 0.8), ("dsn", 0.6), ("salt", 0.5),
+    ("password", 1.0), ("passwd", 1.0), ("passphrase", 1.0), ("secret", 1.0), ("secretkey", 1.0), ("privatekey", 1.0), ("apikey", 1.0), ("accesskey", 1.0), ("accountkey", 0.9),
+    ("token", 0.9), ("credential", 0.9), ("signingkey", 0.9), ("encryptionkey", 0.9), ("connectionstring", 0.8),
 )
+#: Short words, which have to stand alone.
+SENSITIVE_WORDS = {"pwd": 0.9, "pass": 0.7, "bearer": 0.8, "auth": 0.7, "dsn": 0.6, "salt": 0.5}
 PLACEHOLDER = re.compile(r"^(?:x+|\*+|\.+|-+|_+|change_?me|example.*|placeholder|dummy|your[_-].*|test|null|none|true|false|undefined)$", re.IGNORECASE)
-#: Names are whole runs of their characters, but for digits, dots and dashes in front; each run is read once.
-PAIR = re.compile(r"""(?:(["'])([A-Za-z_][A-Za-z0-9_.\-]*+)\1|(?<![A-Za-z0-9_.\-])[0-9.\-]*+([A-Za-z_][A-Za-z0-9_.\-]*+))[\x20\t]*+(?::=|=>|=(?!=)|:(?![:/]))[\x20\t]*+""", re.ASCII)
-TERM = re.compile(r""""((?:[^"\\\n]|\\.)*)"|'((?:[^'\\\n]|\\.)*)'|([A-Za-z0-9+/_.=\-]+)""", re.ASCII)
-PLUS = re.compile(r"[\x20\t]*\+[\x20\t]*")
+WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
+
+IDENT = r"[A-Za-z_][A-Za-z0-9_.\-]*+"
+#: What is assigned to. Names are whole runs of their characters, but for digits, dots and dashes in front; each run is read once.
+TARGET = re.compile(
+    rf"""<({IDENT})(?:\s[^<>]*+)?>\s*+([^<>]*[^<>\s])\s*+</\1\s*>"""
+    rf"""|\b(?:key|name|id)=(["'])({IDENT})\3\s++value=(?=["'])"""
+    rf"""|(["'])({IDENT})\5(?:[\x20\t]*+\])?[\x20\t]*+(:=|=>|=(?!=)|:(?![:/])|,(?=\s*["'`]))[\x20\t]*+"""
+    rf"""|(?<![A-Za-z0-9_.\-])(--)?[0-9.\-]*+({IDENT})(?:[\x20\t]*+(:=|=>|=(?!=)|:(?![:/]))[\x20\t]*+|(\()|[\x20\t]++(?![\x20\t\-]))""",
+    re.ASCII,
+)
+#: A type between a name and its value.
+TYPED = re.compile(r"""([A-Za-z_][A-Za-z0-9_.]*+)(?:\[[^\]\n=]*+\]|<[^>\n=]*+>)?(?:[\x20\t]*+\|[\x20\t]*+[A-Za-z_][A-Za-z0-9_.]*+)*[\x20\t]*+=(?![=>])[\x20\t]*+""", re.ASCII)
+STRING = re.compile(r"""(?:[A-Za-z@$]{1,2})?(?:"((?:[^"\\\n]|\\.)*+)"|'((?:[^'\\\n]|\\.)*+)'|`([^`\n]*+)`)""", re.ASCII)
+TRIPLE = re.compile(r"""(?:[A-Za-z]{1,2})?(\"{3}|'{3})""")
+BARE = re.compile(r"[A-Za-z0-9+/_.=\-]+", re.ASCII)
+BLOCK = re.compile(r"[|>][0-9+\-]*+[\x20\t]*+\r?\n((?:[\x20\t]++[^\n]*+\n?|[\x20\t]*+\r?\n)++)")
+#: Between two terms of one value: signs of concatenation, with lines going on behind them, before them or by a backslash.
+JOIN = re.compile(r"""\s*+(?:\+|\.\.?(?=\s*["'`$])|&|\|\|)\s*+|[\x20\t]*+\\\r?\n[\x20\t]*+(?=["'`])""")
+QUOTE = re.compile(r"""[\x20\t]*+(?=[A-Za-z]{0,2}["'`])""")
+#: Brackets in brackets that a value is read in.
+DEPTH = 2
 #: Characters of a value that tell whether it is a placeholder.
 HEAD = 64
 #: Start, end, value, quoted.
@@ -62,13 +91,22 @@ class SecretConfig:
 
 
 def sensitivity(name: str) -> float:
-    plain = name.lower().replace("_", "").replace("-", "").replace(".", "")
-    return max((weight for part, weight in SENSITIVE if part in plain), default=0.0)
+    """By the words of the name: parts between signs, or between a small and a large letter."""
+    best, joined = 0.0, ""
+    for word in WORDS.findall(name):
+        word = word.lower()
+        joined += word
+        best = max(best, SENSITIVE_WORDS.get(word, 0.0))
+        plain = joined.removesuffix("s")
+        for part, weight in SENSITIVE:
+            if weight > best and (joined.endswith(part) or plain.endswith(part)):
+                best = weight
+    return best
 
 
 def suspicion(value: str) -> float:
-    """How much a literal looks like a secret, 0 to 1: by its entropy, in bits a character, and by its length."""
-    return suspicion_of(Value(len(value), value, Counter(value)))
+    """How much a quoted literal looks like a secret, 0 to 1: by its entropy, in bits a character, and by its length."""
+    return suspicion_of(Value(len(value), value, Counter(value), bare=False))
 
 
 def suspicion_of(value: Value) -> float:
@@ -79,39 +117,157 @@ def suspicion_of(value: Value) -> float:
         return 0.0
     n = value.length
     bits = -sum(p * math.log2(p) for c in value.counts.values() if (p := c / n) > 0)
-    return min(1.0, bits / 3) * min(1.0, 0.5 + min(n, 16) / 32)
+    # Words alone are names and prose more often than secrets.
+    words, spaced = all(c.isalpha() or c.isspace() or c in ",.;:!?'_-/" for c in value.counts), any(c.isspace() for c in value.counts)
+    joined = any(c in "_-/." for c in value.counts)
+    plain = 1.0 if not words else 0.6 if spaced and not value.bare else 0.45 if value.bare or joined else 1.0
+    return min(1.0, bits / 3) * min(1.0, 0.5 + min(n, 16) / 32) * plain
+
+
+class Reader:
+    """Reads the pairs of one text."""
+
+    def __init__(self, text: str) -> None:
+        self.text, self.found = text, []
+        #: Triple quotes that don't close any more from some place on.
+        self.open_from: dict[str, int] = {}
+
+    def string(self, at: int) -> Term | None:
+        text = self.text
+        if (m := TRIPLE.match(text, at)) is not None and m.end() < self.open_from.get(m.group(1), len(text) + 1):
+            end = text.find(m.group(1), m.end())
+            if end >= 0:
+                self.after = end + 3
+                return m.end(), end, text[m.end() : end], True
+            self.open_from[m.group(1)] = m.end()
+        if (m := STRING.match(text, at)) is not None:
+            self.after = m.end()
+            return (*m.span(m.lastindex), m.group(m.lastindex), True)
+        return None
+
+    def value(self, at: int, depth: int = 0) -> tuple[list[list[Term]], int, bool]:
+        """The values that begin at `at`, where they end, and whether they were in brackets. One value outside of brackets, any number inside."""
+        text, values, terms, nested = self.text, [], [], depth > 0
+        while True:
+            if depth:
+                while at < len(text) and text[at].isspace():
+                    at += 1
+            if (term := self.string(at)) is not None:
+                terms.append(term)
+                at = self.after
+            elif (m := BARE.match(text, at)) is not None and not depth:
+                at = m.end()
+                if text[at : at + 1] in ("(", "[") and NAME.match(m.group()):
+                    depth, nested, at = depth + 1, True, at + 1
+                    continue
+                terms.append((*m.span(), m.group(), False))
+            elif depth and (m := NAMES.match(text, at)) is not None:
+                at = m.end()
+                if text[at : at + 1] in ("(", "["):
+                    if depth == DEPTH:
+                        break
+                    depth, at = depth + 1, at + 1
+                    continue
+                if (m2 := SIGN.match(text, at)) is not None:  # a keyword: its value stands by itself
+                    values.append(terms)
+                    terms, at = [], m2.end()
+                    continue
+                terms.append((*m.span(), m.group(), False))
+            elif text[at : at + 1] in ("(", "[") and depth < DEPTH and not terms:
+                depth, nested, at = depth + 1, True, at + 1
+                continue
+            if (m := JOIN.match(text, at)) is not None and terms:
+                at = m.end()
+                continue
+            if terms and terms[-1][3] and (m := (SPACED if depth else QUOTE).match(text, at)) is not None:
+                at = m.end()
+                continue
+            if not depth:
+                break
+            while at < len(text) and text[at].isspace():
+                at += 1
+            sign = text[at : at + 1]
+            if sign not in (",", ")", "]", ";"):
+                break
+            at += 1
+            values.append(terms)
+            terms = []
+            if sign in ")]":
+                depth -= 1
+                if not depth:
+                    break
+        return [x for x in [*values, terms] if x], at, nested
+
+    def pairs(self) -> list[tuple[str, list[Term]]]:
+        """The names and the terms assigned to them, in order: (start, end, value, quoted) for each term."""
+        text, out, at = self.text, [], 0
+        while (m := TARGET.search(text, at)) is not None:
+            at = m.end()
+            if m.group(1):
+                out.append((m.group(1), [(*m.span(2), m.group(2), True)]))
+                continue
+            if m.group(4):
+                name, sign = m.group(4), "="
+            elif m.group(6):
+                name, sign = m.group(6), m.group(7)
+            else:
+                name, sign = m.group(9), m.group(10)
+                if m.group(11):  # a call: its arguments are read again
+                    if sensitivity(name):
+                        out += [(name, [t for t in terms if t[3]]) for terms in self.value(at, 1)[0] if any(t[3] for t in terms)]
+                    continue
+                if sign is None:  # of names and values with only a blank between them, options count
+                    if not m.group(8):
+                        continue
+                    sign = "--"
+            if sign == ",":
+                while text[at].isspace():
+                    at += 1
+                start = at
+                if (term := self.string(at)) is not None and sensitivity(name):
+                    out.append((name, [term]))
+                at = start
+                continue
+            names = [name]
+            if sign == ":":
+                if (b := BLOCK.match(text, at)) is not None:
+                    inner = b.group(1).strip()
+                    if inner:
+                        start = b.start(1) + b.group(1).index(inner)
+                        out.append((name, [(start, start + len(inner), inner, True)]))
+                    at = b.start(1)  # lines of a block may be pairs themselves
+                    continue
+                if (t := TYPED.match(text, at)) is not None:
+                    names.append(t.group(1))
+                    at = t.end()
+            values, end, nested = self.value(at)
+            out += [(n, terms) for terms in values for n in names]
+            # what is in brackets may hold pairs, and a bare value may itself begin one, as in `a: b = "c"`
+            if not nested and values:
+                terms = values[0]
+                at = terms[0][0] if len(terms) == 1 and not terms[0][3] else end
+            at = max(at, m.end())
+        return out
+
+
+NAMES = re.compile(IDENT, re.ASCII)
+SIGN = re.compile(r"[\x20\t]*+(?::=|=>|=(?!=)|:(?![:/]))[\x20\t]*+")
+SPACED = re.compile(r"""\s*+(?=[A-Za-z]{0,2}["'`])""")
 
 
 def pairs(text: str) -> list[tuple[str, list[Term]]]:
-    """The names and the terms assigned to them, in order: (start, end, value, quoted) for each term."""
-    out, at = [], 0
-    while (m := PAIR.search(text, at)) is not None:
-        terms, at = [], m.end()
-        while (t := TERM.match(text, at)) is not None:
-            group = 1 if t.group(1) is not None else 2 if t.group(2) is not None else 3
-            terms.append((*t.span(group), t.group(group), group < 3))
-            at = t.end()
-            more = PLUS.match(text, at)
-            if more is None:
-                break
-            at = more.end()
-        if terms:
-            out.append((m.group(2) or m.group(3), terms))
-            # a bare value may itself begin a pair, as in `a: b = "c"`
-            if not terms[-1][3] and len(terms) == 1:
-                at = terms[0][0]
-        at = max(at, m.end())
-    return out
+    return Reader(text).pairs()
 
 
 @dataclass
 class Value:
-    """What is assigned to a name, with constants put in: its length, characters and beginning; complete: every term is known."""
+    """What is assigned to a name, with constants put in: its length, characters and beginning; complete: every term is known; bare: none is quoted."""
 
     length: int = 0
     head: str = ""
     counts: Counter[str] = field(default_factory=Counter)
     complete: bool = True
+    bare: bool = True
 
     def add(self, other: Value) -> None:
         self.length += other.length
@@ -119,6 +275,7 @@ class Value:
         for c, n in other.counts.items():
             self.counts[c] += n
         self.complete &= other.complete
+        self.bare &= other.bare
 
 
 def folded(name: str, terms: list[Term], latest: dict[str, list[Term]]) -> tuple[Value, list[Term]]:
@@ -139,7 +296,7 @@ def folded(name: str, terms: list[Term], latest: dict[str, list[Term]]) -> tuple
             else:
                 literals[start, end] = of[at]
                 unknown = not quoted and len(of) > 1 and NAME.match(text) is not None
-                value.add(Value(complete=False) if unknown else Value(len(text), text[:HEAD], Counter(text)))
+                value.add(Value(complete=False) if unknown else Value(len(text), text[:HEAD], Counter(text), bare=not quoted))
             at += 1
         else:
             values[own] = value
@@ -152,13 +309,14 @@ def lexed(text: str, config: SecretConfig = SecretConfig()) -> list[tuple[int, i
     found = pairs(text)
     if not any(sensitivity(name) for name, _ in found):
         return []
-    latest: dict[str, list[Term]] = {}
+    # Of a name that is used before it is assigned, the first value counts; from then on the latest one.
+    latest = dict(reversed(found))
     best: dict[tuple[int, int], tuple[str, float]] = {}
     for name, terms in found:
         weight = sensitivity(name)
         if weight:
             value, literals = folded(name, terms, latest)
-            scores = {(a, b): weight * suspicion(x) if len(x) >= config.least_length else 0.0 for a, b, x, _ in literals}
+            scores = {(a, b): weight * suspicion_of(Value(len(x), x, Counter(x), bare=not quoted)) if len(x) >= config.least_length else 0.0 for a, b, x, quoted in literals}
             whole = weight * suspicion_of(value) if value.length >= config.least_length else 0.0
             # With a term unknown, literals that look like secrets by themselves stand for the value.
             if whole >= config.least_score and (value.complete or max(scores.values(), default=0.0) < config.least_score):

@@ -124,6 +124,43 @@ def test_lexer_scores_the_whole_value():
     assert read(doubled) == ["ab12"]
 
 
+HELD = "Zx81Qw0pLm72"
+#: Texts in which HELD alone is a secret that the fixed patterns don't have to know.
+KNOWN = [
+    'cfg["credential"] = "%s"', 'credential: str = "%s"', 'const credential: string = "%s"', 'credential: Map<String, String> = "%s"', 'credential = """%s"""', "credential = b'%s'", "credential = `%s`", 'credential := "%s"',
+    'set_credential("%s")', 'login(user="me", credential="%s")', 'credential = get("x", "%s")', 'os.environ.setdefault("DB_CREDENTIAL", "%s")', 'credentials = ["%s", "abc"]', 'credential = ("%s")',
+    "<credential>%s</credential>", '<add key="credential" value="%s"/>', "credential: |\n  %s\nnext: 1\n", "  credential:   %s # as it was", "CREDENTIAL=%s", "run --credential %s now", "[db]\ncredential = %s\n",
+    'client_secret = K\nK = "%s"\n', 'K = "%s"\nalias = K\nclientCredential = alias\n', 'd = {"user": "me", "credential": "%s"}', '"credential" => "%s"', 'note: credential = "%s"', 'user.credential="%s"',
+]
+#: Texts without a secret.
+CLEAN = [
+    'author = "Christopher Alexander"', "author: Christopher", 'authority = "X9k2mPq8Zt4w"', 'secretary = "Margaret Thatcher 1979"', 'tokenize("X9k2mPq8Zt4w")', 'token = get_token("service-name")', 'password = os.environ["DB_PASSWORD"]',
+    'credential = "${VAULT_CREDENTIAL}"', 'pwd = "changeme"', 'basalt = "X9k2mPq8Zt4w"', "The credential: something that one presents", "compass: northwest", "the pass: over mountains", "credential = None", 'auth = "basic"', "token <- x", "if token == other_token_12345:",
+]
+
+
+def test_lexer_finds_the_known_and_leaves_the_clean():
+    found = [[t[a:b] for a, b, _, _ in secrets.lexed(t)] for t in (k % HELD for k in KNOWN)]
+    false = [[t[a:b] for a, b, _, _ in secrets.lexed(t)] for t in CLEAN]
+    assert [f for f in found if f != [HELD]] == [] and [f for f in false if f] == []  # recall and precision of 1 on this table
+
+
+def test_lexer_folds_concatenations_of_all_kinds():
+    parts = ["Zx9q", "Lm4T", "w8Rk", "pQ2v"]
+    for value in (
+        '"Zx9q" + "Lm4T" + "w8Rk" + "pQ2v"', '("Zx9q" "Lm4T"\n "w8Rk" "pQ2v")', '"Zx9q" . "Lm4T" . "w8Rk" . "pQ2v"', '"Zx9q" +\n  "Lm4T" + "w8Rk"\n + "pQ2v"', '"Zx9q" \\\n "Lm4T" \\\n "w8Rk" "pQ2v"', '"Zx9q" & "Lm4T" & "w8Rk" & "pQ2v"',
+    ):
+        text = "credential = " + value
+        assert [text[a:b] for a, b, _, _ in secrets.lexed(text)] == parts, value
+
+
+def test_lexer_is_linear_in_hostile_texts():
+    start = time.process_time()
+    for text in ("a(" * 100_000, "secret = [" * 50_000, "x = '''" * 50_000, "a, " * 200_000 + "secret=1", '"a", ' * 100_000, "<a>" * 100_000, "secret(" + '"x", ' * 100_000, "k: |\n  a: b\n" * 30_000, "a b " * 200_000):
+        secrets.lexed(text)
+    assert time.process_time() - start < 40
+
+
 def test_lexer_reads_aligned_columns_and_long_names():
     value, key = "Zx81Qw0pLm72", "service." * 12 + "credential"
     for text in (
