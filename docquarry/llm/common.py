@@ -9,6 +9,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,13 +20,15 @@ BATCH_BYTES = 16 * 1024 * 1024
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where none is set (tests)."""
+    """The folder all executors share: spark.checkpoint.dir, or one of our own where none is set and all runs on one machine (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
     got = spark.sparkContext.getCheckpointDir() if hasattr(spark, "sparkContext") else None
     if got:
         return got
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir isn't set: executors have no folder in common")
     own = "file://" + tempfile.mkdtemp(prefix="docquarry-")
     spark.sparkContext.setCheckpointDir(own)
     return own
@@ -43,6 +46,27 @@ def materialize(df: DataFrame, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def named_rows(docs: DataFrame) -> DataFrame:
+    """The rows of `docs` with a name each, __dq_file and __dq_row: a file's and a row's number. What isn't read from files is written first."""
+    for frame in (docs, None):
+        frame = materialize(docs) if frame is None else frame
+        try:
+            return frame.select("*", F.xxhash64("_metadata.file_path").alias("__dq_file"), F.col("_metadata.row_index").alias("__dq_row"))
+        except AnalysisException:
+            continue
+    raise RuntimeError("written tables have row numbers")
+
+
+#: What names a row and orders it within a group.
+ROW = ("doc_id", "__dq_file", "__dq_row")
+
+
+def first_of_each(named: DataFrame, groups: DataFrame, group: str) -> DataFrame:
+    """One row of `named` for each value of the column `group` of `groups` (which has ROW and it): the smallest doc_id, nulls last, and the first such row."""
+    first = groups.groupBy(group).agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), *ROW)).alias("x"))
+    return named.join(first.select("x.__dq_file", "x.__dq_row"), ["__dq_file", "__dq_row"], "left_semi")
+
+
 #: A stage's output, between two stages.
 rewritten = materialize
 

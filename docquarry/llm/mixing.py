@@ -18,11 +18,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docquarry.llm.common import SPACE_CLASS, materialize
+from docquarry.llm.common import SPACE_CLASS, materialize, named_rows
 
 #: Primes above any number of blocks, so a * x mod N is a permutation for every N below them.
 PRIMES = (2305843009213693951, 2305843009213693921, 2305843009213693907, 2305843009213693723)
@@ -180,17 +179,6 @@ def mix(docs: DataFrame, config: MixConfig = MixConfig()) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "source")
 
 
-def named_rows(docs: DataFrame) -> DataFrame:
-    """The rows of `docs` with a name each, __dq_file and __dq_row: a file's and a row's number. What isn't read from files is written first."""
-    for frame in (docs, None):
-        frame = materialize(docs) if frame is None else frame
-        try:
-            return frame.select("*", F.xxhash64("_metadata.file_path").alias("__dq_file"), F.col("_metadata.row_index").alias("__dq_row"))
-        except AnalysisException:
-            continue
-    raise RuntimeError("written tables have row numbers")
-
-
 def mix_documents(docs: DataFrame, config: MixConfig = MixConfig()) -> DataFrame:
     """The mixed documents, with the columns of `docs`: a row with the words the mix takes once or more, and another with those it takes twice.
 

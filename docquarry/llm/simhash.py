@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docquarry.llm.common import materialize, text_bytes
+from docquarry.llm.common import ROW, first_of_each, materialize, named_rows, text_bytes
 from docquarry.llm.components import components
 
 
@@ -63,16 +63,16 @@ def fingerprint(text: bytes | None, words: int, seed: int) -> int:
     return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, config: SimhashConfig = SimhashConfig()) -> DataFrame:
-    """doc_id, fp (its 64 bits as a long) of every row."""
+def fingerprints(docs: DataFrame, config: SimhashConfig = SimhashConfig(), keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns `keep`, and fp (the 64 bits of a text's fingerprint as a long) of every row."""
     words, seed = config.words, config.seed
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             got = np.array([fingerprint(t.as_py(), words, seed) for t in batch.column("text")], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(got.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(got.view(np.int64))], [*keep, "fp"])
 
-    return text_bytes(docs, "doc_id").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp long")
+    return text_bytes(docs, *keep).mapInArrow(run, ", ".join([*(f"{c} {docs.schema[c].dataType.simpleString()}" for c in keep), "fp long"]))
 
 
 def verified(members: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
@@ -180,15 +180,15 @@ def links(distinct: DataFrame, config: SimhashConfig = SimhashConfig()) -> DataF
     return first.filter("late = 0").select("u", "v").unionByName(again.select("u", "v"))
 
 
-def grouped(docs: DataFrame, config: SimhashConfig = SimhashConfig()) -> DataFrame:
-    """doc_id, fp, component_id of every row."""
-    prints = materialize(fingerprints(docs, config))
+def grouped(docs: DataFrame, config: SimhashConfig = SimhashConfig(), keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns `keep`, fp, root (a fingerprint that names the component) and component_id of every row."""
+    prints = materialize(fingerprints(docs, config, keep))
     distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
     linked = components(links(distinct, config))
     named = distinct.join(linked, distinct["fp"] == linked["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = materialize(named)
     heads = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    return prints.join(named.join(heads, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    return prints.join(named.join(heads, "root").select("fp", "root", "component_id"), "fp").select(*keep, "fp", "root", "component_id")
 
 
 def near_duplicates(docs: DataFrame, config: SimhashConfig = SimhashConfig()) -> DataFrame:
@@ -197,7 +197,6 @@ def near_duplicates(docs: DataFrame, config: SimhashConfig = SimhashConfig()) ->
 
 
 def representatives(docs: DataFrame, config: SimhashConfig = SimhashConfig()) -> DataFrame:
-    """The rows of `docs` whose doc_id names their component: one document of each group stays. Rows of a null doc_id, in groups of their own only, stay as well."""
-    groups = grouped(docs, config)
-    keep = groups.filter(F.col("component_id").isNull() | (F.col("doc_id") == F.col("component_id"))).select("doc_id").distinct()
-    return docs.join(keep.select(F.col("doc_id").alias("__dq_id")), docs["doc_id"].eqNullSafe(F.col("__dq_id")), "left_semi")
+    """One row of each group: of those of its smallest doc_id (a null one only where there is no other), the first in its file."""
+    named = named_rows(docs)
+    return first_of_each(named, grouped(named, config, ROW), "root").select(*docs.columns)

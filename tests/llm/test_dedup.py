@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from docquarry.llm import fingerprint, linededup, simhash
+from docquarry.llm import fingerprint, linededup, simhash, similar
 from docquarry.llm.components import components
 from tests.llm.helpers import empty, pairs, table
 
@@ -82,12 +82,24 @@ def test_links_lose_nothing_also_in_crowded_entries(spark, entry):
     assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
 
 
-def test_representatives_keep_one_of_each_group(spark):
+def test_representatives_keep_one_row_of_each_group(spark):
     docs = table(spark)
-    names = {r["component_id"] for r in simhash.near_duplicates(docs).collect()}
+    rows = pairs(docs)
+    groups = plain_components([plain_fingerprint(t) for _, t in rows])
+    least = {}
+    for (i, _), g in zip(rows, groups):
+        least[g] = min(least.get(g, (True, 0)), (i is None, i or 0))
     kept = simhash.representatives(docs)
     assert kept.columns == docs.columns
-    assert {r["doc_id"] for r in kept.collect()} - {None} == names - {None}
+    assert Counter(r["doc_id"] for r in kept.collect()) == Counter(None if none else i for none, i in least.values())
+
+
+@pytest.mark.parametrize("module", [simhash, similar])
+def test_representatives_of_repeated_rows_and_null_ids(spark, module):
+    one, two, three, four = ("alpha beta gamma delta epsilon zeta " * 3, "other words stand here in this text " * 3, "third text of words that nothing else has " * 3, "x y z " * 9)
+    rows = [(1, one), (1, one), (4, one), (None, one), (None, two), (None, two), (None, three), (7, three), (None, four)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted(module.representatives(docs).collect(), key=str) == sorted([(1, one), (None, two), (7, three), (None, four)], key=str)
 
 
 def test_components_of_a_path(spark):
