@@ -9,6 +9,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 
+def filter_bits(rows: int, per_row: int, least: int, most: int) -> int:
+    """A power of two of about `per_row` bits a row, between the bounds (which are powers of two)."""
+    return min(most, max(least, 1 << (rows * per_row).bit_length()))
+
+
 def places(keys: list[bytes], bits: int) -> np.ndarray:
     """Two bit positions of each digest of 16 bytes."""
     words = np.frombuffer(b"".join(keys), np.uint64).reshape(-1, 2)
@@ -29,13 +34,16 @@ def twice_seen(rows: DataFrame, spot: int, digests: Callable[[bytes | None], Ite
     """
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(bits, np.uint8)
+        once, twice = np.zeros(bits // 8, np.uint8), np.zeros(bits // 8, np.uint8)
         for batch in batches:
             keys = [d for value in batch.column(spot).to_pylist() for d in digests(value)]
             if keys:
                 at, n = np.unique(places(keys, bits).ravel(), return_counts=True)
-                seen[at] = np.minimum(2, seen[at] + np.minimum(n, 2))
-        once, twice = np.packbits(seen > 0).reshape(slices, -1), np.packbits(seen > 1).reshape(slices, -1)
+                byte, mask = at >> 3, np.uint8(128) >> (at & 7).astype(np.uint8)
+                again = (n > 1) | (once[byte] & mask > 0)
+                np.bitwise_or.at(twice, byte[again], mask[again])
+                np.bitwise_or.at(once, byte, mask)
+        once, twice = once.reshape(slices, -1), twice.reshape(slices, -1)
         for k in np.flatnonzero(once.any(1)).tolist():
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([once[k].tobytes()]), pa.array([twice[k].tobytes()])], ["slice", "once", "twice"])
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docquarry.llm.blooms import suspected, twice_seen
+from docquarry.llm.blooms import filter_bits, suspected, twice_seen
 from docquarry.llm.common import bounded_batches, materialize
 
 
@@ -32,9 +32,12 @@ class LineConfig:
     #: A key is compared when it has so many code points, and dropped when so many documents hold it.
     least_chars: int = 20
     least_docs: int = 3
-    #: Bits of each of the two filters (2 MB), a proven bound of what is broadcast; parts they are merged in.
-    bits: int = 1 << 24
-    slices: int = 64
+    #: Bits of each of the two filters: a power of two of about so many a row, between these bounds (32 MB at most: a
+    #: proven bound of what is broadcast); parts they are merged in.
+    bits_per_row: int = 64
+    least_bits: int = 1 << 20
+    most_bits: int = 1 << 28
+    slices: int = 256
     #: Parts that a repeated key's documents are dealt into.
     salts: int = 16
 
@@ -67,7 +70,7 @@ def narrow(docs: DataFrame) -> DataFrame:
 
 def drops(docs: DataFrame, config: LineConfig = LineConfig()) -> DataFrame:
     """__dq_id and __dq_drop: for each document that loses lines, the digests of their keys."""
-    bits, least = config.bits, config.least_chars
+    bits, least = filter_bits(docs.count(), config.bits_per_row, config.least_bits, config.most_bits), config.least_chars
     twice = twice_seen(narrow(docs), 1, lambda text: digests(text, least), bits, config.slices)
     shared = docs.sparkSession.sparkContext.broadcast(twice)
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docquarry.llm.blooms import suspected, twice_seen
+from docquarry.llm.blooms import filter_bits, suspected, twice_seen
 from docquarry.llm.common import materialize, text_bytes
 
 
@@ -41,11 +41,11 @@ class MediaConfig:
     least: int = 512
     most: int = 8192
     zeros: int = 11
-    #: Bits of the filters are a power of two of about so many a row, between these bounds (16 MB at most).
+    #: Bits of the filters are a power of two of about so many a row, between these bounds (32 MB at most).
     bits_per_row: int = 16
     least_bits: int = 1 << 20
-    most_bits: int = 1 << 27
-    slices: int = 64
+    most_bits: int = 1 << 28
+    slices: int = 256
 
 
 GEAR = (lambda x: ((x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)) >> np.uint64(32))(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).astype(np.uint32)
@@ -109,7 +109,7 @@ def samples_of(form: bytes) -> bytes:
 def store(docs: DataFrame, config: MediaConfig = MediaConfig()) -> tuple[DataFrame, DataFrame]:
     """The media table (doc_id, n_bytes, media, digests, parts: null for those in the chunk table) and the chunk table (digest, samples), written to the shared folder."""
     rows = docs.count()
-    bits = min(config.most_bits, max(config.least_bits, 1 << (rows * config.bits_per_row).bit_length()))
+    bits = filter_bits(rows, config.bits_per_row, config.least_bits, config.most_bits)
     frame = text_bytes(docs, "doc_id")
     twice = twice_seen(frame, 1, lambda text: map(digest, chunks(payload_of(text, config.frame), config)), bits, config.slices)
     shared = docs.sparkSession.sparkContext.broadcast(twice)

@@ -128,7 +128,7 @@ def plain_lines(rows):
 @pytest.mark.parametrize("bits", [1 << 24, 1 << 9])  # with a saturated filter, too
 def test_lines_against_brute_force(spark, bits):
     docs = table(spark)
-    got = linededup.dedup_lines(docs, linededup.LineConfig(bits=bits, slices=64))
+    got = linededup.dedup_lines(docs, linededup.LineConfig(least_bits=bits, most_bits=bits, slices=64))
     assert Counter(map(tuple, got.collect())) == plain_lines(pairs(docs))
     assert sum(k[2] * n for k, n in plain_lines(pairs(docs)).items()) > 3
 
