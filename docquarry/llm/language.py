@@ -137,8 +137,9 @@ def fit(docs: DataFrame, config: LanguageConfig = LanguageConfig()) -> LanguageM
             rows = [r.astype(np.float16).tobytes() for _, _, c in counted(FOLD[raw], offsets, bits) for r in shares(c) * 64]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("lang"), pa.array(rows, pa.binary())], ["doc_id", "lang", "x"])
 
-    rows = picked.mapInArrow(features, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang string, x binary").collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["lang"], bytes(r["x"])))
+    rows = picked.mapInArrow(features, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang string, x binary")
+    rows = rows.groupBy("doc_id", "lang").agg(F.min("x").alias("x")).collect()  # a row for each id and language: the sample's bound
+    rows.sort(key=lambda r: (r["doc_id"], r["lang"]))
     if not rows:
         return None
     x = np.stack([np.frombuffer(r["x"], np.float16) for r in rows]).astype(np.float32) / 64

@@ -6,7 +6,8 @@ which bounds the broadcast; every document is scored over its whole text.
 
 Defined cases: a null text is an empty one; a text without a trigram (under 3 bytes) has no direction, and gets the
 share of label 1 among the learned rows; with no labelled row every score is 0.5; null labels aren't learned from, and
-of several labels for one document the largest counts; ties among neighbours go to the smaller doc_id. Only doc_id and
+of several labels for one document the largest counts; ties among neighbours go to the
+smaller doc_id; of rows that share a learned doc_id, the one of the smallest vector is learned from. Only doc_id and
 text of the documents, and doc_id and quality of the labels, are read.
 """
 
@@ -52,12 +53,20 @@ class QualityModel:
     def score(self, counts: np.ndarray, echoes: np.ndarray) -> np.ndarray:
         cosine = placed((np.log1p(counts) * self.idf) @ self.axes, echoes * self.echo) @ self.vectors.T
         k = min(self.neighbours, cosine.shape[1])
-        near = np.argpartition(-cosine, k - 1, axis=1)[:, :k] if k < cosine.shape[1] else np.tile(np.arange(k), (len(cosine), 1))
+        near = nearest(cosine, k)
         sure = np.maximum(np.take_along_axis(cosine, near, 1), 0) ** 4 + 1e-9
         voted = (sure * self.labels[near]).sum(1) / sure.sum(1)
         return np.where(counts.sum(1) > 0, voted, self.labels.mean()).astype(np.float64)
 
 
+def nearest(cosine: np.ndarray, k: int) -> np.ndarray:
+    """The columns of each row's k largest values; among equal ones the first columns."""
+    bits = np.ascontiguousarray(cosine, np.float32).view(np.int32).astype(np.int64)
+    order = np.where(bits < 0, -(bits & 0x7FFFFFFF), bits)  # floats as numbers of the same order
+    keys = (-order << 32) + np.arange(cosine.shape[1])
+    return np.argpartition(keys, k - 1, axis=1)[:, :k] if k < cosine.shape[1] else np.tile(np.arange(k), (len(cosine), 1))
+
+
 def placed(z: np.ndarray, echoes: np.ndarray) -> np.ndarray:
     """Unit vectors: the direction in latent space, and beside it how far the text repeats itself."""
     z = z / np.maximum(np.sqrt((z**2).sum(1, keepdims=True)), 1e-9)
@@ -92,7 +101,8 @@ def fit(docs: DataFrame, labels: DataFrame, config: QualityConfig = QualityConfi
             rows = [r.astype(np.float16).tobytes() for _, _, c in counted(raw, offsets, bits) for r in np.log1p(c)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(rows, pa.binary()), pa.array(repeated(raw, offsets))], ["doc_id", "label", "x", "echo"])
 
-    rows = picked.mapInArrow(features, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, label int, x binary, echo float").collect()
+    rows = picked.mapInArrow(features, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, label int, x binary, echo float")
+    rows = rows.groupBy("doc_id", "label").agg(F.min(F.struct("x", "echo")).alias("v")).select("doc_id", "label", "v.*").collect()  # a row for each id: the sample's bound
     if not rows:
         return None
     rows.sort(key=lambda r: (r["doc_id"], bytes(r["x"])))

@@ -327,6 +327,57 @@ def test_quality_held_out(spark):
     assert quality.classify(empty(spark), docs.select("doc_id", "quality")).collect() == []
 
 
+def test_nearest_takes_the_first_of_equal_ones():
+    rng = random.Random(11)
+    import numpy as np
+
+    cosine = np.array([[rng.choice([-1.0, -0.5, -0.0, 0.0, 0.25, 0.25, 1.0]) for _ in range(60)] for _ in range(40)], np.float32) + 0.0
+    for row, near in zip(cosine, quality.nearest(cosine, 9)):
+        assert sorted(near.tolist()) == sorted(sorted(range(60), key=lambda k: (-row[k], k))[:9])
+
+
+def test_quality_against_brute_force(spark):
+    """The votes of all labelled rows' vectors, neighbour by neighbour, with repeated rows, ties and long texts."""
+    import numpy as np
+
+    docs = corpus(spark, 120)
+    more = docs.filter("doc_id < 6").unionByName(spark.createDataFrame([(900, "tie words here " * 30, "en", 1), (901, "tie words here " * 30, "en", 0), (902, "a b " * 100_000, "en", 1), (900, "tie words here " * 30, "en", 1)], docs.schema))
+    docs = docs.unionByName(more).withColumn("score", F.lit("x"))
+    model = quality.fit(docs, docs.select("doc_id", "quality"))
+    got = {(r["doc_id"], r["text"]): r["score"] for r in quality.classify(docs, docs.select("doc_id", "quality")).join(docs.select("doc_id", "text"), "doc_id").collect()}
+    assert len(model.vectors) == len({i for i in [*range(121), 122, 900, 901, 902] if zlib.crc32(str(i).encode()) % 5})
+    for (i, text), score in got.items():
+        raw = np.frombuffer((text or "").encode(), np.uint8)
+        counts = np.zeros(1 << model.bits, np.float32)
+        for a, b, c in zip(raw[:-2].tolist(), raw[1:-1].tolist(), raw[2:].tolist()):
+            counts[((a << 16 | b << 8 | c) * 2654435761 & 0xFFFFFFFF) >> 32 - model.bits] += 1
+        codes = [bytes(raw[k : k + 4]) for k in range(len(raw) - 3)]
+        spots = range(24, len(codes))
+        echo = sum(any(codes[k] == codes[k - lag] for lag in range(3, 25)) for k in spots) / max(1, len(spots)) if len(raw) >= 7 else 0.0
+        if not counts.sum():
+            want = model.labels.mean()
+        else:
+            z = (np.log1p(counts) * model.idf) @ model.axes
+            z = np.append(z / np.sqrt((z**2).sum()), echo * model.echo)
+            cosine = (z / np.sqrt((z**2).sum())) @ model.vectors.T
+            order = sorted(range(len(cosine)), key=lambda k: (-round(float(cosine[k]), 5), k))[: model.neighbours]
+            sure = [max(float(cosine[k]), 0) ** 4 + 1e-9 for k in order]
+            want = sum(s * model.labels[k] for s, k in zip(sure, order)) / sum(sure)
+        assert abs(score - want) < 0.05, (i, score, want)
+
+
+def test_languages_of_repeated_rows_ties_and_long_texts(spark):
+    docs = corpus(spark, 120)
+    extra = [(3, None, "es", 1), (500, "x" * 300_000, "en", 1), (501, "ab", "en", 1), (501, "ab", "de", 1), (None, "nul id the whonras thew", "en", 1), (None, None, None, None)]
+    docs = docs.unionByName(docs.filter("doc_id < 9")).unionByName(spark.createDataFrame(extra, docs.schema)).withColumn("score", F.lit("s")).withColumn("held_out", F.lit(1))
+    once = Counter(language.identify(docs).collect())
+    assert once == Counter(language.identify(docs.repartition(5)).collect()) and sum(once.values()) == docs.count()
+    texts = {}
+    for r in once:
+        texts.setdefault(r["doc_id"], set()).add((r["lang_pred"], r["score"]))
+    assert all(len(texts[k]) == 1 for k in range(9) if k != 3)  # repeated rows have equal values
+
+
 def test_materialize_keeps_rows(spark):
     docs = table(spark)
     assert Counter(map(str, materialize(docs).collect())) == Counter(map(str, docs.collect()))
