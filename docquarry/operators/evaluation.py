@@ -21,7 +21,12 @@ def ranked_metrics(ranked: DataFrame, relevant: DataFrame, query: str, ident: st
     unique = first.withColumn("rank", F.row_number().over(Window.partitionBy(query).orderBy("rank", ident)))
     wanted = relevant.select(query, ident).distinct()
     total = wanted.groupBy(query).agg(F.count("*").alias("relevant"))
-    hits = wanted.join(unique, [query, ident]).groupBy(query).agg(
+    return metrics_of_hits(wanted.join(unique, [query, ident]), total, query, digits)
+
+
+def metrics_of_hits(found: DataFrame, total: DataFrame, query: str, digits: int = 6) -> DataFrame:
+    """The metrics from the relevant items that were found (query, rank) and the number of relevant ones (query, relevant)."""
+    hits = found.groupBy(query).agg(
         F.count_if(F.col("rank") <= 5).alias("at5"), F.count_if(F.col("rank") <= 10).alias("at10"), F.min("rank").alias("first"),
         F.sum(F.when(F.col("rank") <= 10, 1 / F.log2(F.col("rank") + 1))).alias("dcg"),
     )
@@ -61,11 +66,11 @@ def set_scores(found: DataFrame, expected: DataFrame, group: list[str], key: lis
 
 
 def answer_contains(answer: Column | str, expected: Column | str) -> Column:
-    """Whether the answer has the expected one in it, letters, digits and underscores alone compared. Null: nothing is expected."""
+    """Whether the answer has the expected one in it, letters, digits and underscores alone compared: 0 for an expectation without any. Null: nothing is expected."""
     def plain(c: Column | str) -> Column:
         return F.lower(F.regexp_replace(c, rf"[^\p{{L}}\p{{N}}_]+", ""))  # noqa: F541
 
-    return F.when(plain(expected) != "", F.contains(plain(answer), plain(expected)).cast("double"))
+    return F.when(plain(expected) != "", F.contains(plain(answer), plain(expected)).cast("double")).when(plain(expected) == "", 0.0)
 
 
 def refusal_accuracy(answerable: Column, refused: Column) -> Column:
@@ -73,9 +78,9 @@ def refusal_accuracy(answerable: Column, refused: Column) -> Column:
 
 
 def locator_accuracy(expected: Column | str, actual: Column | str, keys: list[str]) -> Column:
-    """The share of expected locators that an actual one agrees with, on all keys that the expected one has. Null: none is expected."""
+    """The share of expected locators that an actual one agrees with, on all keys that the expected one has; one without any key agrees with none. Null: none is expected."""
     def agrees(e: Column, a: Column) -> Column:
-        out = F.lit(True)
+        out = F.coalesce(*[e[k].cast("string") for k in keys]).isNotNull()
         for k in keys:
             out = out & (e[k].isNull() | e[k].eqNullSafe(a[k]))
         return out

@@ -153,8 +153,10 @@ def context_score(title: Column, contextual: Column, valid: Column) -> Column:
 
 
 def merge_dimensions(scores: DataFrame, document: list[str]) -> DataFrame:
-    """Of several evaluators' scores (dimension, score), the least of each dimension; dimensions without one count as 1."""
+    """Of several evaluators' scores (dimension, score), the least of each dimension; dimensions without one count as 1. Readiness is the mean of the other seven at most."""
     names = F.array(*map(F.lit, DIMENSIONS))
     every = scores.select(*document).distinct().select("*", F.explode(names).alias("dimension"))
     least = scores.groupBy(*document, "dimension").agg(F.min("score").alias("score"))
-    return every.join(least, [*document, "dimension"], "left").withColumn("score", F.coalesce("score", F.lit(1.0)))
+    merged = every.join(least, [*document, "dimension"], "left").withColumn("score", F.coalesce("score", F.lit(1.0)))
+    others = F.avg(F.when(F.col("dimension") != "readiness", F.col("score"))).over(Window.partitionBy(*document))
+    return merged.withColumn("score", F.when(F.col("dimension") == "readiness", F.least("score", others)).otherwise(F.col("score")))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -14,6 +15,12 @@ from docquarry.functions import vectors as V
 
 #: The usual constants of BM25.
 K1, B = 1.2, 0.75
+#: Digits that scores are ranked by: beyond them, sums of equal parts differ by the order of adding.
+EXACT = 10
+#: Queries of a dense search that are held at once.
+BLOCK = 4096
+#: Parts of a term's postings.
+SALTS = 8
 
 
 def postings(docs: DataFrame, ident: str, text: str) -> DataFrame:
@@ -24,22 +31,29 @@ def postings(docs: DataFrame, ident: str, text: str) -> DataFrame:
     return tf.withColumn("__one", F.lit(1)).join(F.broadcast(lengths.withColumn("__one", F.lit(1))), "__one").drop("__one")  # one row
 
 
-def top_hits(scored: DataFrame, query: str, ident: str, k: int, score: str = "score") -> DataFrame:
-    """The best k of each query, ties by id: query, ident, score, rank."""
+def top_hits(scored: DataFrame, query: str, ident: str, k: int, score: str = "score", digits: int | None = None) -> DataFrame:
+    """The best k of each query, ties by id: query, ident, score, rank. Scores are rounded to `digits` after ranking."""
     w = Window.partitionBy(query).orderBy(F.desc(score), ident)
-    return scored.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= k)
+    best = scored.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= k)
+    return best if digits is None else best.withColumn(score, F.round(score, digits))
 
 
 def bm25(index: DataFrame, queries: DataFrame, ident: str, query: str, text: str, k: int = 10, digits: int = 4) -> DataFrame:
-    """query, ident, score, rank. Only postings of the queries' terms take part; the frequency of a term is counted among them."""
+    """query, ident, score, rank. Only postings of the queries' terms take part; the frequency of a term is counted among them.
+
+    A term's postings are dealt by id into SALTS parts, each of which meets its own copy of the term's queries: a stop
+    word is no group of one task. The parts of a query's score are added within a part of the ids.
+    """
     asked = queries.select(query, F.explode(F.array_distinct(T.terms(text))).alias("term"))
     needed = index.join(asked.select("term").distinct(), "term", "left_semi")
     df = needed.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("average")))
-    weighed = needed.join(df, "term").select("term", ident, part.alias("part"))
-    scored = weighed.join(asked, "term").groupBy(query, ident).agg(F.round(F.sum("part"), digits).alias("score"))
-    return top_hits(scored, query, ident, k)
+    salt = F.pmod(F.xxhash64(ident), F.lit(SALTS)).cast("int").alias("__salt")
+    weighed = needed.join(df, "term").select("term", ident, part.alias("part"), salt)
+    copies = asked.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    scored = weighed.join(copies, ["term", "__salt"]).groupBy(query, ident).agg(F.round(F.sum("part"), EXACT).alias("score"))
+    return top_hits(scored, query, ident, k, digits=digits)
 
 
 def best_field(hits: list[tuple[DataFrame, float]], query: str, ident: str, k: int = 10) -> DataFrame:
@@ -59,10 +73,18 @@ def occurrences(text: Column, term: Column) -> Column:
 def dense(vectors: DataFrame, queries: DataFrame, ident: str, query: str, vector: str, k: int = 10, digits: int = 4) -> DataFrame:
     """Exact cosine top k: query, ident, score, rank.
 
-    The queries (few: a stated set) are sent to all vectors in blocks; each task keeps its own best k of each query, and
-    the last ranking sees k rows of each task and query.
+    The queries are sent to all vectors in blocks of about BLOCK rows, so what is held and broadcast at once is bounded;
+    each task keeps its own best k of each query, and the last ranking sees k rows of each task and query.
     """
-    rows = queries.select(query, F.col(vector).cast("array<double>").alias("v")).collect()
+    blocks = -(-queries.count() // BLOCK)
+    parts = [queries.filter(F.pmod(F.xxhash64(query), F.lit(blocks)) == b) if blocks > 1 else queries for b in range(blocks)]
+    scored = [near(vectors, part, ident, query, vector, k) for part in parts] or [near(vectors, queries, ident, query, vector, k)]
+    return top_hits(reduce(DataFrame.unionByName, scored), query, ident, k, digits=digits)
+
+
+def near(vectors: DataFrame, queries: DataFrame, ident: str, query: str, vector: str, k: int) -> DataFrame:
+    """Of one block of queries: query, ident, score of each task's best k."""
+    rows = queries.select(query, F.col(vector).cast("array<double>").alias("v")).collect()  # a block
     names = [r[query] for r in rows]
     q = np.array([r["v"] for r in rows], np.float64).reshape(len(rows), -1)
     q = q / np.where((n := np.sqrt((q**2).sum(1, keepdims=True))) > 0, n, 1)
@@ -78,7 +100,7 @@ def dense(vectors: DataFrame, queries: DataFrame, ident: str, query: str, vector
                 continue
             x = np.stack(batch["v"].to_numpy()).astype(np.float64)
             size = np.sqrt((x**2).sum(1))
-            scores = np.round((x @ q.T) / np.where(size > 0, size, 1)[:, None], digits)
+            scores = np.round((x @ q.T) / np.where(size > 0, size, 1)[:, None], EXACT)
             ids = batch["i"].to_numpy()
             parts = [] if best is None else [best]
             for j, name in enumerate(names):
@@ -88,14 +110,13 @@ def dense(vectors: DataFrame, queries: DataFrame, ident: str, query: str, vector
         if best is not None:
             yield best
 
-    scored = vectors.select(F.col(ident).alias("i"), F.col(vector).cast("array<double>").alias("v")).mapInPandas(run, f"{query} {asked}, {ident} {kind}, score double")
-    return top_hits(scored, query, ident, k)
+    return vectors.select(F.col(ident).alias("i"), F.col(vector).cast("array<double>").alias("v")).mapInPandas(run, f"{query} {asked}, {ident} {kind}, score double")
 
 
 def dense_pairs(vectors: DataFrame, queries: DataFrame, ident: str, query: str, vector: str, k: int, digits: int = 4) -> DataFrame:
     """The same for query vectors of the table itself, joined by a key that both have (candidates are given, not all rows)."""
-    scored = vectors.join(queries, ident).withColumn("score", F.round(V.cosine(vector, f"query_{vector}"), digits))
-    return top_hits(scored, query, ident, k)
+    scored = vectors.join(queries, ident).withColumn("score", F.round(V.cosine(vector, f"query_{vector}"), EXACT))
+    return top_hits(scored, query, ident, k, digits=digits)
 
 
 # Index projections: a table keyed by id, with a flag for what readers may see.

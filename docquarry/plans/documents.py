@@ -100,7 +100,7 @@ def exact_dup_documents(t: Tables) -> DataFrame:
 @query("boilerplate_keys", f"""
 WITH {LINES}, keyed AS (SELECT *, {KEY_SQL.format("line")} AS key FROM lines), edges AS (
   SELECT *, row_number() OVER (PARTITION BY source, doc_id ORDER BY ord) AS a, row_number() OVER (PARTITION BY source, doc_id ORDER BY ord DESC) AS z FROM keyed WHERE key <> ''
-), pages AS (SELECT source, count(DISTINCT doc_id) AS page_count FROM documents GROUP BY source)
+), pages AS (SELECT source, count(DISTINCT doc_id) AS page_count FROM keyed WHERE key <> '' GROUP BY source)
 SELECT source, key, count(DISTINCT doc_id) AS pages, any_value(page_count) AS page_count FROM edges JOIN pages USING (source)
 WHERE (a <= 2 OR z <= 2) AND length(key) <= 200 AND page_count >= 3 GROUP BY source, key HAVING count(DISTINCT doc_id) >= 3 AND count(DISTINCT doc_id) >= 0.05 * any_value(page_count)""")
 def boilerplate_keys(t: Tables) -> DataFrame:
@@ -110,7 +110,7 @@ def boilerplate_keys(t: Tables) -> DataFrame:
 @query("boilerplate_lines", f"""
 WITH {LINES}, keyed AS (SELECT *, {KEY_SQL.format("line")} AS key FROM lines), edges AS (
   SELECT *, row_number() OVER (PARTITION BY source, doc_id ORDER BY ord) AS a, row_number() OVER (PARTITION BY source, doc_id ORDER BY ord DESC) AS z FROM keyed WHERE key <> ''
-), pages AS (SELECT source, count(DISTINCT doc_id) AS page_count FROM documents GROUP BY source), boiler AS (
+), pages AS (SELECT source, count(DISTINCT doc_id) AS page_count FROM keyed WHERE key <> '' GROUP BY source), boiler AS (
   SELECT source, key FROM edges JOIN pages USING (source)
   WHERE (a <= 2 OR z <= 2) AND length(key) <= 200 AND page_count >= 3 GROUP BY source, key HAVING count(DISTINCT doc_id) >= 3 AND count(DISTINCT doc_id) >= 0.05 * any_value(page_count))
 SELECT k.doc_id, k.ord FROM keyed k LEFT JOIN edges e USING (doc_id, ord) LEFT JOIN boiler b ON k.source = b.source AND k.key = b.key

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docquarry.functions import text as T
@@ -22,11 +22,11 @@ def query_status(t: Tables) -> DataFrame:
 
 
 @query("search_variants", """
-WITH q AS (SELECT conv_id, turn, [trim(left(text, 20)), trim(lower(left(text, 20))), trim(left(text, 10)), trim(left(text, 20)) || ' ' || role] AS l FROM conversations)
+WITH q AS (SELECT conv_id, turn, [trim(text), trim(lower(text)), trim(split_part(text, '.', 1)), trim(text) || ' ' || role] AS l FROM conversations)
 SELECT conv_id, turn, array_to_string(list_filter(l, lambda x, i: x <> '' AND list_position(list_transform(l, lambda y: lower(y)), lower(x)) = i), '|') AS variants FROM q""")
 def search_variants(t: Tables) -> DataFrame:
-    head = F.trim(F.left("text", F.lit(20)))
-    own = P.search_variants(head, F.array(F.lower(head), F.left("text", F.lit(10))), F.array("role"))
+    """Of whole turns: as they are, in small letters, and up to the first full stop."""
+    own = P.search_variants(F.trim("text"), F.array(F.lower(F.trim("text")), F.split_part("text", F.lit("."), F.lit(1))), F.array("role"))
     return t.conversations.select("conv_id", "turn", F.array_join(own, "|").alias("variants"))
 
 
@@ -88,8 +88,9 @@ def context_scores(t: Tables) -> DataFrame:
 
 @query("merged_dimensions", """
 WITH s AS (SELECT doc_id, 'text' AS dimension, quality * 0.5 AS score FROM labels UNION ALL SELECT doc_id, 'text', 1 - toxic * 0.9 FROM labels UNION ALL SELECT doc_id, 'parse', 0.75 FROM labels WHERE quality = 1)
-SELECT l.doc_id, d.dimension, round(coalesce(min(s.score), 1.0)::DOUBLE, 6) AS score FROM (SELECT DISTINCT doc_id FROM labels) l, (SELECT unnest(['parse', 'text', 'density', 'duplication', 'structure', 'traceability', 'context', 'readiness']) AS dimension) d
-LEFT JOIN s ON s.doc_id = l.doc_id AND s.dimension = d.dimension GROUP BY ALL""")
+SELECT doc_id, dimension, round(CASE WHEN dimension = 'readiness' THEN least(score, avg(score) FILTER (WHERE dimension <> 'readiness') OVER (PARTITION BY doc_id)) ELSE score END, 6) AS score FROM (
+SELECT l.doc_id, d.dimension, coalesce(min(s.score), 1.0)::DOUBLE AS score FROM (SELECT DISTINCT doc_id FROM labels) l, (SELECT unnest(['parse', 'text', 'density', 'duplication', 'structure', 'traceability', 'context', 'readiness']) AS dimension) d
+LEFT JOIN s ON s.doc_id = l.doc_id AND s.dimension = d.dimension GROUP BY ALL)""")
 def merged_dimensions(t: Tables) -> DataFrame:
     def of(name: str, score) -> DataFrame:  # noqa: ANN001
         return t.labels.select("doc_id", F.lit(name).alias("dimension"), score.cast("double").alias("score"))
@@ -149,10 +150,15 @@ def evaluation_rollup(t: Tables) -> DataFrame:
 
 
 @query("answer_checks", r"""
-SELECT conv_id, turn, contains(lower(regexp_replace(text, '[^\p{L}\p{N}_]+', '', 'g')), lower(regexp_replace(left(text, 12), '[^\p{L}\p{N}_]+', '', 'g')))::INT::DOUBLE AS held, CASE WHEN (turn % 2 = 0) <> (role = 'user') THEN 1.0 ELSE 0.0 END::DOUBLE AS refusal FROM conversations""")
+SELECT conv_id, turn, CASE WHEN regexp_replace(expected, '[^\p{L}\p{N}_]+', '', 'g') = '' THEN 0.0 ELSE
+  contains(lower(regexp_replace(text, '[^\p{L}\p{N}_]+', '', 'g')), lower(regexp_replace(expected, '[^\p{L}\p{N}_]+', '', 'g')))::INT::DOUBLE END AS held, CASE WHEN (turn % 2 = 0) <> (role = 'user') THEN 1.0 ELSE 0.0 END::DOUBLE AS refusal
+FROM (SELECT *, CASE WHEN turn % 5 = 4 THEN ' .' ELSE regexp_extract(lag(text) OVER (PARTITION BY conv_id ORDER BY turn), '[\p{L}\p{N}_]+') END AS expected FROM conversations)""")
 def answer_checks(t: Tables) -> DataFrame:
     refusal = E.refusal_accuracy(F.col("turn") % 2 == 0, F.col("role") == "user")
-    return t.conversations.select("conv_id", "turn", E.answer_contains("text", F.left("text", F.lit(12))).alias("held"), refusal.cast("double").alias("refusal"))
+    # What is expected of a turn is the first word of the one before; of some, nothing but signs.
+    before = F.regexp_extract(F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn")), r"[\p{L}\p{N}_]+", 0)
+    given = t.conversations.withColumn("expected", F.when(F.col("turn") % 5 == 4, " .").otherwise(before))
+    return given.select("conv_id", "turn", E.answer_contains("text", "expected").alias("held"), refusal.cast("double").alias("refusal"))
 
 
 @query("retry_backoff", "SELECT event_id, round(least(60.0::DOUBLE, 2.0::DOUBLE * pow(2.0, event_id % 8) * (0.5::DOUBLE + value / 1000)), 6) AS wait FROM events")

@@ -23,7 +23,20 @@ def chunk_windows_fixed(t: Tables) -> DataFrame:
     return K.fixed_windows(t.documents, "doc_id", "text", 128, 16).withColumn("content", F.sha2("content", 256))
 
 
-@query("chunk_sentence_windows")
+#: Windows of 600 tokens at most, from 500 on to the first sentence end, 64 of them shared: tokens with their places, then a walk over each document.
+WINDOW_SQL = rf"""
+WITH RECURSIVE part AS (SELECT doc_id, unnest(regexp_extract_all(text, '\s*(?:{TOKEN_SQL})')) AS p, unnest(range(len(regexp_extract_all(text, '\s*(?:{TOKEN_SQL})')))) AS k, text FROM documents),
+tok AS (SELECT doc_id, k, sum(length(p)) OVER (PARTITION BY doc_id ORDER BY k) AS b, length(regexp_replace(p, '^\s+', '')) AS n, regexp_replace(p, '^\s+', '') AS w FROM part),
+doc AS (SELECT doc_id, count(*) AS total, list(k ORDER BY k) FILTER (WHERE w IN ('.', '!', '?', ';', '。', '！', '？', '；')) AS ends FROM tok GROUP BY doc_id),
+cut AS (
+  SELECT doc_id, 0 AS win, 0::BIGINT AS lo, CASE WHEN total <= 600 THEN total ELSE coalesce(list_filter(ends, lambda e: e >= 500 AND e < 600)[1] + 1, 500) END AS hi, total, ends FROM doc
+  UNION ALL
+  SELECT doc_id, win + 1, hi - 64, coalesce(list_filter(ends, lambda e: e >= hi + 436 AND e < least(hi + 536, total))[1] + 1, least(hi + 436, total)), total, ends FROM cut WHERE hi < total)
+SELECT c.doc_id, win::BIGINT AS window, (a.b - a.n)::BIGINT AS start, z.b::BIGINT AS stop, (hi - lo)::BIGINT AS tokens, sha256(substr(d.text, (a.b - a.n + 1)::BIGINT, (z.b - a.b + a.n)::BIGINT)) AS content
+FROM cut c JOIN tok a ON a.doc_id = c.doc_id AND a.k = c.lo JOIN tok z ON z.doc_id = c.doc_id AND z.k = c.hi - 1 JOIN documents d ON d.doc_id = c.doc_id"""
+
+
+@query("chunk_sentence_windows", WINDOW_SQL)
 def chunk_sentence_windows(t: Tables) -> DataFrame:
     return K.split_texts(t.documents, "doc_id", "text").withColumn("content", F.sha2("content", 256))
 

@@ -18,7 +18,21 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
             raise AttributeError(name)
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        table = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return spread(table, TEXTS[name]) if name in TEXTS else table
+
+
+#: Tables of texts, whose rows take much work each, and their keys.
+TEXTS = {"documents": "doc_id", "pages": "page_id"}
+#: Bytes of a table for each core, up to which it may be one row group in one task.
+SMALL_BYTES = 8 << 20
+
+
+def spread(table: DataFrame, key: str) -> DataFrame:
+    """A table too small to be of many row groups, dealt to all cores by its key; a larger one as it is."""
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    size = int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return table.repartition(cores, key) if size < cores * SMALL_BYTES else table
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}

@@ -15,6 +15,7 @@ from docquarry.operators import evaluation as E
 from docquarry.operators import fusion as U
 from docquarry.operators import search as S
 from docquarry.plans.registry import Tables, query
+from docquarry.sources.scratch import checkpointed
 
 TERM = r"[\p{L}\p{N}_]+"
 
@@ -28,15 +29,15 @@ def bm25_ctes(asked: str, prefix: str = "") -> str:
 {p}st AS (SELECT count(*) AS n, avg(dl) AS av FROM {p}len), {p}df AS (SELECT term, count(*) AS df FROM {p}tf GROUP BY term),
 {p}asked AS (SELECT DISTINCT query_id, unnest(regexp_extract_all(lower(text), '{TERM}')) AS term FROM ({asked})),
 {p}scored AS (
-  SELECT query_id, doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / av))), 4) AS score
+  SELECT query_id, doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / av))), 10) AS exact
   FROM {p}asked JOIN {p}tf USING (term) JOIN {p}df USING (term) JOIN {p}len USING (doc_id), {p}st GROUP BY query_id, doc_id),
-{p}ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM {p}scored)"""
+{p}ranked AS (SELECT query_id, doc_id, round(exact, 4) AS score, row_number() OVER (PARTITION BY query_id ORDER BY exact DESC, doc_id) AS rank FROM {p}scored)"""
 
 
 DENSE_CTES = """
 dscored AS (
-  SELECT q.vec_id AS query_id, v.vec_id AS doc_id, round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 4) AS score FROM embeddings q, embeddings v WHERE q.vec_id % 100 = 0),
-dranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM dscored)"""
+  SELECT q.vec_id AS query_id, v.vec_id AS doc_id, round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 10) AS exact FROM embeddings q, embeddings v WHERE q.vec_id % 100 = 0),
+dranked AS (SELECT query_id, doc_id, round(exact, 4) AS score, row_number() OVER (PARTITION BY query_id ORDER BY exact DESC, doc_id) AS rank FROM dscored)"""
 HYBRID = "SELECT doc_id AS query_id, text FROM documents WHERE doc_id % 100 = 0"
 
 
@@ -89,12 +90,12 @@ def postings_statistics(t: Tables) -> DataFrame:
 
 
 @query("term_count_search", rf"""
-WITH asked AS (SELECT DISTINCT query_id, unnest(regexp_extract_all(lower(text), '{TERM}')) AS term FROM (SELECT item_id AS query_id, left(text, 40) AS text FROM benchmark)),
+WITH asked AS (SELECT DISTINCT query_id, unnest(regexp_extract_all(lower(text), '{TERM}')) AS term FROM (SELECT item_id AS query_id, text FROM benchmark)),
 scored AS (SELECT query_id, doc_id, sum((length(b) - length(replace(b, term, ''))) // length(term))::BIGINT AS score FROM asked, (SELECT doc_id, lower(text) AS b FROM documents) GROUP BY ALL),
 top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM scored WHERE score > 0) SELECT query_id, doc_id, score, rank FROM top WHERE rank <= 10""")
 def term_count_search(t: Tables) -> DataFrame:
     # Only the query terms' lists travel: they are a stated set, so each document counts all of them in one pass.
-    asked = t.benchmark.select(F.col("item_id").alias("query_id"), F.explode(F.array_distinct(T.terms(F.left("text", F.lit(40))))).alias("term"))
+    asked = t.benchmark.select(F.col("item_id").alias("query_id"), F.explode(F.array_distinct(T.terms("text"))).alias("term"))
     lists = [(r["query_id"], sorted(r["terms"])) for r in asked.groupBy("query_id").agg(F.collect_set("term").alias("terms")).collect()]
     table = F.array(*[F.struct(F.lit(q).cast("long").alias("query_id"), F.array(*map(F.lit, terms)).alias("terms")) for q, terms in lists])
     body = F.lower("text")
@@ -115,8 +116,8 @@ def vector_norms(t: Tables) -> DataFrame:
 
 @query("rrf_multi_query", f"""
 WITH {bm25_ctes(HYBRID)}, {DENSE_CTES}, hits AS (SELECT query_id, doc_id, rank FROM ranked WHERE rank <= 50 UNION ALL SELECT query_id, doc_id, rank FROM dranked WHERE rank <= 50),
-one AS (SELECT query_id, doc_id, round(sum(1.0::DOUBLE / (60 + rank)), 8) AS score, min(rank) AS best_rank FROM hits GROUP BY ALL),
-top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, best_rank, doc_id) AS rank FROM one) SELECT * FROM top WHERE rank <= 20""")
+one AS (SELECT query_id, doc_id, round(sum(1.0::DOUBLE / (60 + rank)), 12) AS exact, min(rank) AS best_rank FROM hits GROUP BY ALL),
+top AS (SELECT query_id, doc_id, round(exact, 8) AS score, best_rank, row_number() OVER (PARTITION BY query_id ORDER BY exact DESC, best_rank, doc_id) AS rank FROM one) SELECT * FROM top WHERE rank <= 20""")
 def rrf_multi_query(t: Tables) -> DataFrame:
     return U.fuse_variants(bm25_hits(t, 50).unionByName(dense_hits(t, 50)), "query_id", "doc_id", 20)
 
@@ -125,20 +126,18 @@ FUSED_CTES = f"""{bm25_ctes(HYBRID)}, {DENSE_CTES}, b AS (SELECT * FROM ranked W
 prior AS (SELECT query_id, (doc_id // 10) AS document_id, row_number() OVER (PARTITION BY query_id ORDER BY min(rank), doc_id // 10) AS document_rank FROM ranked WHERE rank <= 50 GROUP BY query_id, doc_id // 10),
 joined AS (SELECT coalesce(b.query_id, d.query_id) AS query_id, coalesce(b.doc_id, d.doc_id) AS doc_id, b.rank AS bm25_rank, d.rank AS dense_rank, b.score AS bm25_score, d.score AS dense_score
   FROM b FULL JOIN d ON b.query_id = d.query_id AND b.doc_id = d.doc_id),
-scored AS (SELECT j.*, p.document_rank, least(coalesce(bm25_rank, 1000000000), coalesce(dense_rank, 1000000000)) AS best_rank,
-    round(coalesce(1.0::DOUBLE / (60 + bm25_rank), 0) + coalesce(1.0::DOUBLE / (60 + dense_rank), 0) + coalesce(0.5::DOUBLE / (60 + document_rank), 0), 8) AS rrf_score
+summed AS (SELECT j.*, p.document_rank, least(coalesce(bm25_rank, 1000000000), coalesce(dense_rank, 1000000000)) AS best_rank,
+    round(coalesce(1.0::DOUBLE / (60 + bm25_rank), 0) + coalesce(1.0::DOUBLE / (60 + dense_rank), 0) + coalesce(0.5::DOUBLE / (60 + document_rank), 0), 12) AS exact_rrf
   FROM joined j LEFT JOIN prior p ON j.query_id = p.query_id AND j.doc_id // 10 = p.document_id),
-fused AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf_score DESC, best_rank, doc_id) AS rank FROM scored)"""
-FUSED_CTES = FUSED_CTES.replace("scored AS (SELECT j.*", "summed AS (SELECT j.*").replace("FROM scored)\"", "FROM summed)").replace("ORDER BY rrf_score DESC, best_rank, doc_id) AS rank FROM scored)", "ORDER BY rrf_score DESC, best_rank, doc_id) AS rank FROM summed)")
+fused AS (SELECT *, round(exact_rrf, 8) AS rrf_score, row_number() OVER (PARTITION BY query_id ORDER BY exact_rrf DESC, best_rank, doc_id) AS rank FROM summed)"""
 
 
 def fused(t: Tables) -> DataFrame:
-    bm25, dense = bm25_hits(t, 100), dense_hits(t, 100)
+    bm25, dense = checkpointed(bm25_hits(t, 100)), dense_hits(t, 100)  # the hits are read twice
     parent = F.floor(F.col("doc_id") / 10)
     prior = bm25.filter("rank <= 50").groupBy("query_id", parent.alias("document_id")).agg(F.min("rank").alias("best"))
     prior = prior.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("best", "document_id")).cast("long")).drop("best")
-    owner = bm25.select("doc_id").unionByName(dense.select("doc_id")).distinct().withColumn("document_id", parent)
-    return U.fuse_channels({"bm25": bm25, "dense": dense}, "query_id", "doc_id", prior, "document_id", owner)
+    return U.fuse_channels({"bm25": bm25, "dense": dense}, "query_id", "doc_id", prior, "document_id", parent)
 
 
 @query("rrf_weighted", f"WITH {FUSED_CTES} SELECT query_id, doc_id, bm25_rank, dense_rank, document_rank, rrf_score, rank FROM fused WHERE rank <= 60")
@@ -146,6 +145,13 @@ def rrf_weighted(t: Tables) -> DataFrame:
     return fused(t).select("query_id", "doc_id", "bm25_rank", "dense_rank", "document_rank", "rrf_score", "rank")
 
 
+#: exact_match in SQL: the whole query, or one of its identifiers with no word going on beside it.
+EXACT_SQL = (
+    r"(contains(lower({c}), lower(trim({q}))) OR len(list_filter(list_distinct(flatten(list_transform(regexp_extract_all(lower(trim({q})), '\S*[0-9][\p{{L}}\p{{N}}_./-]*'), lambda x: regexp_extract_all(x, '[\p{{L}}\p{{N}}_./-]{{3,}}')))), "
+    r"lambda x: contains(lower({c}), x) AND regexp_matches(lower({c}), '(^|[^\p{{L}}\p{{N}}_])' || regexp_escape(x) || '([^\p{{L}}\p{{N}}_]|$)'))) > 0)"
+)
+
+
 def candidates(t: Tables) -> DataFrame:
     """The fused hits with their texts, BM25 scores, rerank scores and scope."""
     texts = t.documents.select("doc_id", "text", "source", "n_chars")
@@ -159,21 +165,19 @@ CANDIDATE_CTES = rf"""{FUSED_CTES}, held AS (
   SELECT f.query_id, f.doc_id, f.rrf_score, f.bm25_score, d.text, d.source, d.n_chars, q.text AS query_text,
     round(len(list_intersect(list_distinct(regexp_extract_all(lower(q.text), '{TERM}')), list_distinct(regexp_extract_all(lower(d.text), '{TERM}')))) / len(list_distinct(regexp_extract_all(lower(q.text), '{TERM}'))), 6) AS rerank_score,
     CASE f.doc_id % 3 WHEN 0 THEN 1.0::DOUBLE WHEN 1 THEN 0.0::DOUBLE END AS scope,
-    contains(lower(d.text), lower(trim(left(q.text, 60)))) OR len(list_intersect(list_filter(regexp_extract_all(lower(trim(left(q.text, 60))), '[\p{{L}}\p{{N}}_./-]{{3,}}'), lambda x: regexp_matches(x, '[0-9]')), regexp_split_to_array(lower(d.text), '[^\p{{L}}\p{{N}}_./-]+'))) > 0 AS exact
+    {EXACT_SQL.format(q='q.text', c='d.text')} AS exact
   FROM fused f JOIN documents d USING (doc_id) JOIN documents q ON q.doc_id = f.query_id WHERE f.rank <= 60)"""
 
 
 @query("hydrate_candidates", f"WITH {CANDIDATE_CTES} SELECT query_id, doc_id, rrf_score, bm25_score, rerank_score, exact FROM held")
 def hydrate_candidates(t: Tables) -> DataFrame:
-    # As its SQL has it, `exact` is of the query's first 60 characters here, and here only.
-    opening = U.exact_match(F.left("query_text", F.lit(60)), "text").alias("exact")
-    return candidates(t).select("query_id", "doc_id", "rrf_score", "bm25_score", "rerank_score", opening)
+    return candidates(t).select("query_id", "doc_id", "rrf_score", "bm25_score", "rerank_score", "exact")
 
 
-RELEVANCE_CTES = f"""{CANDIDATE_CTES}, shared AS (SELECT *, rrf_score / max(rrf_score) OVER (PARTITION BY query_id) AS r, bm25_score / max(bm25_score) OVER (PARTITION BY query_id) AS b FROM held),
+RELEVANCE_CTES = f"""{CANDIDATE_CTES}, shared AS (SELECT *, rrf_score / max(rrf_score) OVER (PARTITION BY query_id) AS r, CASE WHEN max(bm25_score) OVER (PARTITION BY query_id) > 0 THEN coalesce(bm25_score, 0) / max(bm25_score) OVER (PARTITION BY query_id) END AS b FROM held),
 rated AS (SELECT *, round((0.55::DOUBLE * rerank_score + 0.25::DOUBLE * r + coalesce(0.1::DOUBLE * b, 0) + coalesce(0.1::DOUBLE * scope, 0))
-    / (0.55::DOUBLE + 0.25::DOUBLE + CASE WHEN b IS NULL THEN 0.0::DOUBLE ELSE 0.1::DOUBLE END + CASE WHEN scope IS NULL THEN 0.0::DOUBLE ELSE 0.1::DOUBLE END), 6) AS relevance FROM shared),
-placed AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY relevance DESC, rerank_score DESC, rrf_score DESC, doc_id) AS rank FROM rated)"""
+    / (0.55::DOUBLE + 0.25::DOUBLE + CASE WHEN b IS NULL THEN 0.0::DOUBLE ELSE 0.1::DOUBLE END + CASE WHEN scope IS NULL THEN 0.0::DOUBLE ELSE 0.1::DOUBLE END), 12) AS exact_relevance FROM shared),
+placed AS (SELECT *, round(exact_relevance, 6) AS relevance, row_number() OVER (PARTITION BY query_id ORDER BY exact_relevance DESC, rerank_score DESC, rrf_score DESC, doc_id) AS rank FROM rated)"""
 
 
 @query("relevance_fusion", f"WITH {RELEVANCE_CTES} SELECT query_id, doc_id, relevance, rank FROM placed")
@@ -183,19 +187,18 @@ def relevance_fusion(t: Tables) -> DataFrame:
 
 @query("candidate_filter", rf"""WITH {CANDIDATE_CTES}, keyed AS (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf_score DESC, doc_id) AS place, sha256(lower(trim(regexp_replace(text, '[\s]+', ' ', 'g')))) AS key, max(rrf_score) OVER (PARTITION BY query_id) AS top FROM held),
-firsts AS (SELECT *, min(CASE WHEN place <= 40 THEN place END) OVER (PARTITION BY query_id, key) AS f FROM keyed)
-SELECT query_id, doc_id, CASE WHEN place > 40 THEN 'window' WHEN place > f THEN 'duplicate_content' WHEN rrf_score < 0.25 * top AND NOT exact THEN 'below_relative_score' END AS reason FROM firsts""")
+firsts AS (SELECT *, min(CASE WHEN rrf_score >= 0.25 * top OR exact THEN place END) OVER (PARTITION BY query_id, key) AS f FROM keyed),
+counted AS (SELECT *, coalesce(sum((place IS NOT DISTINCT FROM f)::INT) OVER (PARTITION BY query_id ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS kept FROM firsts)
+SELECT query_id, doc_id, CASE WHEN kept >= 40 THEN 'window' WHEN place > f THEN 'duplicate_content' WHEN rrf_score < 0.25 * top AND NOT exact THEN 'below_relative_score' END AS reason FROM counted""")
 def candidate_filter(t: Tables) -> DataFrame:
     return U.filter_candidates(candidates(t), "query_id", "doc_id", "text", "exact").select("query_id", "doc_id", "reason")
 
 
-@query("exact_match_flag", rf"""
-WITH q AS (SELECT item_id, lower(trim(left(text, 30))) AS q FROM benchmark)
-SELECT item_id, doc_id FROM q, documents WHERE contains(lower(text), q)""")
+@query("exact_match_flag", f"SELECT b.item_id, d.doc_id FROM benchmark b, documents d WHERE {EXACT_SQL.format(q='b.text', c='d.text')}")
 def exact_match_flag(t: Tables) -> DataFrame:
-    # A stated set of whole passages, sent to all documents. The SQL's openings of 30 characters find the same rows on sf0.001 and sf0.01.
+    # A stated set of whole passages, sent to all documents.
     asked = t.benchmark.select("item_id", F.col("text").alias("q"))
-    return t.documents.join(F.broadcast(asked), U.exact_match("q", "text")).select("item_id", "doc_id")
+    return t.documents.join(asked, U.exact_match("q", "text")).select("item_id", "doc_id")
 
 
 @query("shingle_jaccard", r"""
@@ -235,11 +238,13 @@ measured AS (SELECT query_id, (coalesce(at5, 0) > 0)::INT::DOUBLE AS hit_at_5, (
 
 
 def dense_metrics(t: Tables) -> DataFrame:
+    """A query's relevant vectors are those of its label: their number is the label's, and a ranked one is told by its own label."""
     labels = t.embeddings.select(F.col("vec_id").alias("doc_id"), "label")
     asked = labels.filter("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), "label")
-    wanted = asked.join(labels, "label").filter("query_id <> doc_id").select("query_id", "doc_id")
+    total = asked.join(labels.groupBy("label").agg((F.count("*") - 1).alias("relevant")), "label").filter("relevant > 0").select("query_id", "relevant")
     ranked = dense_hits(t, 11).filter("rank >= 2").withColumn("rank", F.col("rank") - 1)
-    return E.ranked_metrics(ranked, wanted, "query_id", "doc_id")
+    hits = ranked.join(labels, "doc_id").join(asked, ["query_id", "label"]).filter("query_id <> doc_id").select("query_id", "doc_id", "rank")
+    return E.metrics_of_hits(hits, total, "query_id")
 
 
 @query("ir_metrics", f"WITH {METRIC_CTES} SELECT * FROM measured")

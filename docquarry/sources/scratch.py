@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; where none is set (tests) a folder of our own."""
+    """spark.checkpoint.dir; where none is set and all runs on one machine (tests) a folder of our own."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir isn't set: executors have no folder in common")
         named = "file://" + tempfile.mkdtemp(prefix="docquarry-")
         spark.sparkContext.setCheckpointDir(named)
     return named
