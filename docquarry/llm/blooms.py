@@ -29,10 +29,13 @@ def suspected(keys: list[bytes], twice: np.ndarray, bits: int) -> np.ndarray:
 def twice_seen(rows: DataFrame, spot: int, digests: Callable[[bytes | None], Iterable[bytes]], bits: int, slices: int) -> np.ndarray:
     """The second filter (bits / 8 bytes) over the digests of the values in column number `spot`.
 
+    `slices` is the number of parts at most: smaller filters have fewer, of 32 KB each.
     A task fills both filters; they travel in slices, and a slice's parts are merged in one stream: a bit that two
     parts have set once is set twice. What reaches the driver is one filter, whatever the input.
     """
 
+    slices = min(slices, max(16, bits >> 18))
+
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         once, twice = np.zeros(bits // 8, np.uint8), np.zeros(bits // 8, np.uint8)
         for batch in batches:

@@ -37,7 +37,7 @@ class LineConfig:
     bits_per_row: int = 64
     least_bits: int = 1 << 20
     most_bits: int = 1 << 28
-    slices: int = 256
+    slices: int = 1024
     #: Parts that a repeated key's documents are dealt into.
     salts: int = 16
 

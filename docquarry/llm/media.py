@@ -45,7 +45,7 @@ class MediaConfig:
     bits_per_row: int = 16
     least_bits: int = 1 << 20
     most_bits: int = 1 << 28
-    slices: int = 256
+    slices: int = 1024
 
 
 GEAR = (lambda x: ((x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)) >> np.uint64(32))(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).astype(np.uint32)
