@@ -89,7 +89,7 @@ def test_reciprocal_ranks(spark):
 def test_relevance_uses_what_is_there(spark):
     df = spark.createDataFrame([(1, "a", 0.8, 0.02, 4.0, None), (1, "b", None, 0.01, None, 1.0)], "q int, n string, rerank_score double, rrf_score double, bm25_score double, scope double")
     out = {r["n"]: r["relevance"] for r in fusion.relevance(df, "q", "n").collect()}
-    assert out["a"] == pytest.approx((0.55 * 0.8 + 0.25 + 0.1) / 0.9, abs=1e-8) and out["b"] == pytest.approx((0.25 * 0.5 + 0.1) / 0.35, abs=1e-8)
+    assert out["a"] == pytest.approx((0.55 * 0.8 + 0.25 + 0.1) / 0.9, abs=1e-8) and out["b"] == pytest.approx((0.25 * 0.5 + 0.1) / 0.45, abs=1e-8)  # no BM25 score counts as 0 while another has one
 
 
 def test_mmr_and_filters(spark):
@@ -97,12 +97,34 @@ def test_mmr_and_filters(spark):
     df = spark.createDataFrame(rows, "q int, n string, relevance double, v array<double>")
     assert [r["n"] for r in fusion.mmr(df, "q", "n", "v", 3).orderBy("mmr_rank").collect()] == ["a", "b", "c"]
     assert [r["n"] for r in fusion.mmr(df, "q", "n", "v", 2, trade=0.5).orderBy("mmr_rank").collect()] == ["a", "c"]
-    rows = [(1, "a", 1.0, "Text  one", False), (1, "b", 0.9, "text one", False), (1, "c", 0.8, "Appendix 3", False), (1, "d", 0.1, "far", False), (1, "e", 0.1, "id X9-1", True)]
+    rows = [(1, "a", 1.0, "Text  one", False), (1, "b", 0.9, "text one", False), (1, "c", 0.8, "Appendix 3", False), (1, "d", 0.1, "far", False), (1, "e", 0.1, "id X9-1", True), (1, "f", 0.7, "42", False)]
+    rows = [(*r, ["heading"] if r[1] == "c" else ["paragraph"]) for r in rows]
+    out = fusion.filter_candidates(spark.createDataFrame(rows, "q int, n string, rrf_score double, t string, exact boolean, kinds array<string>"), "q", "n", "t", "exact", kinds="kinds")
+    assert {r["n"]: r["reason"] for r in out.collect()} == {"a": None, "b": "duplicate_content", "c": "low_information_heading", "d": "below_relative_score", "e": None, "f": None}
+    rows = [(1, f"{k:02}", 1.0 - k / 1000, "same" if k < 10 else f"text {k}", False) for k in range(50)]  # a window of kept rows, not of ranks
     out = fusion.filter_candidates(spark.createDataFrame(rows, "q int, n string, rrf_score double, t string, exact boolean"), "q", "n", "t", "exact")
-    assert {r["n"]: r["reason"] for r in out.collect()} == {"a": None, "b": "duplicate_content", "c": "low_information_heading", "d": "below_relative_score", "e": None}
+    reasons = [r["reason"] for r in out.orderBy("n").collect()]
+    assert reasons == [None] + ["duplicate_content"] * 9 + [None] * 39 + ["window"]
+    for c, held in (("Use part ABC-12.", True), ("ABC-12/rev", True), ("xABC-12", False), ("abc-123", False)):
+        assert bool(one(spark, fusion.exact_match("q", "c"), q="manual abc-12", c=c)) == held
     assert one(spark, fusion.exact_match("q", "c"), q="where is AB-12?", c="part ab-12 fits") and not one(spark, fusion.exact_match("q", "c"), q="where is AB-12?", c="part ab-123 fits")
 
 
+def test_windows_end_at_the_first_sentence_end_from_the_target_on():
+    plain = " ".join(["w"] * 1300)
+    assert [n for _, _, n in chunking.windows(plain, 600, 64, 500)] == [500, 500, 428]
+    text = " ".join(["w"] * 549 + ["."] + ["w"] * 700)
+    assert chunking.windows(text, 600, 64, 500)[0][2] == 550
+    assert chunking.windows("a b c", 600, 64, 500) == [(0, 5, 3)] and chunking.windows(" ", 600, 64, 500) == []
+
+
+def test_answers_and_locators_without_anything_to_compare(spark):
+    assert one(spark, evaluation.answer_contains("a", "e"), a="some answer", e=" .") == 0.0
+    kind = "e array<struct<page: int, cell: string>>, a array<struct<page: int, cell: string>>"
+    df = spark.createDataFrame([([(None, None), (1, None)], [(1, "A1")])], kind)
+    assert df.select(evaluation.locator_accuracy("e", "a", ["page", "cell"])).first()[0] == 0.5
+
+
 def test_metrics(spark):
     r = evaluation.ranked_metrics(ranked(spark, {"x": ["n1", "n2", "n3"]})["x"], spark.createDataFrame([(1, "n2")], "q int, n string"), "q", "n").first()
     assert (r["hit_at_5"], r["recall_at_10"], r["precision_at_5"], r["mrr"]) == (1.0, 1.0, 0.2, 0.5)
