@@ -1,6 +1,6 @@
 """Plans of the registered queries."""
 
-from docquarry.plans import documents, more, nodes, parsing, records, retrieval
+from docquarry.plans import documents, lifecycle, more, nodes, parsing, records, retrieval
 from docquarry.plans.registry import ORACLE, QUERIES
 
-__all__ = ["ORACLE", "QUERIES", "documents", "more", "nodes", "parsing", "records", "retrieval"]
+__all__ = ["ORACLE", "QUERIES", "documents", "lifecycle", "more", "nodes", "parsing", "records", "retrieval"]

@@ -76,11 +76,11 @@ WITH {LINES}, leveled AS (
 ), marked AS (
   SELECT *, {", ".join(f"last_value(CASE WHEN level <= {k} THEN {{'l': level, 't': trim(line)}} END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS h{k}" for k in (1, 2, 3))} FROM leveled
 )
-SELECT doc_id, ord, concat_ws(' > ', {", ".join(f"CASE WHEN h{k}.l = {k} AND h{k}.t <> '' AND (level IS NULL OR level > {k}) THEN left(h{k}.t, 20) END" for k in (1, 2, 3))}) AS path FROM marked""")
+SELECT doc_id, ord, concat_ws(' > ', {", ".join(f"CASE WHEN h{k}.l = {k} AND h{k}.t <> '' AND (level IS NULL OR level > {k}) THEN h{k}.t END" for k in (1, 2, 3))}) AS path FROM marked""")
 def heading_path(t: Tables) -> DataFrame:
     leveled = B.lines_of(t.documents, "doc_id").withColumn("level", F.when(F.length("line") % 5 < 3, F.length("line") % 5 + 1))
     out = B.heading_paths(leveled, "doc_id", "ord", "level", "line")
-    return out.select("doc_id", "ord", F.array_join(F.transform("heading_path", lambda x: F.left(x, F.lit(20))), " > ").alias("path"))
+    return out.select("doc_id", "ord", F.array_join("heading_path", " > ").alias("path"))
 
 
 @query("exact_dup_blocks", f"""

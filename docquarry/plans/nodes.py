@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from docquarry.functions import text as T
 from docquarry.operators import blocks as B
 from docquarry.operators import chunking as K
+from docquarry.operators import composed as M
 from docquarry.operators import context as X
 from docquarry.operators import conversation as V
 from docquarry.plans.registry import LINES, Tables, query
@@ -16,6 +17,13 @@ from docquarry.plans.retrieval import FUSED_CTES, TERM, fused
 TOKEN_SQL = r"[\x{3400}-\x{9fff}]|[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]"
 
 
+def greedy(cut: str) -> str:
+    """SQL of a walk over each document's runs of rows, in `sums` (doc_id, z rows, c sums of their tokens from 0 on): doc_id, n, s, e (rows s to e - 1); `cut`: what ends a run before row e."""
+    return f"""walk AS (
+  SELECT doc_id, 0 AS n, 0::BIGINT AS s, coalesce(list_filter(range(1, z), lambda e: {cut.format(s='0')})[1], z) AS e, c, z FROM sums WHERE z > 0
+  UNION ALL SELECT doc_id, n + 1, e, coalesce(list_filter(range(w.e + 1, z), lambda e: {cut.format(s='w.e')})[1], z), c, z FROM walk w WHERE w.e < z)"""
+
+
 @query("chunk_windows_fixed", rf"""
 WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), '{TERM}') AS l FROM documents), s AS (SELECT doc_id, l, unnest(range(0, greatest(len(l) - 16, 1), 112)) AS first FROM t WHERE len(l) > 0)
 SELECT doc_id, first // 112 AS window, first, least(128, len(l) - first)::BIGINT AS terms, sha256(array_to_string(l[first + 1:first + 128], ' ')) AS content FROM s""")
@@ -41,20 +49,34 @@ def chunk_sentence_windows(t: Tables) -> DataFrame:
     return K.split_texts(t.documents, "doc_id", "text").withColumn("content", F.sha2("content", 256))
 
 
-@query("chunk_pack_parents")
+@query("chunk_pack_parents", rf"""
+WITH RECURSIVE {LINES}, held AS (SELECT doc_id, list(line ORDER BY ord) AS r, list(len(regexp_extract_all(line, '{TOKEN_SQL}')) ORDER BY ord) AS k FROM lines GROUP BY 1),
+sums AS (SELECT doc_id, len(r)::BIGINT AS z, list_transform(range(0, len(k) + 1), lambda i: coalesce(list_sum(k[1:i]), 0)::BIGINT) AS c FROM held), {greedy('c[e + 1] - c[{s} + 1] >= 1800 OR c[e + 2] - c[{s} + 1] > 2500')}
+SELECT doc_id AS document, n::BIGINT AS parent, s AS first_ord, e - 1 AS last_ord, e - s AS blocks, c[e + 1] - c[s + 1] AS tokens, sha256(array_to_string(h.r[s + 1:e], chr(10) || chr(10))) AS content FROM walk JOIN held h USING (doc_id)""")
 def chunk_pack_parents(t: Tables) -> DataFrame:
     lines = B.lines_of(t.documents, "doc_id").withColumn("tokens", T.token_count("line"))
     return K.pack(lines, "doc_id", "ord", "line", "tokens").withColumn("content", F.sha2("content", 256))
 
 
+def composed(t: Tables) -> DataFrame:
+    """Nodes of documents: lines are blocks, some of them headings or tables of one unit."""
+    level = F.when(F.length("line") % 5 < 3, F.length("line") % 5 + 1)
+    b = B.heading_paths(B.lines_of(t.documents, "doc_id").withColumn("level", level), "doc_id", "ord", "level", "line")
+    table = F.col("ord") % 11 == 10
+    kind = F.when(table, "table").when(F.col("level").isNotNull(), "heading").otherwise("paragraph")
+    b = b.select("doc_id", "ord", kind.alias("kind"), F.col("line").alias("text"), M.effective_heading_path(F.col("heading_path"), kind, F.col("line")).alias("heading_path"), F.when(table, F.array("line")).alias("units"))
+    key = K.group_key(F.col("kind"), F.col("heading_path"), F.lit(None).cast("string"), F.when(table, F.col("ord").cast("string")))
+    return M.compose(b, "doc_id", "ord", key)
+
+
 @query("chunk_nodes")
 def chunk_nodes(t: Tables) -> DataFrame:
-    return K.nodes(t.documents, "doc_id", "text").drop("content")
+    return composed(t).drop("content")
 
 
 @query("chunk_report")
 def chunk_report(t: Tables) -> DataFrame:
-    return K.report(K.nodes(t.documents, "doc_id", "text"), ["document"])
+    return K.report(composed(t), ["document"])
 
 
 @query("structural_groups", f"""
@@ -105,7 +127,12 @@ def node_gate(t: Tables) -> DataFrame:
     return K.gate(n).select("l_orderkey", "l_linenumber", "issue")
 
 
-@query("embed_batches")
+@query("embed_batches", rf"""
+WITH RECURSIVE n AS (SELECT source, doc_id, greatest(len(regexp_extract_all(text, '{TOKEN_SQL}')), ceil(length(text) / 4), 1)::BIGINT AS tokens FROM documents),
+fits AS (SELECT source AS doc_id, list(doc_id ORDER BY doc_id) AS r, list(tokens ORDER BY doc_id) AS k FROM n WHERE tokens <= 8000 GROUP BY 1),
+sums AS (SELECT doc_id, len(r)::BIGINT AS z, list_transform(range(0, len(k) + 1), lambda i: coalesce(list_sum(k[1:i]), 0)::BIGINT) AS c FROM fits), {greedy('e - {s} >= 128 OR c[e + 2] - c[{s} + 1] > 8000')},
+b AS (SELECT w.n AS batch, unnest(f.r[s + 1:e]) AS doc_id FROM walk w JOIN fits f USING (doc_id))
+SELECT source, n.doc_id, tokens, coalesce(batch, -1)::BIGINT AS batch FROM n LEFT JOIN b ON b.doc_id = n.doc_id""")
 def embed_batches(t: Tables) -> DataFrame:
     n = t.documents.select("source", "doc_id", K.estimated_tokens(T.token_count("text"), F.col("text")).alias("tokens"))
     return K.batches(n, "source", "doc_id", "tokens")
@@ -152,12 +179,12 @@ def conversation_history(t: Tables) -> DataFrame:
 
 
 @query("citations_extract", r"""
-WITH answers AS (SELECT conv_id, turn, '[S' || (turn % 4 + 1) || '] ' || left(text, 50) || ' [S' || (length(text) % 5 + 1) || '][S1]' AS answer FROM conversations WHERE role = 'assistant'),
+WITH answers AS (SELECT conv_id, turn, '[S' || (turn % 4 + 1) || '] ' || text || ' [S' || (length(text) % 5 + 1) || '][S1]' AS answer FROM conversations WHERE role = 'assistant'),
 labels AS (SELECT DISTINCT conv_id, turn, unnest(regexp_extract_all(answer, '\[(S\d+)\]', 1)) AS label FROM answers), sources AS (SELECT conv_id, 'S' || row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS label, left(text, 500) AS excerpt FROM conversations)
 SELECT conv_id, turn, label AS source_label, row_number() OVER (PARTITION BY conv_id, turn ORDER BY substr(label, 2)::INT) AS citation_index, sha256(excerpt) AS excerpt FROM labels JOIN sources USING (conv_id, label)""")
 def citations_extract(t: Tables) -> DataFrame:
     answers = t.conversations.filter("role = 'assistant'").withColumn("message", F.struct("conv_id", "turn"))
-    answers = answers.withColumn("answer", F.concat(F.lit("[S"), F.col("turn") % 4 + 1, F.lit("] "), F.left("text", F.lit(50)), F.lit(" [S"), F.length("text") % 5 + 1, F.lit("][S1]")))
+    answers = answers.withColumn("answer", F.concat(F.lit("[S"), F.col("turn") % 4 + 1, F.lit("] "), "text", F.lit(" [S"), F.length("text") % 5 + 1, F.lit("][S1]")))
     labelled = V.label_sources(t.conversations, "conv_id", "turn").select("conv_id", "source_label", F.col("text").alias("content"))
     sources = answers.select("message", "conv_id").join(labelled, "conv_id").drop("conv_id")
     return V.citations(answers, sources, "message", "answer").select("message.conv_id", "message.turn", "source_label", "citation_index", F.sha2("excerpt", 256).alias("excerpt"))
