@@ -122,7 +122,7 @@ def document_projection(t: Tables) -> DataFrame:
 
 
 @query("index_rebuild", """
-WITH d AS (SELECT o_custkey, max(o_orderkey) AS v FROM orders GROUP BY 1), r AS (SELECT o_custkey, v FROM d JOIN orders ON v = o_orderkey WHERE o_orderstatus = 'F'),
+WITH d AS (SELECT o_custkey, max(o_orderkey) AS v FROM orders GROUP BY 1), r AS (SELECT d.o_custkey, v FROM d JOIN orders ON v = o_orderkey WHERE o_orderstatus = 'F'),
 n AS (SELECT r.o_custkey, r.v, l_returnflag, l_shipdate FROM lineitem JOIN r ON v = l_orderkey WHERE l_tax > 0.02), f AS (SELECT v, l_returnflag, max(l_shipdate) AS ts FROM n GROUP BY ALL), w AS (SELECT v, (max({'t': ts, 'r': l_returnflag})).r AS run FROM f GROUP BY v)
 SELECT n.o_custkey AS document_id, n.v AS version_id, w.run, count(*)::BIGINT AS nodes FROM n JOIN w ON n.v = w.v AND n.l_returnflag = w.run GROUP BY ALL""")
 def index_rebuild(t: Tables) -> DataFrame:
