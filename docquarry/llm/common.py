@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 #: The whitespace that separates words everywhere in this subpackage (ASCII only).
 SPACE_CLASS = r"\x20\x09-\x0D"
 #: Bytes of one Arrow batch handed to a Python worker, unless the session says otherwise.
-BATCH_BYTES = 16 * 1024 * 1024
+BATCH_BYTES = 4 * 1024 * 1024
 
 
 def scratch_dir(spark: SparkSession) -> str:
