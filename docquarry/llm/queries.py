@@ -73,6 +73,12 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docquarry.llm.collocations import collocations
+
+    return collocations(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpus_pipeline import run
 
@@ -210,6 +216,43 @@ SELECT source, chosen_id, rejected_id, n::BIGINT AS prompt_turns, sha256(array_t
 FROM lined
 """
 
+PHRASE_SQL = r"""
+WITH pieces AS (
+  SELECT row_number() OVER () AS piece, lang, words FROM (
+    SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]'), lambda w: w <> '') AS words FROM (
+      SELECT coalesce(lang, 'und') AS lang,
+        unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents))
+  WHERE len(words) > 0
+), places AS (
+  SELECT lang, words, unnest(range(1, len(words) + 1)) AS spot FROM pieces
+), grams AS (
+  SELECT lang, words, spot, unnest(range(1, least(5, len(words) - spot + 1) + 1)) AS size FROM places
+), counts AS (
+  SELECT lang, size, phrase, count(*) AS n FROM (SELECT lang, size, array_to_string(words[spot:spot + size - 1], ' ') AS phrase FROM grams) GROUP BY ALL
+), total AS (
+  SELECT lang, sum(n) AS total FROM counts WHERE size = 1 GROUP BY lang
+), often AS (
+  SELECT *, string_split(phrase, ' ') AS words FROM counts WHERE n >= 100
+), cuts AS (
+  SELECT lang, phrase, size, n AS a, unnest(range(1, size)) AS k, words FROM often WHERE size > 1
+), scored AS (
+  SELECT c.lang, c.phrase, c.size, c.a, c.k, f.n AS l, g.n AS r, t.total AS n, (1000::HUGEINT * c.a * t.total::HUGEINT) // (f.n::HUGEINT * g.n) AS score
+  FROM cuts c JOIN often f ON f.lang = c.lang AND f.phrase = array_to_string(c.words[1:c.k], ' ')
+    JOIN often g ON g.lang = c.lang AND g.phrase = array_to_string(c.words[c.k + 1:], ' ') JOIN total t ON t.lang = c.lang
+), best AS (
+  SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+), inner_parts AS (
+  SELECT lang, n AS most, array_to_string(words[lo:hi], ' ') AS phrase FROM (
+    SELECT lang, n, words, lo, unnest(range(lo + 1, size + 1)) AS hi, size FROM (SELECT *, unnest(range(1, size)) AS lo FROM often WHERE size > 2)) WHERE hi - lo + 1 < size
+), lone AS (
+  SELECT b.* FROM best b LEFT JOIN (SELECT lang, phrase, max(most) AS most FROM inner_parts GROUP BY ALL) i ON i.lang = b.lang AND i.phrase = b.phrase
+  WHERE i.most IS NULL OR 100 * i.most < 100 * b.a
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase)::BIGINT AS rank, phrase,
+  a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score
+FROM lone QUALIFY row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) <= 2000
+"""
+
 QUERIES: dict[str, Query] = {
     "op1_simhash_links": op1_simhash_links,
     "op2_media_chunks": op2_media_chunks,
@@ -221,6 +264,7 @@ QUERIES: dict[str, Query] = {
     "op8_multiset_fingerprints": op8_multiset_fingerprints,
     "op9_line_dedup": op9_line_dedup,
     "op10_mix_sources": op10_mix_sources,
+    "op12_collocations": op12_collocations,
     "pipeline": pipeline,
 }
-ORACLE: dict[str, str] = {"op3_preference_pairs": PREFERENCE_SQL, "op9_line_dedup": LINE_SQL, "op10_mix_sources": MIX_SQL}
+ORACLE: dict[str, str] = {"op3_preference_pairs": PREFERENCE_SQL, "op9_line_dedup": LINE_SQL, "op10_mix_sources": MIX_SQL, "op12_collocations": PHRASE_SQL}
