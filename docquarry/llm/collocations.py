@@ -24,6 +24,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
@@ -57,8 +58,12 @@ def bit_count(frequent: DataFrame, config: PhraseConfig) -> int:
 
 
 def bitmap(frequent: DataFrame, bits: int) -> list[tuple[int, bytes]]:
-    """Parts of 32,768 bits with the bits of all frequent phrases: what reaches the driver has `bits` bits, whatever the input."""
-    at = F.expr(f"(xxhash64(lang, phrase) & {bits - 1}L) + 1")
+    """Parts of 32,768 bits with the bits of all frequent phrases: what reaches the driver has `bits` bits, whatever the input.
+
+    A phrase's hash goes through its words: what there is is turned by seven bits and the next word's XXH64 is laid over it.
+    """
+    hashes = F.expr("aggregate(split(phrase, ' '), 0L, (h, w) -> (shiftleft(h, 7) | shiftrightunsigned(h, 57)) ^ xxhash64(lang, w))")
+    at = hashes.bitwiseAND(F.lit(bits - 1)) + 1  # parts and positions are numbered from 1
     parts = frequent.select(F.bitmap_bucket_number(at).alias("part"), F.bitmap_bit_position(at).alias("bit")).groupBy("part").agg(F.bitmap_construct_agg("bit").alias("bits"))
     return [(row["part"], zlib.compress(row["bits"], 1)) for row in parts.toLocalIterator()]
 
@@ -67,27 +72,32 @@ class Passed:
     """The bitmap in a task."""
 
     def __init__(self, parts: list[tuple[int, bytes]], bits: int) -> None:
-        self.mask = bits - 1
+        self.mask = np.uint64(bits - 1)
         self.bytes = np.zeros(max(bits // 8, 4096), np.uint8)
-        for part, packed in parts:  # parts and positions are numbered from 1
+        for part, packed in parts:
             self.bytes[(part - 1) * 4096 : part * 4096] = np.frombuffer(zlib.decompress(packed), np.uint8)
 
-    def __call__(self, phrases: list[bytes], lang: bytes) -> np.ndarray:
-        seed, hashed = xxhash.xxh64_intdigest(lang, SEED), xxhash.xxh64_intdigest
-        at = np.fromiter((hashed(p, seed) & self.mask for p in phrases), np.int64, len(phrases))
-        return (self.bytes[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
-
-
-def coded(texts: list[bytes]) -> tuple[np.ndarray, list[bytes]]:
-    """The words of many texts as numbers of the second list's entries; -1 stands between pieces and behind the last word."""
-    parts = (MARK + b" ").join([*texts, b""]).lower().translate(CLEAN).replace(MARK, b" " + MARK + b" ")
-    found = pa.array(parts.split(b" "), pa.binary()).dictionary_encode()
-    words = found.dictionary.to_pylist()
+    def __call__(self, hashes: np.ndarray) -> np.ndarray:
+        at = hashes & self.mask
+        return (self.bytes[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0
+
+
+def coded(texts: list[bytes]) -> tuple[np.ndarray, pa.Array]:
+    """The words of many texts as numbers of the second array's entries; -1 stands between pieces and behind the last word."""
+    raw = np.frombuffer(MARK.join([*texts, b""]).lower().translate(CLEAN), np.uint8)
+    mark = raw == MARK[0]
+    begins = mark.copy()
+    begins[1:] |= (raw[:-1] == 32) | mark[:-1]
+    begins[0] = True
+    keep = raw != 32
+    starts = np.flatnonzero(begins[keep])
+    solid = raw[keep]
+    offsets = np.append(starts, len(solid)).astype(np.int64)
+    found = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(solid)]).dictionary_encode()
     codes = found.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-    blank, mark = (words.index(x) if x in words else -2 for x in (b"", MARK))
-    codes = codes[codes != blank]
-    codes[codes == mark] = -1
-    return codes, words
+    at = np.flatnonzero(solid[starts] == MARK[0])
+    codes[at] = -1
+    return codes, found.dictionary.cast(pa.binary())
 
 
 def numbered(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -96,40 +106,41 @@ def numbered(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return first, n, inverse
 
 
-def exploded(codes: np.ndarray, words: list[bytes], sizes: range, lang: bytes, passed: Passed | None) -> Iterator[tuple[list[bytes], np.ndarray]]:
-    """For each of the sizes, the phrases of so many words and how often each is found, where all their parts of the size before the first have passed."""
+def hashed(codes: np.ndarray, words: pa.Array, place: np.ndarray, size: int, lang: bytes) -> np.ndarray:
+    """The hash of the phrase of `size` words at each place."""
+    seed, digest = xxhash.xxh64_intdigest(lang, SEED), xxhash.xxh64_intdigest
+    own = np.fromiter((digest(w, seed) for w in words.to_pylist()), np.uint64, len(words))
+    out = np.zeros(len(place), np.uint64)
+    for k in range(size):
+        out = ((out << np.uint64(7)) | (out >> np.uint64(57))) ^ own[codes[place + k]]
+    return out
 
-    def phrases(at: np.ndarray, size: int) -> list[bytes]:
-        return [b" ".join([words[c] for c in row]) for row in codes[at[:, None] + np.arange(size)].tolist()]
 
-    base = max(1, sizes[0] - 1)  # the parts that the bitmap knows
-    place = np.flatnonzero(codes >= 0)
+def exploded(codes: np.ndarray, words: pa.Array, sizes: range, lang: bytes, passed: Passed | None) -> Iterator[tuple[pa.Array, np.ndarray]]:
+    """For each of the sizes, the phrases of so many words and how often each is found, where all their parts of the size before the first have passed."""
+
+    def phrases(at: np.ndarray, size: int) -> pa.Array:
+        return pc.binary_join_element_wise(*[words.take(pa.array(codes[at + k])) for k in range(size)], b" ")
+
+    base = sizes[0] - 1  # the size of the parts that the bitmap knows
+    if not base:
+        n = np.bincount(codes[codes >= 0], minlength=len(words))
+        found = np.flatnonzero(n)
+        yield words.take(pa.array(found)), n[found]
+        return
+    inside = np.append(codes >= 0, np.zeros(base, bool))
+    place = np.flatnonzero(np.logical_and.reduce([inside[k : len(codes) + k] for k in range(base)]))
+    place = place[passed(hashed(codes, words, place, base, lang))]
     rank = codes[place]
-    for size in range(2, base + 1):  # places of all phrases of the parts' size
-        rank, place = longer(codes, rank, place, size, len(words))
-    if passed is not None and len(place):
-        first, _, inverse = numbered(rank)
-        good = passed(phrases(place[first], base), lang)[inverse]
-        rank, place = inverse[good], place[good]
-    open_at = place
-    for size in sizes:
-        if size > base:  # both the phrase without its last word and the one without its first have passed
-            keep = np.isin(place + 1, open_at, assume_unique=True)
-            rank, place = longer(codes, rank[keep], place[keep], size, len(words))
+    for k in range(1, base):
+        rank = numbered(rank * len(words) + codes[place + k])[2]
+    for size in sizes:  # both the phrase without its last word and the one without its first have passed
+        keep = np.flatnonzero(place[1:] == place[:-1] + 1)
+        rank, place = rank[keep] * len(words) + codes[place[keep] + size - 1], place[keep]
         if not len(place):
             return
-        first, n, inverse = numbered(rank)
+        first, n, rank = numbered(rank)
         yield phrases(place[first], size), n
-        rank, open_at = inverse, place
-
-
-def longer(codes: np.ndarray, rank: np.ndarray, place: np.ndarray, size: int, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Phrases of `size` words from those of one less: their numbers and places."""
-    last = place + size - 1
-    inside = last < len(codes)
-    inside[inside] = codes[last[inside]] >= 0
-    place = place[inside]
-    return numbered(rank[inside])[2] * words + codes[place + size - 1], place
 
 
 def rows(docs: DataFrame, sizes: range, shared: Broadcast | None, bits: int) -> DataFrame:
@@ -145,7 +156,7 @@ def rows(docs: DataFrame, sizes: range, shared: Broadcast | None, bits: int) ->
             for lang, own in texts.items():
                 codes, words = coded(own)
                 for found, n in exploded(codes, words, sizes, lang.encode(), passed):
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(found), pa.string()), pa.array(found, pa.binary()).cast(pa.string()), pa.array(n, pa.int64())], ["lang", "phrase", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(found), pa.string()), found.cast(pa.string()), pa.array(n, pa.int64())], ["lang", "phrase", "n"])
 
     bounded_batches(docs.sparkSession)
     texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("binary").alias("text"))
