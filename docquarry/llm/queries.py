@@ -73,6 +73,12 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docquarry.llm.runs import planted, runs
+
+    return runs(table(spark, sf_dir, "documents"), "doc_id", text=planted())
+
+
 def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docquarry.llm.collocations import collocations
 
@@ -264,6 +270,7 @@ QUERIES: dict[str, Query] = {
     "op8_multiset_fingerprints": op8_multiset_fingerprints,
     "op9_line_dedup": op9_line_dedup,
     "op10_mix_sources": op10_mix_sources,
+    "op11_periodic_runs": op11_periodic_runs,
     "op12_collocations": op12_collocations,
     "pipeline": pipeline,
 }
