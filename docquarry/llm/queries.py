@@ -85,6 +85,12 @@ def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(table(spark, sf_dir, "documents"))
 
 
+def op13_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docquarry.llm.personal import find_personal
+
+    return find_personal(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpus_pipeline import run
 
@@ -272,6 +278,7 @@ QUERIES: dict[str, Query] = {
     "op10_mix_sources": op10_mix_sources,
     "op11_periodic_runs": op11_periodic_runs,
     "op12_collocations": op12_collocations,
+    "op13_personal_data": op13_personal_data,
     "pipeline": pipeline,
 }
 ORACLE: dict[str, str] = {"op3_preference_pairs": PREFERENCE_SQL, "op9_line_dedup": LINE_SQL, "op10_mix_sources": MIX_SQL, "op12_collocations": PHRASE_SQL}
