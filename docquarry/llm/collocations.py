@@ -18,24 +18,23 @@ up to 15 digits. Only text and lang are read, whatever other columns there are.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docquarry.llm.common import bounded_batches, materialize
+from docquarry.llm.phrases import MARK, Passed, bit_count, bitmap, coded, hashed, numbered, places
 
-#: What ends a piece, and the stand-in for it, a byte that no UTF-8 text has.
-ENDS, MARK = b".,;:!?\n\x0b\x0c\r", b"\xff"
-CLEAN = bytes.maketrans(ENDS + b"\t", MARK * len(ENDS) + b" ")
-COUNT, SEED = "lang string, phrase string, n long", 42
+#: What ends a piece.
+ENDS = b".,;:!?\n\x0b\x0c\r"
+CLEAN = bytes.maketrans(ENDS + b"\t", bytes([MARK]) * len(ENDS) + b" ")
+COUNT = "lang string, phrase string, n long"
 
 
 @dataclass(frozen=True)
@@ -45,75 +44,14 @@ class PhraseConfig:
     #: A candidate goes if one extension is found at least this share of its count (in hundredths).
     part_percent: int = 100
     top: int = 2000
-    #: Bits of the bitmap of frequent phrases: about so many a phrase, a power of two between these bounds (128 MB at most).
-    bits_per_phrase: int = 32
-    least_bits: int = 1 << 20
-    most_bits: int = 1 << 30
     #: Copies of a count that a very frequent part's candidates are dealt over.
     salts: int = 16
 
 
-def bit_count(frequent: DataFrame, config: PhraseConfig) -> int:
-    return min(config.most_bits, max(config.least_bits, 1 << (frequent.count() * config.bits_per_phrase).bit_length()))
-
-
-def bitmap(frequent: DataFrame, bits: int) -> list[tuple[int, bytes]]:
-    """Parts of 32,768 bits with the bits of all frequent phrases: what reaches the driver has `bits` bits, whatever the input.
-
-    A phrase's hash goes through its words: what there is is turned by seven bits and the next word's XXH64 is laid over it.
-    """
-    hashes = F.expr("aggregate(split(phrase, ' '), 0L, (h, w) -> (shiftleft(h, 7) | shiftrightunsigned(h, 57)) ^ xxhash64(lang, w))")
-    at = hashes.bitwiseAND(F.lit(bits - 1)) + 1  # parts and positions are numbered from 1
-    parts = frequent.select(F.bitmap_bucket_number(at).alias("part"), F.bitmap_bit_position(at).alias("bit")).groupBy("part").agg(F.bitmap_construct_agg("bit").alias("bits"))
-    return [(row["part"], zlib.compress(row["bits"], 1)) for row in parts.toLocalIterator()]
-
-
-class Passed:
-    """The bitmap in a task."""
-
-    def __init__(self, parts: list[tuple[int, bytes]], bits: int) -> None:
-        self.mask = np.uint64(bits - 1)
-        self.bytes = np.zeros(max(bits // 8, 4096), np.uint8)
-        for part, packed in parts:
-            self.bytes[(part - 1) * 4096 : part * 4096] = np.frombuffer(zlib.decompress(packed), np.uint8)
-
-    def __call__(self, hashes: np.ndarray) -> np.ndarray:
-        at = hashes & self.mask
-        return (self.bytes[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0
-
-
-def coded(texts: list[bytes]) -> tuple[np.ndarray, pa.Array]:
+def pieces(texts: list[bytes]) -> tuple[np.ndarray, pa.Array]:
     """The words of many texts as numbers of the second array's entries; -1 stands between pieces and behind the last word."""
-    raw = np.frombuffer(MARK.join([*texts, b""]).lower().translate(CLEAN), np.uint8)
-    mark = raw == MARK[0]
-    begins = mark.copy()
-    begins[1:] |= (raw[:-1] == 32) | mark[:-1]
-    begins[0] = True
-    keep = raw != 32
-    starts = np.flatnonzero(begins[keep])
-    solid = raw[keep]
-    offsets = np.append(starts, len(solid)).astype(np.int64)
-    found = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(solid)]).dictionary_encode()
-    codes = found.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-    at = np.flatnonzero(solid[starts] == MARK[0])
-    codes[at] = -1
-    return codes, found.dictionary.cast(pa.binary())
-
-
-def numbered(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Where each distinct number is found first, how often, and each one's rank."""
-    _, first, inverse, n = np.unique(codes, return_index=True, return_inverse=True, return_counts=True)
-    return first, n, inverse
-
-
-def hashed(codes: np.ndarray, words: pa.Array, place: np.ndarray, size: int, lang: bytes) -> np.ndarray:
-    """The hash of the phrase of `size` words at each place."""
-    seed, digest = xxhash.xxh64_intdigest(lang, SEED), xxhash.xxh64_intdigest
-    own = np.fromiter((digest(w, seed) for w in words.to_pylist()), np.uint64, len(words))
-    out = np.zeros(len(place), np.uint64)
-    for k in range(size):
-        out = ((out << np.uint64(7)) | (out >> np.uint64(57))) ^ own[codes[place + k]]
-    return out
+    raw = np.frombuffer(bytes([MARK]).join([*texts, b""]).lower().translate(CLEAN), np.uint8)
+    return coded(raw, raw == MARK)
 
 
 def exploded(codes: np.ndarray, words: pa.Array, sizes: range, lang: bytes, passed: Passed | None) -> Iterator[tuple[pa.Array, np.ndarray]]:
@@ -128,8 +66,7 @@ def exploded(codes: np.ndarray, words: pa.Array, sizes: range, lang: bytes, pass
         found = np.flatnonzero(n)
         yield words.take(pa.array(found)), n[found]
         return
-    inside = np.append(codes >= 0, np.zeros(base, bool))
-    place = np.flatnonzero(np.logical_and.reduce([inside[k : len(codes) + k] for k in range(base)]))
+    place = places(codes, base)
     place = place[passed(hashed(codes, words, place, base, lang))]
     rank = codes[place]
     for k in range(1, base):
@@ -154,7 +91,7 @@ def rows(docs: DataFrame, sizes: range, shared: Broadcast | None, bits: int) ->
                 if text:
                     texts.setdefault(lang, []).append(text)
             for lang, own in texts.items():
-                codes, words = coded(own)
+                codes, words = pieces(own)
                 for found, n in exploded(codes, words, sizes, lang.encode(), passed):
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * len(found), pa.string()), found.cast(pa.string()), pa.array(n, pa.int64())], ["lang", "phrase", "n"])
 
@@ -167,7 +104,7 @@ def counted(docs: DataFrame, sizes: range, frequent: DataFrame | None, config: P
     """lang, phrase, n: how often each phrase of these sizes is found, if all its parts (see `exploded`) are frequent."""
     shared, bits = None, 0
     if frequent is not None:
-        bits = bit_count(frequent, config)
+        bits = bit_count(frequent)
         shared = docs.sparkSession.sparkContext.broadcast(bitmap(frequent, bits))
     return rows(docs, sizes, shared, bits).groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
 

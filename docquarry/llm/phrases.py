@@ -24,7 +24,7 @@ def coded(raw: np.ndarray, alone: np.ndarray) -> tuple[np.ndarray, pa.Array]:
     """
     begins = alone.copy()
     begins[1:] |= (raw[:-1] == 32) | alone[:-1]
-    begins[0] = True
+    begins[:1] = True
     keep = raw != 32
     solid = raw[keep]
     starts = np.flatnonzero(begins[keep])
