@@ -19,6 +19,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -37,7 +38,7 @@ LETTER = r"[^\W\d_\u00b2\u00b3\u00b9\u2070-\u2089]"
 WORD = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 RUN = re.compile(f"{SPACE}*(?:{LETTER}+|(?:(?!{LETTER})[^{SPACE}])+)|{SPACE}+")
 BASE = np.uint64(0x100000001B3)
-#: Words remembered by a Python worker, neighbours of pieces told apart, and the size of what is searched in groups.
+#: Words remembered by a task, neighbours of pieces told apart, and the size of what is searched in groups.
 WORDS_KEPT, PAIRS_KEPT, PAIRS_LOOSE, GROUP_LEAST, GROUP_LENGTH = 400_000, 2_000_000, 20_000, 12, 64
 
 
@@ -114,6 +115,11 @@ class Searcher:
         self.segment = next((cut for cut in (RUN, WORD) if all(cut.fullmatch(p) for p in usable)), None)
         self.pairs, self.holds = np.zeros(0, np.int64), np.zeros(0, bool)
 
+    def forget(self) -> None:
+        self.words.clear()
+        self.known.clear()
+        self.pairs, self.holds = np.zeros(0, np.int64), np.zeros(0, bool)
+
     @staticmethod
     def salted(h: np.ndarray, length: int) -> np.ndarray:
         h = h ^ np.uint64(length * 0x9E3779B97F4A7C15 & (2**64 - 1))
@@ -299,12 +305,17 @@ def gathered(values: np.ndarray, ends: np.ndarray, picks: np.ndarray, counts: np
 _SEARCHERS: dict[str, Searcher] = {}
 
 
-def searcher(model: PieceModel) -> Searcher:
-    """One for each model in a worker, kept from task to task."""
+@contextmanager
+def searching(model: PieceModel) -> Iterator[Searcher]:
+    """A worker's searcher for a task. The model's tables stay; the words and pairs that it remembers go with the task, as workers live on and later stages need their memory."""
     if model.digest not in _SEARCHERS:
         _SEARCHERS.clear()
         _SEARCHERS[model.digest] = Searcher(model)
-    return _SEARCHERS[model.digest]
+    own = _SEARCHERS[model.digest]
+    try:
+        yield own
+    finally:
+        own.forget()
 
 
 #: Characters of the texts that are encoded together.
@@ -331,16 +342,16 @@ def encode(docs: DataFrame, keep: list[str], model: PieceModel | None = None, ch
     names = [*keep, "n_tokens", "ids", *["whole"] * check]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = searcher(shared.value)
-        for batch in batches:
-            texts = batch.column(len(keep)).to_pylist()
-            for lo, hi in runs(texts):
-                ids, ends = own.encode(texts[lo:hi])
-                gone = pa.array([t is None for t in texts[lo:hi]])
-                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()), mask=gone)
-                counts = pa.array(np.diff(ends), pa.int64(), mask=gone.to_numpy(zero_copy_only=False))
-                same = [pa.array([None if t is None else t.encode() == b for t, b in zip(texts[lo:hi], own.decode(ids, ends), strict=True)], pa.bool_())] if check else []
-                yield pa.RecordBatch.from_arrays([*(c.slice(lo, hi - lo) for c in batch.columns[: len(keep)]), counts, lists, *same], names)
+        with searching(shared.value) as own:
+            for batch in batches:
+                texts = batch.column(len(keep)).to_pylist()
+                for lo, hi in runs(texts):
+                    ids, ends = own.encode(texts[lo:hi])
+                    gone = pa.array([t is None for t in texts[lo:hi]])
+                    lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()), mask=gone)
+                    counts = pa.array(np.diff(ends), pa.int64(), mask=gone.to_numpy(zero_copy_only=False))
+                    same = [pa.array([None if t is None else t.encode() == b for t, b in zip(texts[lo:hi], own.decode(ids, ends), strict=True)], pa.bool_())] if check else []
+                    yield pa.RecordBatch.from_arrays([*(c.slice(lo, hi - lo) for c in batch.columns[: len(keep)]), counts, lists, *same], names)
 
     return docs.select(*keep, F.col("text").alias("__dq_text")).mapInArrow(run, f"{given}, n_tokens long, ids array<int>" + ", whole boolean" * check)
 
@@ -353,13 +364,13 @@ def decode(encoded: DataFrame, keep: list[str], model: PieceModel | None = None)
     given = ", ".join(f"`{c}` {encoded.schema[c].dataType.simpleString()}" for c in keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = searcher(shared.value)
-        for batch in batches:
-            lists = batch.column(len(keep))
-            ends = np.concatenate([[0], np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))]).astype(np.int64)
-            texts = own.decode(lists.flatten().to_numpy(zero_copy_only=False), ends)
-            values = [None if gone else t.decode("utf-8", "replace") for t, gone in zip(texts, lists.is_null().to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(values, pa.string())], [*keep, "text"])
+        with searching(shared.value) as own:
+            for batch in batches:
+                lists = batch.column(len(keep))
+                ends = np.concatenate([[0], np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))]).astype(np.int64)
+                texts = own.decode(lists.flatten().to_numpy(zero_copy_only=False), ends)
+                values = [None if gone else t.decode("utf-8", "replace") for t, gone in zip(texts, lists.is_null().to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(values, pa.string())], [*keep, "text"])
 
     return encoded.select(*keep, F.col("ids").alias("__dq_ids")).mapInArrow(run, f"{given}, text string")
 
@@ -371,21 +382,21 @@ def round_trip(docs: DataFrame, model: PieceModel | None = None) -> DataFrame:
     shared = spark.sparkContext.broadcast(model or PieceModel.load())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = searcher(shared.value)
-        for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for lo, hi in runs(texts):
-                part = texts[lo:hi]
-                ids, ends = own.encode(part)
-                back = own.decode(ids, ends)
-                sums = [None if t is None else hashlib.sha256(ids[a:b].tobytes()).hexdigest() for t, a, b in zip(part, ends[:-1], ends[1:], strict=True)]
-                again = [None if t is None else hashlib.sha256(b).hexdigest() for t, b in zip(part, back, strict=True)]
-                same = [None if t is None else t.encode() == b for t, b in zip(part, back, strict=True)]
-                gone = np.array([t is None for t in part], bool)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, hi - lo), pa.array(np.diff(ends), pa.int64(), mask=gone), pa.array(sums, pa.string()), pa.array(again, pa.string()), pa.array(same, pa.bool_())],
-                    ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "whole"],
-                )
+        with searching(shared.value) as own:
+            for batch in batches:
+                texts = batch.column(1).to_pylist()
+                for lo, hi in runs(texts):
+                    part = texts[lo:hi]
+                    ids, ends = own.encode(part)
+                    back = own.decode(ids, ends)
+                    sums = [None if t is None else hashlib.sha256(ids[a:b].tobytes()).hexdigest() for t, a, b in zip(part, ends[:-1], ends[1:], strict=True)]
+                    again = [None if t is None else hashlib.sha256(b).hexdigest() for t, b in zip(part, back, strict=True)]
+                    same = [None if t is None else t.encode() == b for t, b in zip(part, back, strict=True)]
+                    gone = np.array([t is None for t in part], bool)
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column(0).slice(lo, hi - lo), pa.array(np.diff(ends), pa.int64(), mask=gone), pa.array(sums, pa.string()), pa.array(again, pa.string()), pa.array(same, pa.bool_())],
+                        ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "whole"],
+                    )
 
     kind = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string, whole boolean"
     return docs.select("doc_id", F.col("text").alias("__dq_text")).mapInArrow(run, kind)

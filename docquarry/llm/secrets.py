@@ -54,6 +54,9 @@ SENSITIVE = (
 )
 #: Short words, which have to stand alone.
 SENSITIVE_WORDS = {"pwd": 0.9, "pass": 0.7, "bearer": 0.8, "auth": 0.7, "dsn": 0.6, "salt": 0.5}
+#: Words of names that count or limit something, and words that may follow a sensitive one.
+QUANTITIES = frozenset("max min num number count counter total limit size length len index offset position per budget usage used".split())
+BESIDE = frozenset("value values old new prev current default primary secondary prod production dev test staging main env str string text raw plain data hex b encoded base for of".split())
 PLACEHOLDER = re.compile(r"^(?:x+|\*+|\.+|-+|_+|change_?me|example.*|placeholder|dummy|your[_-].*|test|null|none|true|false|undefined)$", re.IGNORECASE)
 WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
 
@@ -70,13 +73,21 @@ TARGET = re.compile(
 TYPED = re.compile(r"""([A-Za-z_][A-Za-z0-9_.]*+)(?:\[[^\]\n=]*+\]|<[^>\n=]*+>)?(?:[\x20\t]*+\|[\x20\t]*+[A-Za-z_][A-Za-z0-9_.]*+)*[\x20\t]*+=(?![=>])[\x20\t]*+""", re.ASCII)
 STRING = re.compile(r"""(?:[A-Za-z@$]{1,2})?(?:"((?:[^"\\\n]|\\.)*+)"|'((?:[^'\\\n]|\\.)*+)'|`([^`\n]*+)`)""", re.ASCII)
 TRIPLE = re.compile(r"""(?:[A-Za-z]{1,2})?(\"{3}|'{3})""")
-BARE = re.compile(r"[A-Za-z0-9+/_.=\-]+", re.ASCII)
+#: A bare value; signs of equality end it (as in base64), and stand before what goes on.
+BARE = re.compile(r"[A-Za-z0-9+/_.\-]++(?:=++(?![A-Za-z0-9+/_.\-\"'`\x20\t]))?", re.ASCII)
 BLOCK = re.compile(r"[|>][0-9+\-]*+[\x20\t]*+\r?\n((?:[\x20\t]++[^\n]*+\n?|[\x20\t]*+\r?\n)++)")
 #: Between two terms of one value: signs of concatenation, with lines going on behind them, before them or by a backslash.
-JOIN = re.compile(r"""\s*+(?:\+|\.\.?(?=\s*["'`$])|&|\|\|)\s*+|[\x20\t]*+\\\r?\n[\x20\t]*+(?=["'`])""")
+JOIN = re.compile(r"""\s*+(?:\+|\.concat\(|\.\.?(?=\s*["'`$])|&|\|\|)\s*+|[\x20\t]*+\\\r?\n[\x20\t]*+(?=["'`])""")
 QUOTE = re.compile(r"""[\x20\t]*+(?=[A-Za-z]{0,2}["'`])""")
-#: Brackets in brackets that a value is read in.
-DEPTH = 2
+#: Between two values of which one is chosen: `x if y else z`, `y ? x : z`. The condition has so many characters at most.
+CHOICE = re.compile(r"""[\x20\t]++if\b[^\n]{0,200}?\belse\b[\x20\t]*+|[\x20\t]*+[?:][\x20\t]*+(?=["'`])""")
+#: A list in YAML, an item a line; what a name stands behind in a tuple of names.
+ITEMS = re.compile(r"""[\x20\t]*+\r?\n((?:[\x20\t]*+-[\x20\t]++[^\n]++\n?)++)""")
+ITEM = re.compile(r"""-[\x20\t]++(?:"([^"\n]*+)"|'([^'\n]*+)'|([^\s"'#:]++)(?=[\x20\t\r]*+(?:#|$)))""", re.MULTILINE)
+NAMES_BEFORE = re.compile(r"""(?:^|\n)[\x20\t(]*+((?:[A-Za-z_][A-Za-z0-9_.]*+[\x20\t]*+,[\x20\t]*+)+)\Z""", re.ASCII)
+#: Brackets in brackets that the value of a sensitive name, and of any other, is read in: a bound of the work on each character, far beyond what code nests.
+DEPTH, DEPTH_OTHERS = 32, 8
+OPEN, CLOSE = ("(", "[", "{"), (")", "]", "}")
 #: Characters of a value that tell whether it is a placeholder.
 HEAD = 64
 #: Start, end, value, quoted.
@@ -91,16 +102,20 @@ class SecretConfig:
 
 
 def sensitivity(name: str) -> float:
-    """By the words of the name: parts between signs, or between a small and a large letter."""
-    best, joined = 0.0, ""
-    for word in WORDS.findall(name):
-        word = word.lower()
-        joined += word
-        best = max(best, SENSITIVE_WORDS.get(word, 0.0))
-        plain = joined.removesuffix("s")
-        for part, weight in SENSITIVE:
-            if weight > best and (joined.endswith(part) or plain.endswith(part)):
-                best = weight
+    """By the last words of the name, but for such as `value` or `old`: parts between signs, or between a small and a large letter. Names of quantities (`token_count`, `max_token`) aren't sensitive."""
+    words = [w.lower() for w in WORDS.findall(name)]
+    if not QUANTITIES.isdisjoint(words):
+        return 0.0
+    while len(words) > 1 and words[-1] in BESIDE:
+        words.pop()
+    if not words:
+        return 0.0
+    joined = "".join(words)
+    plain = joined.removesuffix("s")
+    best = SENSITIVE_WORDS.get(words[-1], 0.0)
+    for part, weight in SENSITIVE:
+        if weight > best and (joined.endswith(part) or plain.endswith(part)):
+            best = weight
     return best
 
 
@@ -145,7 +160,7 @@ class Reader:
             return (*m.span(m.lastindex), m.group(m.lastindex), True)
         return None
 
-    def value(self, at: int, depth: int = 0) -> tuple[list[list[Term]], int, bool]:
+    def value(self, at: int, depth: int = 0, most: int = DEPTH) -> tuple[list[list[Term]], int, bool]:
         """The values that begin at `at`, where they end, and whether they were in brackets. One value outside of brackets, any number inside."""
         text, values, terms, nested = self.text, [], [], depth > 0
         while True:
@@ -153,18 +168,22 @@ class Reader:
                 while at < len(text) and text[at].isspace():
                     at += 1
             if (term := self.string(at)) is not None:
-                terms.append(term)
                 at = self.after
+                if depth and (m := KEY.match(text, at)) is not None:  # the key of a map: its value stands by itself
+                    values.append(terms)
+                    terms, at = [], m.end()
+                    continue
+                terms.append(term)
             elif (m := BARE.match(text, at)) is not None and not depth:
                 at = m.end()
-                if text[at : at + 1] in ("(", "[") and NAME.match(m.group()):
+                if text[at : at + 1] in OPEN[:2] and NAME.match(m.group()):
                     depth, nested, at = depth + 1, True, at + 1
                     continue
                 terms.append((*m.span(), m.group(), False))
             elif depth and (m := NAMES.match(text, at)) is not None:
                 at = m.end()
-                if text[at : at + 1] in ("(", "["):
-                    if depth == DEPTH:
+                if text[at : at + 1] in OPEN[:2]:
+                    if depth == most:
                         break
                     depth, at = depth + 1, at + 1
                     continue
@@ -173,7 +192,9 @@ class Reader:
                     terms, at = [], m2.end()
                     continue
                 terms.append((*m.span(), m.group(), False))
-            elif text[at : at + 1] in ("(", "[") and depth < DEPTH and not terms:
+            elif depth and (m := DIGITS.match(text, at)) is not None:
+                at = m.end()
+            elif text[at : at + 1] in OPEN and depth < most and not terms:
                 depth, nested, at = depth + 1, True, at + 1
                 continue
             if (m := JOIN.match(text, at)) is not None and terms:
@@ -182,17 +203,21 @@ class Reader:
             if terms and terms[-1][3] and (m := (SPACED if depth else QUOTE).match(text, at)) is not None:
                 at = m.end()
                 continue
+            if terms and (m := CHOICE.match(text, at)) is not None:
+                values.append(terms)
+                terms, at = [], m.end()
+                continue
             if not depth:
                 break
             while at < len(text) and text[at].isspace():
                 at += 1
             sign = text[at : at + 1]
-            if sign not in (",", ")", "]", ";"):
+            if sign not in (",", ";", *CLOSE):
                 break
             at += 1
             values.append(terms)
             terms = []
-            if sign in ")]":
+            if sign in CLOSE:
                 depth -= 1
                 if not depth:
                     break
@@ -237,10 +262,22 @@ class Reader:
                         out.append((name, [(start, start + len(inner), inner, True)]))
                     at = b.start(1)  # lines of a block may be pairs themselves
                     continue
+                if (b := ITEMS.match(text, at)) is not None:
+                    for i in ITEM.finditer(text, b.start(1), b.end(1)):
+                        out.append((name, [(*i.span(i.lastindex), i.group(i.lastindex), i.lastindex < 3)]))
+                    at = b.start(1)
+                    continue
                 if (t := TYPED.match(text, at)) is not None:
                     names.append(t.group(1))
                     at = t.end()
-            values, end, nested = self.value(at)
+            values, end, nested = self.value(at, most=DEPTH if sensitivity(name) else DEPTH_OTHERS)
+            if sign == "=" and sensitivity(name) and (before := NAMES_BEFORE.search(text[max(0, m.start() - 200) : m.start()])) is not None:
+                for _ in range(before.group(1).count(",")):  # a tuple of names: the value at its place
+                    if text[end : end + 1] != ",":
+                        break
+                    while text[end + 1 : end + 2] in (" ", "\t"):
+                        end += 1
+                    values, end, nested = self.value(end + 1)
             out += [(n, terms) for terms in values for n in names]
             # what is in brackets may hold pairs, and a bare value may itself begin one, as in `a: b = "c"`
             if not nested and values:
@@ -251,6 +288,8 @@ class Reader:
 
 
 NAMES = re.compile(IDENT, re.ASCII)
+KEY = re.compile(r"[\x20\t]*+(?:=>|:(?![:/]))[\x20\t]*+")
+DIGITS = re.compile(r"[0-9][0-9A-Za-z_.]*+")
 SIGN = re.compile(r"[\x20\t]*+(?::=|=>|=(?!=)|:(?![:/]))[\x20\t]*+")
 SPACED = re.compile(r"""\s*+(?=[A-Za-z]{0,2}["'`])""")
 
@@ -347,8 +386,7 @@ def listed(spans: list[tuple[int, int, int]]) -> str:
 def found(text: str | None, config: SecretConfig = SecretConfig()) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, str, float]]]:
     """The base spans, and what the lexer adds."""
     text = text or ""
-    more = lexed(text, config) if "=" in text or ":" in text else []
-    return base(text), more
+    return base(text), lexed(text, config)
 
 
 def scan(docs: DataFrame, config: SecretConfig = SecretConfig()) -> DataFrame:

@@ -161,6 +161,43 @@ def test_lexer_is_linear_in_hostile_texts():
     assert time.process_time() - start < 40
 
 
+SECRET = "Zx9qLm4Tw8RkpQ2v"
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        f"<password>{SECRET}</password>", f"curl --password {SECRET}", f'login("credential", "{SECRET}")', f'credential = base64.b64decode(x.y(z("{SECRET}")))', f'"credential": {{"value": "{SECRET}"}}',
+        f"credential:\n  - {SECRET}\n", f"credential: \r\n- '{SECRET}'", f'credential = x if y else "{SECRET}"', f'credential = y ? "" : "{SECRET}";', f'user, credential = 1, "{SECRET}"', f'credential = {{"a": 1, "b": ["{SECRET}"]}}',
+        f'db_password_old = "{SECRET}"', f"credential = f(g(h(i(j(k(l(m(n('{SECRET}')))))))))", f'credential = "{SECRET}="', f"credential={SECRET}==",
+    ],
+)
+def test_lexer_needs_no_sign_elsewhere_and_reads_nested_values(text):
+    found = secrets.found(text)[1]
+    assert len(found) == 1 and text[found[0][0] : found[0][1]].rstrip("=") == SECRET
+
+
+@pytest.mark.parametrize("text", ['token_count = "1234567890123"', "max_token: 123456789012", 'author = "Zx9qLm4Tw8RkpQ2v"', 'password_length = "Zx9qLm4Tw8RkpQ2v"'])
+def test_names_of_quantities_are_not_sensitive(text):
+    assert secrets.found(text)[1] == []
+
+
+def test_lexer_takes_a_part_and_all_of_a_concatenated_call():
+    text = 'credential = "Zx9q".concat("Lm4Tw8RkpQ2v")'
+    assert [text[a:b] for a, b, _, _ in secrets.lexed(text)] == ["Zx9q", "Lm4Tw8RkpQ2v"]
+
+
+@pytest.mark.parametrize("unit", ["a=", "a==", 'a = "b" if ', "f(", "x=(", "password(", '{"a":', "secret={", "token: [", "token=a,", "- a\n", "k:\n - a\n", "a=b?", '"a":"b",', 'password="a" + ', "= "])
+def test_time_grows_with_the_text_only(unit):
+    def seconds(n):
+        start = time.process_time()
+        secrets.found(unit * (n // len(unit)))
+        return time.process_time() - start
+
+    seconds(1000)
+    assert seconds(80_000) < 12 * seconds(20_000) + 0.5
+
+
 def test_lexer_reads_aligned_columns_and_long_names():
     value, key = "Zx81Qw0pLm72", "service." * 12 + "credential"
     for text in (
