@@ -86,7 +86,7 @@ def near(vectors: DataFrame, queries: DataFrame, ident: str, query: str, vector:
     """Of one block of queries: query, ident, score of each task's best k."""
     rows = queries.select(query, F.col(vector).cast("array<double>").alias("v")).collect()  # a block
     names = [r[query] for r in rows]
-    q = np.array([r["v"] for r in rows], np.float64).reshape(len(rows), -1)
+    q = np.array([r["v"] for r in rows], np.float64).reshape(len(rows), len(rows[0]["v"]) if rows else 0)
     q = q / np.where((n := np.sqrt((q**2).sum(1, keepdims=True))) > 0, n, 1)
     kind, asked = vectors.schema[ident].dataType.simpleString(), queries.schema[query].dataType.simpleString()
     shared = vectors.sparkSession.sparkContext.broadcast((names, q))

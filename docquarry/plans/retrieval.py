@@ -6,6 +6,11 @@ vectors of the same id. `benchmark` passages are queries of BM25 alone.
 
 from __future__ import annotations
 
+import os
+import uuid
+from collections.abc import Callable
+from typing import Any
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -13,9 +18,11 @@ from docquarry.functions import text as T
 from docquarry.functions import vectors as V
 from docquarry.operators import evaluation as E
 from docquarry.operators import fusion as U
+from docquarry.operators import postings as P
 from docquarry.operators import search as S
+from docquarry.operators import vectorindex as VI
 from docquarry.plans.registry import Tables, query
-from docquarry.sources.scratch import checkpointed
+from docquarry.sources.scratch import checkpointed, shared_folder
 
 TERM = r"[\p{L}\p{N}_]+"
 
@@ -82,6 +89,61 @@ def bm25_best_field(t: Tables) -> DataFrame:
     return S.best_field([(bm25_hits(t, 10), 2.0), (title_hits, 4.0)], "query_id", "doc_id")
 
 
+def node_table(t: Tables) -> DataFrame:
+    """Documents as nodes: the first line as heading path, long words as keywords, the language to filter by."""
+    words = F.array_distinct(F.filter(P.standard(F.col("text")), lambda w: F.length(w) >= 12))
+    return t.documents.select("doc_id", F.array(F.split("text", "\n")[0]).alias("heading_path"), F.col("text").alias("content"), words.alias("retrieval_keywords"), F.col("lang").alias("node_lang"))
+
+
+def kept_index(t: Tables, name: str, build: Callable[[str], Any]) -> Any:
+    """An index of a folder's tables, written once in a session."""
+    key = (t.spark.sparkContext.applicationId, t.folder, name)
+    if key not in KEPT:
+        KEPT[key] = build(os.path.join(shared_folder(t.spark), f"{name}-{uuid.uuid4().hex}"))
+    return KEPT[key]
+
+
+KEPT: dict[tuple[str, str, str], Any] = {}
+
+
+def first_lines(t: Tables) -> DataFrame:
+    return t.documents.filter("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), F.split("text", "\n")[0].alias("text"))
+
+
+def fields_sql(source: str, fields: tuple[P.Field, ...], where: str) -> str:
+    """SQL of a search over weighted fields: source gives doc_id, the fields' columns and what `where` needs."""
+    folded = f"translate(lower({{x}}), '{P.MARKED}', '{P.UNMARKED}')"
+    kinds = {P.folding: folded, P.bigrams: "lower({x})", P.standard: "lower({x})"}
+    out = f"WITH node AS ({source}), question AS (SELECT doc_id AS query_id, string_split(text, chr(10))[1] AS q FROM documents WHERE doc_id % 100 = 0)"
+    for k, f in enumerate(fields):
+        told, asked = (f"regexp_extract_all({kinds[f.analyze].format(x=x)}, '{TERM}')" for x in (f.source, "q"))
+        out += f""", w{k} AS (SELECT doc_id, {told} AS w FROM node), s{k} AS (SELECT count(*) AS n, sum(len(w)) / count(*) AS av FROM w{k}),
+        f{k} AS (SELECT doc_id, dl, term, count(*) AS tf FROM (SELECT doc_id, len(w) AS dl, unnest(w) AS term FROM w{k}) GROUP BY ALL), d{k} AS (SELECT term, count(*) AS df FROM f{k} GROUP BY term),
+        q{k} AS (SELECT DISTINCT query_id, unnest({asked}) AS term FROM question),
+        r{k} AS (SELECT query_id, doc_id, sum({f.boost}::DOUBLE * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / av))) AS score FROM q{k} JOIN f{k} USING (term) JOIN d{k} USING (term), s{k} GROUP BY ALL)"""
+    union = " UNION ALL ".join(f"SELECT * FROM r{k}" for k in range(len(fields)))
+    return f"""{out}, best AS (SELECT query_id, doc_id, round(max(score), 10) AS exact FROM ({union}) GROUP BY ALL),
+    ranked AS (SELECT query_id, doc_id, round(exact, 4) AS score, row_number() OVER (PARTITION BY query_id ORDER BY exact DESC, doc_id) AS rank FROM best JOIN node USING (doc_id) WHERE {where})
+    SELECT query_id, doc_id, score, rank FROM ranked WHERE rank <= 10"""
+
+
+NODE_SQL = rf"""SELECT doc_id, string_split(text, chr(10))[1] AS heading_path, text AS content, lang AS node_lang,
+  array_to_string(list_distinct(list_filter(regexp_extract_all(lower(text), '{TERM}'), lambda w: length(w) >= 12)), chr(10)) AS retrieval_keywords FROM documents"""
+
+
+@query("bm25_weighted_fields", fields_sql(NODE_SQL, P.CHUNK_FIELDS, "node_lang = 'en'"))
+def bm25_weighted_fields(t: Tables) -> DataFrame:
+    index = kept_index(t, "nodes", lambda path: P.build(node_table(t), "doc_id", P.CHUNK_FIELDS, path, ("node_lang",)))
+    return index.search(first_lines(t), "query_id", "text", where=F.col("node_lang") == "en")
+
+
+@query("bm25_document_fields", fields_sql("SELECT doc_id, string_split(text, chr(10))[1] AS title, source || '_' || lang || '_' || doc_id || '.txt' AS original_filename FROM documents", P.DOCUMENT_FIELDS, "true"))
+def bm25_document_fields(t: Tables) -> DataFrame:
+    names = t.documents.select("doc_id", F.split("text", "\n")[0].alias("title"), F.concat("source", F.lit("_"), "lang", F.lit("_"), "doc_id", F.lit(".txt")).alias("original_filename"))
+    index = kept_index(t, "names", lambda path: P.build(names, "doc_id", P.DOCUMENT_FIELDS, path))
+    return index.search(first_lines(t), "query_id", "text")
+
+
 @query("postings_statistics", rf"""
 WITH tok AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '{TERM}')) AS term FROM documents), tf AS (SELECT doc_id, term, count(*) AS tf FROM tok GROUP BY ALL)
 SELECT term, count(*)::BIGINT AS df, sum(tf)::BIGINT AS cf, max(tf)::BIGINT AS most FROM tf GROUP BY term""")
@@ -109,6 +171,31 @@ def dense_topk(t: Tables) -> DataFrame:
     return dense_hits(t, 10)
 
 
+def vector_lists(t: Tables) -> VI.VectorIndex:
+    vectors = t.embeddings.withColumnRenamed("vec_id", "doc_id")
+    return kept_index(t, "vectors", lambda path: VI.build(vectors, "doc_id", "embedding", path))
+
+
+def asked_vectors(t: Tables) -> DataFrame:
+    return t.embeddings.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+
+
+@query("vector_index_search")
+def vector_index_search(t: Tables) -> DataFrame:
+    return VI.search(vector_lists(t), asked_vectors(t), "query_id", "embedding")
+
+
+@query("vector_index_all_lists", f"WITH {DENSE_CTES} SELECT query_id, doc_id, score, rank FROM dranked WHERE rank <= 10")
+def vector_index_all_lists(t: Tables) -> DataFrame:
+    index = vector_lists(t)
+    return VI.search(index, asked_vectors(t), "query_id", "embedding", probes=len(index.centres))
+
+
+@query("vector_index_recall")
+def vector_index_recall(t: Tables) -> DataFrame:
+    return VI.recall(vector_index_search(t), dense_hits(t, 10), "query_id", "doc_id")
+
+
 @query("vector_norms", "SELECT vec_id, round(sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6) AS norm, len(embedding)::BIGINT AS dims FROM embeddings")
 def vector_norms(t: Tables) -> DataFrame:
     return t.embeddings.select("vec_id", F.round(V.norm("embedding"), 6).alias("norm"), F.size("embedding").cast("long").alias("dims"))
