@@ -21,6 +21,7 @@ from docquarry.operators import fusion as U
 from docquarry.operators import postings as P
 from docquarry.operators import search as S
 from docquarry.operators import vectorindex as VI
+from docquarry.operators.fold import fold_candidates
 from docquarry.plans.registry import Tables, query
 from docquarry.sources.scratch import checkpointed, shared_folder
 
@@ -281,6 +282,15 @@ def candidate_filter(t: Tables) -> DataFrame:
     return U.filter_candidates(candidates(t), "query_id", "doc_id", "text", "exact").select("query_id", "doc_id", "reason")
 
 
+@query("candidate_fold")
+def candidate_fold(t: Tables) -> DataFrame:
+    """The whole fold: siblings are the candidates of one source, vectors tell which are alike, duplicates hand on their signals."""
+    vectors = t.embeddings.select(F.col("vec_id").alias("doc_id"), "embedding")
+    rows = candidates(t).select("query_id", "doc_id", "source", "text", "rrf_score", "best_rank", "bm25_rank", "bm25_score", "dense_rank", "dense_score", "exact").join(vectors, "doc_id", "left")
+    folded = fold_candidates(rows, "query_id", "doc_id", "text", "source", vector="embedding")
+    return folded.select("query_id", "doc_id", "reason", "bm25_rank", "dense_rank", "exact", "merged")
+
+
 @query("exact_match_flag", f"SELECT b.item_id, d.doc_id FROM benchmark b, documents d WHERE {EXACT_SQL.format(q='b.text', c='d.text')}")
 def exact_match_flag(t: Tables) -> DataFrame:
     # A stated set of whole passages, sent to all documents.
