@@ -13,6 +13,7 @@ from docquarry.operators import tables as H
 from docquarry.plans.registry import LINES, Tables, query
 from docquarry.sources import files as S
 from docquarry.streaming import events as E
+from docquarry.streaming.deferral import deferred
 
 
 @query("html_blocks")
@@ -176,3 +177,9 @@ def stream_deduplicated(t: Tables) -> DataFrame:
 @query("stream_admission")
 def stream_admission(t: Tables) -> DataFrame:
     return E.finished(E.admission(event_stream(t).withColumn("tokens", F.col("value") * 100), "user_id", "event_id", "ts", "tokens"))
+
+
+@query("stream_deferral")
+def stream_deferral(t: Tables) -> DataFrame:
+    """Calls beyond the limit wait and are let go: one row when a call comes, one when a timer releases it."""
+    return E.finished(deferred(E.timed(event_stream(t)).withColumn("tokens", F.col("value") * 100), "user_id", "event_id", "ts", "tokens"))
