@@ -182,4 +182,4 @@ def stream_admission(t: Tables) -> DataFrame:
 @query("stream_deferral")
 def stream_deferral(t: Tables) -> DataFrame:
     """Calls beyond the limit wait and are let go: one row when a call comes, one when a timer releases it."""
-    return E.finished(deferred(E.timed(event_stream(t)).withColumn("tokens", F.col("value") * 100), "user_id", "event_id", "ts", "tokens"))
+    return E.finished(deferred(event_stream(t).withColumn("tokens", F.col("value") * 100), "user_id", "event_id", "ts", "tokens"))

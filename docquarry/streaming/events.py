@@ -13,6 +13,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
 from docquarry.sources.scratch import shared_folder
+from docquarry.sources.snapshots import SnapshotTable
 
 #: The limiter's window, calls and tokens; how late events may come.
 WINDOW_SECONDS, MOST_CALLS, MOST_TOKENS, LATE = 60, 3, 9000, "10 minutes"
@@ -87,6 +88,21 @@ def upsert_batches(path: str, key: list[str], version: str) -> Callable[[DataFra
     return run
 
 
+def snapshot_batches(table: SnapshotTable) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function that upserts into a snapshot table: a batch rewrites the buckets it touches, and one that is run again changes nothing."""
+
+    def run(batch: DataFrame, number: int) -> None:
+        table.upsert(batch, batch=number)
+
+    return run
+
+
+def drained(stream: DataFrame, batches: Callable[[DataFrame, int], None], state: str) -> None:
+    """Run a stream's input at hand through a foreachBatch function; `state` is its checkpoint folder."""
+    query = stream.writeStream.foreachBatch(batches).option("checkpointLocation", state).trigger(availableNow=True).start()
+    query.awaitTermination()
+
+
 def finished(stream: DataFrame, mode: str = "append") -> DataFrame:
     """What a stream gives for the input at hand: it runs until that is used up, into the shared folder, and is read from there."""
     spark = stream.sparkSession
