@@ -13,6 +13,7 @@ from pyspark.sql.types import ArrayType, BooleanType, DoubleType, IntegerType, S
 
 #: What a label is, what a number is, and where shapes begin.
 LABEL_CHARS, NUMERIC_SHARE, NUMERIC_BODY = 40, 0.6, 0.55
+SEPARATOR = "；"
 NUMERIC = re.compile(r"[\d.,%￥$¥+-]")
 MODEL = StructType(
     [
@@ -24,12 +25,23 @@ MODEL = StructType(
 
 @dataclass
 class Grid:
-    """The cells of a table, spans filled with what they cover."""
+    """The cells of a table, spans filled with what they cover; `given` has each row's own cells, as (text, columns it spans)."""
 
     rows: list[list[str]] = field(default_factory=list)
     headers: int = 0
     nested: bool = False
     status: str = "ok"
+    given: list[list[tuple[str, int]]] = field(default_factory=list)
+    captions: list[str] = field(default_factory=list)
+    notes: list[str] = field(default_factory=list)
+
+    @property
+    def own(self) -> list[list[tuple[str, int]]]:
+        return self.given or [[(c, 1) for c in row] for row in self.rows]
+
+    def texts(self, row: int) -> list[str]:
+        """What is in a row's own cells."""
+        return [c.strip() for c, _ in self.own[row] if c.strip()]
 
 
 class Reader(HTMLParser):
@@ -105,7 +117,7 @@ def from_html(html: str) -> Grid:
         return Grid(headers=reader.headers, nested=reader.nested, status="empty")
     width = max(c for _, c in filled) + 1
     grid = [[filled.get((r, c), "") for c in range(width)] for r in range(len(reader.rows))]
-    return Grid(grid, reader.headers, reader.nested)
+    return Grid(grid, reader.headers, reader.nested, given=[[(text, across) for text, _, across in row] for row in reader.rows])
 
 
 def from_rows(rows: list[list[str]]) -> Grid:
@@ -126,56 +138,56 @@ def mostly_numeric(text: str) -> bool:
 
 
 def label_like(text: str) -> bool:
-    return 0 < len(text.strip()) <= LABEL_CHARS and not mostly_numeric(text)
+    return 0 < len("".join(text.split())) <= LABEL_CHARS and not mostly_numeric(text)
 
 
-def section_rows(grid: list[list[str]]) -> list[int]:
-    """Rows with one text only, short, over a row that is clearly longer."""
+def section_rows(model: Grid) -> list[int]:
+    """Rows whose one text is a title: short, in a cell of its own or one that spans the table, over a row with clearly more text. A table of one column has none."""
+    width = max(map(len, model.rows), default=0)
+    said = [SEPARATOR.join(model.texts(i)) for i in range(len(model.own))]
     out = []
-    for i, row in enumerate(grid[:-1]):
-        texts = {c for c in row if c.strip()}
-        if len(texts) == 1 and len(row) > 1:
-            own = len(next(iter(texts)))
-            below = sum(len(c) for c in dict.fromkeys(grid[i + 1]))
-            if own <= LABEL_CHARS and below > max(12, 1.5 * own) and len({c for c in grid[i + 1] if c.strip()}) > 1:
+    for i, cells in enumerate(model.own[:-1]):
+        filled = [(text.strip(), across) for text, across in cells if text.strip()]
+        if width > 1 and len(filled) == 1:
+            (title, across), below = filled[0], len(said[i + 1])
+            alone = len(cells) == 1 or across >= width
+            if alone and len(title) <= LABEL_CHARS and below > max(12, int(len(title) * 1.5)):
                 out.append(i)
     return out
 
 
-def pair_rows(grid: list[list[str]]) -> list[int]:
-    """Rows that alternate labels and values."""
-    out = []
-    for i, row in enumerate(grid):
-        cells = [c for c in row if c.strip()]
-        if len(cells) >= 2 and len(cells) % 2 == 0 and all(label_like(c) for c in cells[::2]) and any(len(b) > len(a) or mostly_numeric(b) for a, b in zip(cells[::2], cells[1::2], strict=True)):
-            out.append(i)
-    return out
+def pairs_of(model: Grid, row: int) -> list[tuple[str, str]]:
+    """A row's labels and values in turn; none if a label doesn't look like one, or a text is left over."""
+    texts = model.texts(row)
+    labels, values = texts[::2], texts[1::2]
+    return list(zip(labels, values, strict=True)) if len(labels) == len(values) and all(map(label_like, labels)) else []
+
+
+def pair_rows(model: Grid) -> list[int]:
+    """Rows of pairs, up to the first section."""
+    end = min(section_rows(model), default=len(model.own))
+    return [i for i in range(end) if pairs_of(model, i)]
 
 
 def numeric_body(grid: list[list[str]]) -> float:
-    cells = [c for row in grid[1:] for c in row[1:] if c.strip()]
+    cells = [c for row in grid[1:] for c in row[1:] if c]
     return sum(map(mostly_numeric, cells)) / len(cells) if cells else 0.0
 
 
 def shape(model: Grid) -> tuple[str, float]:
-    """The kind of table and how sure that is; the first that fits."""
-    grid = model.rows
-    if model.nested or not grid:
-        return "complex", 0.45 if model.nested else 0.0
-    sections, keyed = section_rows(grid), pair_rows(grid)
-    if sections and keyed:
-        return "sectioned_key_value", 0.95 if len(keyed) + len(sections) >= len(grid) - 1 else 0.82
-    widths = {sum(bool(c.strip()) for c in row) for row in grid}
-    stable = len(widths) == 1 and min(widths) > 1
-    if stable and len(grid[0]) >= 3 and len(grid) >= 2 and numeric_body(grid) >= NUMERIC_BODY:
-        return "matrix", 0.86
-    if stable and len(grid) >= 2 and all(label_like(c) for c in grid[0]) and len(grid[0]) > 2:
-        return "record_table", 0.9 if model.headers else 0.72
-    if len(keyed) * 2 >= len(grid):
-        return "key_value", 0.78
-    if stable and len(grid) >= 2:
-        return "record_table", 0.9 if model.headers else 0.72
-    return "complex", 0.5
+    """The kind of table and how sure that is: the first of these that holds."""
+    grid, sections, keyed = model.rows, section_rows(model), pair_rows(model)
+    widths = {n for row in grid if (n := sum(map(bool, row)))}
+    even = len(widths) == 1
+    rules = [
+        (model.status != "ok" or not grid, "complex", 0.0),
+        (model.nested, "complex", 0.45),
+        (bool(sections), "sectioned_key_value", 0.95 if keyed else 0.82),
+        (even and max(map(len, grid), default=0) >= 3 and numeric_body(grid) >= NUMERIC_BODY, "matrix", 0.86),
+        (even and len(grid) >= 2, "record_table", 0.9 if model.headers else 0.72),
+        (len(keyed) >= max(1, len(grid) // 2), "key_value", 0.78),
+    ]
+    return next(((kind, sure) for holds, kind, sure in rules if holds), ("complex", 0.5))
 
 
 def linearize(grid: list[list[str]], captions: list[str] | None = None, notes: list[str] | None = None) -> str:
@@ -184,26 +196,34 @@ def linearize(grid: list[list[str]], captions: list[str] | None = None, notes: l
     return "\n".join(lines + ([f"表注：{'；'.join(notes)}"] if notes else []))
 
 
+def listed(pairs: list[tuple[str, str]]) -> str:
+    return SEPARATOR.join(f"{a}：{b}" for a, b in pairs if a or b)
+
+
 def units(model: Grid) -> list[str]:
-    """The texts that a table is searched by: rows under their header, pairs under their section and the first pair."""
+    """The texts that a table is searched by, each under the caption: rows under their header; all pairs; the pairs before the first section, and each section's content under them; or rows by number. Notes are one more. A table without any is its linear text."""
     kind, _ = shape(model)
-    grid, out = model.rows, []
-    if kind in ("record_table", "matrix"):
-        out = ["\n".join(("\t".join(grid[0]), "; ".join(f"{h}: {c}" for h, c in zip(grid[0], row, strict=True) if c))) for row in grid[1:]]
-    elif kind in ("key_value", "sectioned_key_value"):
-        section, anchor = "", ""
-        sections = set(section_rows(grid))
-        for i, row in enumerate(grid):
-            cells = list(dict.fromkeys(c for c in row if c.strip()))
-            if i in sections:
-                section = cells[0]
-                continue
-            text = "; ".join(f"{a}: {b}" for a, b in zip(cells[::2], cells[1::2], strict=False)) or " ".join(cells)
-            out.append("\n".join(x for x in (anchor, section, text) if x))
-            anchor = anchor or text
+    top = [f"表题：{'；'.join(model.captions)}"] if model.captions else []
+    out: list[list[str]] = []
+    if kind == "sectioned_key_value":
+        starts = section_rows(model)
+        anchor = listed([p for i in range(starts[0]) for p in pairs_of(model, i)])
+        out.append([anchor])
+        for at, end in zip(starts, [*starts[1:], len(model.own)], strict=True):
+            inside = SEPARATOR.join(x for i in range(at + 1, end) if (x := SEPARATOR.join(model.texts(i))))
+            out.append([anchor, f"{SEPARATOR.join(model.texts(at))}：{inside}"] if inside else [])
+    elif kind == "key_value":
+        out.append([listed([p for i in range(len(model.own)) for p in pairs_of(model, i)])])
+    elif kind in ("record_table", "matrix"):
+        header, *body = model.rows
+        line = "\t".join(h for h in header if h)
+        out += [[line, said] for row in body if (said := listed(list(zip(header, row, strict=True))))] or [[SEPARATOR.join(h for h in header if h)]]
     else:
-        out = ["\t".join(row) for row in grid if any(c.strip() for c in row)]
-    return list(dict.fromkeys(x for x in out if x.strip()))
+        out += [[f"第{i + 1}行：{SEPARATOR.join(x)}"] for i in range(len(model.own)) if (x := model.texts(i))]
+    if model.notes:
+        out.append([f"表注：{'；'.join(model.notes)}"])
+    texts = ["\n".join(x for x in [*top, *parts] if x.strip()) for parts in out if any(x.strip() for x in parts)]
+    return list(dict.fromkeys(texts)) or [linearize(model.rows, model.captions, model.notes)]
 
 
 @F.pandas_udf(MODEL)

@@ -21,7 +21,8 @@ SUFFIXES = ("pdf", "docx", "doc", "pptx", "ppt", "xlsx", "xls", "md", "markdown"
 MOST_BYTES = 100 * 1024 * 1024
 PDF, ZIP, OLE = "25504446", "504B0304", "D0CF11E0A1B11AE1"
 OFFICE = {"word/": "docx", "ppt/": "pptx", "xl/": "xlsx"}
-ILLEGAL = re.compile(r'[\x00-\x1f\x7f<>:"/\\|?*]+')
+#: What a name may not have: anything but word characters, CJK characters and a few signs.
+REFUSED = re.compile(r"[^\w.()\-\u4e00-\u9fff ]+")
 
 
 def scan(spark: SparkSession, path: str, suffixes: tuple[str, ...] = SUFFIXES, most: int = MOST_BYTES) -> DataFrame:
@@ -64,14 +65,14 @@ def content_kind(content: Column | str) -> Column:
 
 
 def safe_name(name: str, most_bytes: int = 200) -> str:
-    """A file's name without folders and characters that a file system may refuse; a long stem is cut at a character."""
-    plain = unicodedata.normalize("NFKC", name.replace("\\", "/").rsplit("/", 1)[-1])
-    plain = " ".join(ILLEGAL.sub("_", plain).split()).strip(" .")
+    """A file's name without folders: letters, digits, `_`, `.`, `-`, brackets and blanks, other runs as one `_`; the suffix in lower case. Stem and suffix together have `most_bytes` at most, cut at a character."""
+    base = name.rstrip("/").rsplit("/", 1)[-1]
+    plain = REFUSED.sub("_", unicodedata.normalize("NFKC", base).replace("\0", ""))
+    plain = re.sub(" +", " ", plain).strip(" .") or "upload"
     stem, dot, suffix = plain.rpartition(".")
-    if not dot:
-        stem, suffix = plain, ""
-    stem = stem.encode()[:most_bytes].decode("utf-8", "ignore").strip() or "file"
-    return f"{stem}.{suffix.lower()}" if suffix else stem
+    stem, suffix = (stem, dot + suffix.lower()) if stem else (plain, "")
+    room = max(1, most_bytes - len(suffix.encode()))
+    return (stem.encode()[:room].decode("utf-8", "ignore") or "upload") + suffix
 
 
 @F.pandas_udf(StringType())

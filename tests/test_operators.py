@@ -166,6 +166,15 @@ def test_context(spark):
     assert [(r["q"], r["role"], r["node_id"], r["support"]) for r in out] == [(1, "parent", "p", 2), (1, "child", "z", 1), (2, "child", "c0", 1), (2, "neighbor", "c1", 1), (3, "child", "z", 1)]
     tight = context.assemble(picked, context.load_nodes(picked, nodes, "q"), "q", budget=80).filter("q = 1").orderBy("slot").collect()
     assert [(r["role"], r["nodes"]) for r in tight] == [("window", 2)]
+    alone = spark.createDataFrame([(1, "c2", 1)], "q int, node_id string, rank long")
+
+    def beside(**limits):
+        return [(r["role"], r["node_id"]) for r in context.assemble(alone, context.load_nodes(alone, nodes, "q"), "q", **limits).orderBy("slot").collect()]
+
+    assert beside() == [("child", "c2"), ("neighbor", "c1")] and beside(neighbors=2) == [("child", "c2"), ("neighbor", "c1"), ("neighbor", "c3")] and beside(neighbors=0) == [("child", "c2")]
+    longer = nodes.withColumn("token_count", F.when(F.col("node_id") == "c1", 4000).otherwise(F.col("token_count")))
+    nodes = longer  # the sibling before it doesn't fit: the one behind it is tried
+    assert beside(budget=100) == [("child", "c2"), ("neighbor", "c3")]
     runs = context.islands(spark.createDataFrame([(1, p) for p in (1, 2, 3, 7, 9, 10)], "q int, p int"), ["q"], "p")
     assert sorted((r["first"], r["last"]) for r in runs.collect()) == [(1, 3), (7, 7), (9, 10)]
 
@@ -249,9 +258,24 @@ def test_tables():
     assert tables.shape(g) == ("matrix", 0.86)
     assert tables.from_html("<p>none</p>").status == "invalid_html" and tables.shape(tables.from_html("<table><tr><td><table></table></td></tr></table>"))[0] == "complex"
     record = tables.from_rows([["Name", "Role", "City"], ["Ann", "Lead of it", "Rome"], ["Bo", "Dev", "Oslo"]])
-    assert tables.shape(record)[0] == "record_table" and tables.units(record)[0] == "Name\tRole\tCity\nName: Ann; Role: Lead of it; City: Rome"
+    assert tables.shape(record)[0] == "record_table" and tables.units(record)[0] == "Name\tRole\tCity\nName：Ann；Role：Lead of it；City：Rome"
     pair = tables.from_rows([["Phone", "123-456-789"], ["Name", "A longer value"]])
-    assert tables.shape(pair)[0] == "key_value"
+    assert tables.shape(pair) == ("record_table", 0.72)  # rows of one width are records before they are pairs
+    pair = tables.from_rows([["Phone", "123-456-789"], ["Name", "A longer value", "City", "Rome"]])
+    assert tables.shape(pair) == ("key_value", 0.78) and tables.units(pair) == ["Phone：123-456-789；Name：A longer value；City：Rome"]
+    html = "<table><tr><td>Name</td><td>Ann</td></tr><tr><td colspan=2>Duties</td></tr><tr><td colspan=2>Leads the team of twelve and plans its work</td></tr></table>"
+    parted = tables.from_html(html)
+    assert tables.section_rows(parted) == [1] and tables.shape(parted) == ("sectioned_key_value", 0.95)
+    assert tables.units(parted) == ["Name：Ann", "Name：Ann\nDuties：Leads the team of twelve and plans its work"]
+    bare = tables.from_html(html.replace("<tr><td>Name</td><td>Ann</td></tr>", ""))
+    assert tables.shape(bare) == ("sectioned_key_value", 0.82)  # a title that spans the table, without any pair
+    assert tables.section_rows(tables.from_html("<table><tr><td>Duties</td><td></td></tr><tr><td>Leads the team of twelve</td><td>x</td></tr></table>")) == []  # a cell beside it, and no span
+    first = tables.from_html("<table><tr><td colspan=2>Duties</td></tr><tr><td>Leads the team of twelve</td><td>and plans</td></tr></table>")
+    assert tables.shape(first) == ("sectioned_key_value", 0.82)
+    odd = tables.from_rows([["a", "", "b"], ["c", "d", "e"], ["x"]])
+    assert tables.shape(odd) == ("key_value", 0.78)  # one row of pairs in three is enough
+    odd = tables.from_rows([["1", "", "2"], ["c", "d", "e"], ["x"]])
+    assert tables.shape(odd) == ("complex", 0.5) and tables.units(odd)[0] == "第1行：1；2"
     assert tables.from_text("a | b\nc | d").rows == [["a", "b"], ["c", "d"]] and tables.linearize([["a", "b"]], ["T"]) == "表题：T\na\tb"
 
 
@@ -291,7 +315,9 @@ def test_files(spark, tmp_path):
     (tmp_path / "c.exe").write_bytes(b"MZ")
     out = {r["filename"]: (r["status"], r["file_size"]) for r in files.scan(spark, str(tmp_path)).collect()}
     assert out == {"a.txt": ("ok", 5)}  # Spark's reader leaves empty files out
-    assert files.safe_name("../x/ａ<b>:  c .PDF") == "a_b_ c.pdf" and len(files.safe_name("é" * 300 + ".txt").encode()) <= 204
+    assert files.safe_name("../x/ａ<b>:  c .PDF") == "a_b_ c .pdf" and len(files.safe_name("é" * 300 + ".txt").encode()) == 200
+    assert files.safe_name("a&b#c$.pdf") == "a_b_c_.pdf" and files.safe_name("...") == "upload" == files.safe_name("a/..") and files.safe_name("x\\y\tz\0.TXT") == "x_y_z.txt"
+    assert len(files.safe_name("n" * 300)) == 200 and files.safe_name("报告 (1).docx") == "报告 (1).docx"
     kinds = spark.createDataFrame([(b"%PDF-1",), (archive({"word/x": ""}),), (b"ok",), (b"\x00\x01",)], "c binary").select(files.content_kind("c").alias("k"))
     assert [r["k"] for r in kinds.collect()] == ["pdf", "docx", "text", "unknown"]
     assert files.sanitize({"api_key": "x", "u": "http://a:b@c", "l": [{"d": {"e": {"f": 1}}}]}) == {"api_key": "[REDACTED]", "u": "http://[REDACTED]@c", "l": [{"d": {"e": {"f": "[TRUNCATED]"}}}]}
