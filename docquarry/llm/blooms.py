@@ -9,9 +9,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 
-def filter_bits(rows: int, per_row: int, least: int, most: int) -> int:
-    """A power of two of about `per_row` bits a row, between the bounds (which are powers of two)."""
-    return min(most, max(least, 1 << (rows * per_row).bit_length()))
+def filter_bits(keys: int, per_key: int, least: int, most: int) -> int:
+    """A power of two of about `per_key` bits a key, between the bounds (which are powers of two)."""
+    return min(most, max(least, 1 << (keys * per_key).bit_length()))
 
 
 def places(keys: list[bytes], bits: int) -> np.ndarray:

@@ -32,11 +32,11 @@ class LineConfig:
     #: A key is compared when it has so many code points, and dropped when so many documents hold it.
     least_chars: int = 20
     least_docs: int = 3
-    #: Bits of each of the two filters: a power of two of about so many a row, between these bounds (32 MB at most: a
-    #: proven bound of what is broadcast); parts they are merged in.
-    bits_per_row: int = 64
+    #: Bits of each of the two filters: a power of two of about so many a line that is long enough, between these bounds
+    #: (64 MB at most: a proven bound of what is broadcast, filled at 30 million lines); parts they are merged in.
+    bits_per_key: int = 16
     least_bits: int = 1 << 20
-    most_bits: int = 1 << 28
+    most_bits: int = 1 << 29
     slices: int = 1024
     #: Parts that a repeated key's documents are dealt into.
     salts: int = 16
@@ -68,9 +68,16 @@ def narrow(docs: DataFrame) -> DataFrame:
     return docs.select(whole_id(), F.col("text").cast("binary").alias("__dq_text"))
 
 
+def lines_at_most(docs: DataFrame, least: int) -> int:
+    """No fewer lines than those that are long enough to be compared: by line ends, and by how many of them fit into a text."""
+    size = F.octet_length("text")
+    ends = size - F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
+    return docs.agg(F.sum(F.least(ends, F.floor(size / least)).cast("long"))).first()[0] or 0
+
+
 def drops(docs: DataFrame, config: LineConfig = LineConfig()) -> DataFrame:
     """__dq_id and __dq_drop: for each document that loses lines, the digests of their keys."""
-    bits, least = filter_bits(docs.count(), config.bits_per_row, config.least_bits, config.most_bits), config.least_chars
+    bits, least = filter_bits(lines_at_most(docs, config.least_chars), config.bits_per_key, config.least_bits, config.most_bits), config.least_chars
     twice = twice_seen(narrow(docs), 1, lambda text: digests(text, least), bits, config.slices)
     shared = docs.sparkSession.sparkContext.broadcast(twice)
 

@@ -41,10 +41,10 @@ class MediaConfig:
     least: int = 512
     most: int = 8192
     zeros: int = 11
-    #: Bits of the filters are a power of two of about so many a row, between these bounds (32 MB at most).
-    bits_per_row: int = 16
+    #: Bits of the filters are a power of two of about so many a chunk, between these bounds (64 MB at most, filled at 30 million chunks).
+    bits_per_chunk: int = 16
     least_bits: int = 1 << 20
-    most_bits: int = 1 << 28
+    most_bits: int = 1 << 29
     slices: int = 1024
 
 
@@ -108,8 +108,9 @@ def samples_of(form: bytes) -> bytes:
 
 def store(docs: DataFrame, config: MediaConfig = MediaConfig()) -> tuple[DataFrame, DataFrame]:
     """The media table (doc_id, n_bytes, media, digests, parts: null for those in the chunk table) and the chunk table (digest, samples), written to the shared folder."""
-    rows = docs.count()
-    bits = filter_bits(rows, config.bits_per_row, config.least_bits, config.most_bits)
+    # a chunk has `least` bytes and 2**zeros more on average; what is left of a text is one more
+    about = docs.agg(F.sum(1 + F.floor(F.coalesce(F.octet_length("text"), F.lit(0)) / (config.least + (1 << config.zeros))))).first()[0] or 0
+    bits = filter_bits(int(about), config.bits_per_chunk, config.least_bits, config.most_bits)
     frame = text_bytes(docs, "doc_id")
     twice = twice_seen(frame, 1, lambda text: map(digest, chunks(payload_of(text, config.frame), config)), bits, config.slices)
     shared = docs.sparkSession.sparkContext.broadcast(twice)

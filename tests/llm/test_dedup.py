@@ -1,14 +1,16 @@
 """SimHash links, line dedup and multiset fingerprints against brute force."""
 
 import hashlib
+import random
 import re
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
-from docquarry.llm import fingerprint, linededup, simhash, similar
+from docquarry.llm import blooms, fingerprint, linededup, media, simhash, similar
 from docquarry.llm.components import components
 from tests.llm.helpers import empty, pairs, table
 
@@ -224,3 +226,25 @@ def test_likeness_follows_the_share_of_equal_windows():
     half = fingerprint.vector("\n".join(lines[:150] + [" ".join(f"u{x}" for x in rng.integers(0, 9999, 12)) for _ in range(50)]).encode())
     other = fingerprint.vector("\n".join(" ".join(f"v{x}" for x in rng.integers(0, 9999, 12)) for _ in range(200)).encode())
     assert a.like(half) > 0.5 and a.like(other) < 0.3
+
+
+@pytest.mark.parametrize("lines", [5, 40, 400])
+def test_few_lone_lines_are_suspected_however_many_a_document_has(spark, lines):
+    """The filters are sized by lines: of lines that stand alone, under a twentieth reach the shuffle."""
+    docs = spark.range(1, 40_000 // lines).select(F.col("id").alias("doc_id"), F.array_join(F.transform(F.sequence(F.lit(1), F.lit(lines)), lambda k: F.concat(F.lit("a line of its own, number "), F.col("id"), F.lit(" "), k)), "\n").alias("text"))
+    config = linededup.LineConfig(least_bits=1 << 10)
+    bits = blooms.filter_bits(linededup.lines_at_most(docs, 20), config.bits_per_key, config.least_bits, config.most_bits)
+    twice = blooms.twice_seen(linededup.narrow(docs), 1, lambda text: linededup.digests(text, 20), bits, config.slices)
+    keys = [linededup.digest(f"a line of its own, number {i} {k}".encode()) for i in range(1, 40_000 // lines) for k in range(1, lines + 1)]
+    assert blooms.suspected(keys, twice, bits).mean() < 0.05
+
+
+@pytest.mark.parametrize("size", [1_000, 100_000])
+def test_few_lone_chunks_are_suspected_however_long_a_text_is(spark, size):
+    rng = random.Random(size)
+    texts = [rng.randbytes(size // 2).hex() for _ in range(2_000_000 // size)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    _, table = media.store(docs, media.MediaConfig(least_bits=1 << 8))
+    config = media.MediaConfig()
+    there = sum(len(media.chunks(media.payload_of(t.encode(), config.frame), config)) for t in texts)
+    assert table.count() < 0.05 * there + 2
