@@ -73,7 +73,9 @@ def cycle_nodes(nodes: DataFrame, ident: str, parent: str) -> DataFrame:
     for _ in range(rounds):
         step = now.select(F.col("id").alias("__id"), F.col("up").alias("__up"))
         now = now.join(step, now["up"] == step["__id"], "left").select("id", F.when(F.col("up").isNotNull(), F.col("__up")).alias("up"))
-        now = checkpointed(now)
+        now = checkpointed(now.filter("up IS NOT NULL"))  # what has come to a root is done
+        if now.isEmpty():
+            break
     return now.filter("up IS NOT NULL").select(F.col("id").alias(ident))
 
 
