@@ -18,6 +18,7 @@ from docquarry.functions import text as T
 from docquarry.functions import vectors as V
 from docquarry.operators import evaluation as E
 from docquarry.operators import fusion as U
+from docquarry.operators import passages as PA
 from docquarry.operators import postings as P
 from docquarry.operators import search as S
 from docquarry.operators import vectorindex as VI
@@ -157,13 +158,8 @@ WITH asked AS (SELECT DISTINCT query_id, unnest(regexp_extract_all(lower(text),
 scored AS (SELECT query_id, doc_id, sum((length(b) - length(replace(b, term, ''))) // length(term))::BIGINT AS score FROM asked, (SELECT doc_id, lower(text) AS b FROM documents) GROUP BY ALL),
 top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM scored WHERE score > 0) SELECT query_id, doc_id, score, rank FROM top WHERE rank <= 10""")
 def term_count_search(t: Tables) -> DataFrame:
-    # Only the query terms' lists travel: they are a stated set, so each document counts all of them in one pass.
-    asked = t.benchmark.select(F.col("item_id").alias("query_id"), F.explode(F.array_distinct(T.terms("text"))).alias("term"))
-    lists = [(r["query_id"], sorted(r["terms"])) for r in asked.groupBy("query_id").agg(F.collect_set("term").alias("terms")).collect()]
-    table = F.array(*[F.struct(F.lit(q).cast("long").alias("query_id"), F.array(*map(F.lit, terms)).alias("terms")) for q, terms in lists])
-    body = F.lower("text")
-    found = F.transform(table, lambda x: F.struct(x["query_id"].alias("query_id"), F.aggregate(x["terms"], F.lit(0).cast("long"), lambda s, w: s + S.occurrences(F.col("body"), w)).alias("score")))
-    scored = t.documents.select("doc_id", body.alias("body")).select("doc_id", F.inline(found)).filter("score > 0")
+    asked = t.benchmark.withColumnRenamed("item_id", "query_id")
+    scored = PA.counted_terms(t.documents, "doc_id", "text", asked, "query_id", "text")
     return S.top_hits(scored, "query_id", "doc_id", 10).select("query_id", "doc_id", "score", "rank")
 
 
@@ -293,9 +289,7 @@ def candidate_fold(t: Tables) -> DataFrame:
 
 @query("exact_match_flag", f"SELECT b.item_id, d.doc_id FROM benchmark b, documents d WHERE {EXACT_SQL.format(q='b.text', c='d.text')}")
 def exact_match_flag(t: Tables) -> DataFrame:
-    # A stated set of whole passages, sent to all documents.
-    asked = t.benchmark.select("item_id", F.col("text").alias("q"))
-    return t.documents.join(asked, U.exact_match("q", "text")).select("item_id", "doc_id")
+    return PA.exact_passages(t.documents, "doc_id", "text", t.benchmark, "item_id", "text")
 
 
 @query("shingle_jaccard", r"""
