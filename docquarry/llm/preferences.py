@@ -24,6 +24,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docquarry.llm.common import materialize
+
 TURN = "struct<role: string, text: string>"
 
 
@@ -52,20 +54,33 @@ def opening(turns: Column) -> Column:
 
 
 def pairs_by_prompt(talks: DataFrame, config: ChatConfig = ChatConfig()) -> DataFrame:
-    """chosen_id, rejected_id, chosen, rejected (their turns), of `conversations`."""
-    talks = talks.withColumn("group", opening(F.col("turns"))).withColumn("at", F.coalesce(F.col("conv_id").cast("long"), F.lit(-(2**63))))
-    sizes = talks.groupBy("group").agg(F.count("*").alias("members"), F.min("at").cast("double").alias("lo"), F.max("at").cast("double").alias("hi")).filter("members > 1")
-    width = (F.col("hi") - F.col("lo") + 1) / F.ceil(F.col("members") / config.slice_size)
-    sized = talks.join(sizes, "group").withColumn("slice", F.floor((F.col("at") - F.col("lo")) / width))
-    own = F.struct("conv_id", "turns")
-    linked = sized.withColumn("next", F.lead(own).over(Window.partitionBy("group", "slice").orderBy("at")))
-    heads = sized.groupBy("group", "slice").agg(F.min_by(own, "at").alias("head"))
-    after = heads.select("group", "slice", F.lead("head").over(Window.partitionBy("group").orderBy("slice")).alias("after"))
-    out = linked.join(after, ["group", "slice"]).withColumn("other", F.coalesce("next", "after")).filter("other IS NOT NULL")
-    swap = assistant_chars(F.col("other.turns"), config) > assistant_chars(F.col("turns"), config)
-    first, second = F.when(swap, F.col("other")).otherwise(own), F.when(swap, own).otherwise(F.col("other"))
-    out = out.select(first.alias("a"), second.alias("b"))
-    return out.select(F.col("a.conv_id").alias("chosen_id"), F.col("b.conv_id").alias("rejected_id"), F.col("a.turns").alias("chosen"), F.col("b.turns").alias("rejected"))
+    """chosen_id, rejected_id, chosen, rejected (their turns), of `conversations`: each with the next one, by conv_id (null first), that opens alike.
+
+    The chain is made of ids alone. They are sorted over all tasks by group and id (ranges that Spark takes from the
+    ids as they are, so neither a far-off id nor a null one makes a long range), each range links its own, and the first
+    of a group's range follows the last of the range before. Turns join the finished pairs.
+    """
+    named = materialize(talks.withColumn("group", opening(F.col("turns"))).withColumn("none", F.col("conv_id").isNull()))
+    own = F.struct("none", "conv_id", "said")
+    narrow = named.select("group", "none", "conv_id", assistant_chars(F.col("turns"), config).alias("said"))
+    parts = max(1, -(-narrow.count() // config.slice_size))
+    order = ["group", F.desc("none"), "conv_id"]
+    laid = materialize(narrow.repartitionByRange(parts, *order).withColumn("slice", F.spark_partition_id()))
+    inside = Window.partitionBy("group", "slice").orderBy(F.desc("none"), "conv_id")
+    heads = laid.groupBy("group", "slice").agg(F.min_by(own, F.struct(~F.col("none"), "conv_id")).alias("head"))
+    after = heads.select("group", "slice", F.lead("head").over(Window.partitionBy("group").orderBy("slice")).alias("after"))  # a row for each range
+    linked = laid.withColumn("next", F.lead(own).over(inside)).join(after, ["group", "slice"]).withColumn("other", F.coalesce("next", "after")).filter("other IS NOT NULL")
+    swap = F.col("other.said") > F.col("said")
+    pairs = linked.select(F.when(swap, F.col("other")).otherwise(own).alias("a"), F.when(swap, own).otherwise(F.col("other")).alias("b"))
+    pairs = pairs.select(F.col("a.none").alias("a_none"), F.col("a.conv_id").alias("chosen_id"), F.col("b.none").alias("b_none"), F.col("b.conv_id").alias("rejected_id"))
+
+    def side(name: str, ident: str, none: str) -> DataFrame:
+        return named.select(F.coalesce("conv_id", F.lit(0).cast(named.schema["conv_id"].dataType)).alias(f"__{ident}"), F.col("none").alias(none), F.col("turns").alias(name))
+
+    out = pairs
+    for name, ident, none in (("chosen", "chosen_id", "a_none"), ("rejected", "rejected_id", "b_none")):
+        out = out.withColumn(f"__{ident}", F.coalesce(ident, F.lit(0).cast(named.schema["conv_id"].dataType))).join(side(name, ident, none), [f"__{ident}", none])
+    return out.select("chosen_id", "rejected_id", "chosen", "rejected")
 
 
 def assistant_chars(turns: Column, config: ChatConfig) -> Column:

@@ -257,6 +257,17 @@ def test_unigram_search_finds_the_best_path():
         assert tuple(found.string(t) for t in path) == best(word) == tuple(found.string(t) for t in found.walked(word))
 
 
+def test_null_and_far_ids_leave_the_chain_in_even_parts(spark):
+    ids = [None, 10**15, -(10**15), *range(3000)]
+    rows = [(i, k, role, text, 0, "g") for i in ids for k, (role, text) in enumerate([("user", "the same question"), ("assistant", f"answer {i}")])]
+    talks = preferences.conversations(chat(spark, rows))
+    out = preferences.pairs_by_prompt(talks, preferences.ChatConfig(slice_size=200)).collect()
+    order = sorted(ids, key=lambda i: (i is not None, i or 0))
+    assert sorted(({r["chosen_id"], r["rejected_id"]} for r in out), key=str) == sorted(({a, b} for a, b in zip(order, order[1:])), key=str)
+    narrow = talks.select("conv_id").repartitionByRange(16, F.col("conv_id"))
+    assert narrow.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0] < 600
+
+
 def test_mix_is_whole_and_near_its_targets(spark):
     rng = random.Random(4)
     rows = [(k, " ".join(words(rng, rng.randint(0, 80))), ["a", "b", "c", None, "d"][k % 5 if k % 3 else 0]) for k in range(600)] + [(7, "again here", "b"), (None, "no id", "b"), (601, None, "e")]
