@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from docquarry.sources.scratch import checkpointed
+
 #: Fixed value: the namespace of entity and fact ids.
 GRAPH_SPACE = uuid.UUID("0f4f8ac8-56af-57da-9b1f-ff6a10442383")
 
@@ -135,6 +137,32 @@ def paths(facts: DataFrame, starts: DataFrame, depth: int = 3) -> DataFrame:
     return reduce(DataFrame.unionByName, out).select("start", "target", "hops", F.array_join("nodes", ">").alias("path"))
 
 
+class GraphTooLarge(ValueError):
+    """A hop would give more rows than a query may; nothing of it was made."""
+
+
+def bounded_paths(facts: DataFrame, starts: DataFrame, depth: int = 3, most_rows: int = 10_000) -> DataFrame:
+    """`paths`, hop by hop: before each the rows that it would give are counted from the frontier's degrees (a hub counts with all its facts, a fact back to a node of the path as well), and if all together are over `most_rows` the query is refused.
+
+    Degrees are one aggregate over the facts. The frontier is never larger than `most_rows`, so a hop joins a bounded
+    table with the facts, however many facts there are.
+    """
+    if not 1 <= depth <= 3:
+        raise ValueError("GRAPH_PATH_DEPTH_INVALID")
+    edges = facts.select(F.col("subject").alias("target"), F.col("object").alias("__to"))
+    degrees = checkpointed(edges.groupBy("target").agg(F.count("*").alias("__degree")))
+    now = checkpointed(starts.select(F.col("entity_id").alias("start"), F.col("entity_id").alias("target"), F.array("entity_id").alias("nodes")))
+    made, out = 0, []
+    for hops in range(1, depth + 1):
+        ahead = now.join(degrees, "target").agg(F.coalesce(F.sum("__degree"), F.lit(0))).first()[0]
+        if made + ahead > most_rows:
+            raise GraphTooLarge(f"GRAPH_RESULT_TOO_LARGE: hop {hops} would make {made + ahead} rows of {most_rows}")
+        now = checkpointed(now.join(edges, "target").filter(~F.array_contains("nodes", F.col("__to"))).select("start", F.col("__to").alias("target"), F.concat("nodes", F.array("__to")).alias("nodes")))
+        made += now.count()
+        out.append(now.withColumn("hops", F.lit(hops).cast("long")))
+    return reduce(DataFrame.unionByName, out).select("start", "target", "hops", F.array_join("nodes", ">").alias("path"))
+
+
 def merge_entities(facts: DataFrame, moves: DataFrame) -> DataFrame:
     """Facts after entities were merged (moves: old, new): endpoints rewired, facts that became equal united, loops dropped."""
     old = moves.select("old", "new")
