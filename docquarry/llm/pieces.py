@@ -306,8 +306,8 @@ _SEARCHERS: dict[str, Searcher] = {}
 
 
 @contextmanager
-def searching(model: PieceModel) -> Iterator[Searcher]:
-    """A worker's searcher for a task. The model's tables stay; the words and pairs that it remembers go with the task, as workers live on and later stages need their memory."""
+def searching(model: PieceModel, keep: bool = False) -> Iterator[Searcher]:
+    """A worker's searcher for a task. The model's tables stay; the words and pairs that it remembers go with the task, as workers live on and later stages need their memory, unless they are to be kept for the next task."""
     if model.digest not in _SEARCHERS:
         _SEARCHERS.clear()
         _SEARCHERS[model.digest] = Searcher(model)
@@ -315,7 +315,8 @@ def searching(model: PieceModel) -> Iterator[Searcher]:
     try:
         yield own
     finally:
-        own.forget()
+        if not keep:
+            own.forget()
 
 
 #: Characters of the texts that are encoded together.
@@ -382,7 +383,7 @@ def round_trip(docs: DataFrame, model: PieceModel | None = None) -> DataFrame:
     shared = spark.sparkContext.broadcast(model or PieceModel.load())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        with searching(shared.value) as own:
+        with searching(shared.value, keep=True) as own:
             for batch in batches:
                 texts = batch.column(1).to_pylist()
                 for lo, hi in runs(texts):
