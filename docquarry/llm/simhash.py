@@ -180,13 +180,17 @@ def links(distinct: DataFrame, config: SimhashConfig = SimhashConfig()) -> DataF
     return first.filter("late = 0").select("u", "v").unionByName(again.select("u", "v"))
 
 
+def rooted(distinct: DataFrame, config: SimhashConfig = SimhashConfig()) -> DataFrame:
+    """`distinct` (column fp, each once) with root: a fingerprint that names the component."""
+    linked = components(links(distinct, config))
+    return materialize(distinct.join(linked, distinct["fp"] == linked["node"], "left").select(*distinct.columns, F.coalesce("root", "fp").alias("root")))
+
+
 def grouped(docs: DataFrame, config: SimhashConfig = SimhashConfig(), keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns `keep`, fp, root (a fingerprint that names the component) and component_id of every row."""
     prints = materialize(fingerprints(docs, config, keep))
     distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    linked = components(links(distinct, config))
-    named = distinct.join(linked, distinct["fp"] == linked["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = materialize(named)
+    named = rooted(distinct, config)
     heads = named.groupBy("root").agg(F.min("least").alias("component_id"))
     return prints.join(named.join(heads, "root").select("fp", "root", "component_id"), "fp").select(*keep, "fp", "root", "component_id")
 
