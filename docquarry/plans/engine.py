@@ -11,11 +11,12 @@ from docquarry.plans.registry import LINES, Tables, query
 
 
 def line_blocks(t: Tables) -> DataFrame:
-    """A document's first line is its root; some documents have parents that are gone, or two blocks that are each other's parent."""
+    """A document's first line is its root; some documents have parents that are gone, or (of three lines or more) two blocks that are each other's parent."""
     size, line = F.length("line"), F.col("line")
     first = Window.partitionBy("doc_id", F.lower(F.trim(line))).orderBy("ord")
-    b = B.lines_of(t.documents, "doc_id").withColumn("ord", F.col("ord").cast("long"))
-    parent = F.when(F.col("ord") == 0, None).when((F.col("doc_id") % 40 == 7) & (F.col("ord") % 6 == 5), "gone").when((F.col("doc_id") % 50 == 9) & (F.col("ord") == 1), "b2").when((F.col("doc_id") % 50 == 9) & (F.col("ord") == 2), "b1").otherwise("b0")
+    told = t.documents.withColumn("ring", (F.col("doc_id") % 50 == 9) & (F.regexp_count("text", F.lit("\n")) >= 2))  # b2 is there
+    b = B.lines_of(told, "doc_id", "ring").withColumn("ord", F.col("ord").cast("long"))
+    parent = F.when(F.col("ord") == 0, None).when((F.col("doc_id") % 40 == 7) & (F.col("ord") % 6 == 5), "gone").when(F.col("ring") & (F.col("ord") == 1), "b2").when(F.col("ring") & (F.col("ord") == 2), "b1").otherwise("b0")
     return b.select(
         "doc_id", F.col("ord").alias("block_order"), F.concat(F.lit("b"), "ord").alias("block_id"), parent.alias("parent_id"),
         F.when(F.col("ord") == 0, "document").when(size % 5 == 4, "heading").otherwise("paragraph").alias("kind"), line.alias("text"), F.floor(F.col("ord") / 8).alias("page"), (size % 4 + 1).alias("level"),

@@ -3,8 +3,10 @@
 import random
 import re
 
+import duckdb
 import pytest
 
+import docquarry.plans as plans
 from docquarry.operators import engine
 
 BLOCK = "doc long, block_order long, block_id string, parent_id string, kind string, text string, page long, level int, heading_path array<string>, confidence double, located boolean, again boolean"
@@ -156,3 +158,13 @@ def test_document_without_blocks(spark):
     issues, scored = engine.evaluate(spark.createDataFrame([], BLOCK), docs, "doc")
     assert {r["code"] for r in issues.collect()} == {"NO_VALID_TEXT", "CANONICAL_ROOT_INVALID"}
     assert scored.first()["decision"] == "rejected"
+
+
+def test_line_blocks_of_two_line_documents_match_the_sql(spark, tmp_path):
+    docs = {9: "one\ntwo", 59: "one\ntwo\nthree", 109: "one", 47: "a\nb\nc\nd\ne\nf", 10: "one\ntwo"}
+    spark.createDataFrame([(k, x, "s", len(x)) for k, x in docs.items()], "doc_id long, text string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    duck = duckdb.connect()
+    duck.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    for name in ("quality_engine",):
+        got = plans.QUERIES[name](spark, str(tmp_path))
+        assert sorted(map(tuple, got.collect())) == sorted(duck.sql(f"SELECT {', '.join(got.columns)} FROM ({plans.ORACLE[name]})").fetchall())
