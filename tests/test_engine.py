@@ -165,6 +165,8 @@ def test_line_blocks_of_two_line_documents_match_the_sql(spark, tmp_path):
     spark.createDataFrame([(k, x, "s", len(x)) for k, x in docs.items()], "doc_id long, text string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     duck = duckdb.connect()
     duck.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
-    for name in ("quality_engine",):
+    for name in ("quality_engine", "quality_engine_issues"):
         got = plans.QUERIES[name](spark, str(tmp_path))
         assert sorted(map(tuple, got.collect())) == sorted(duck.sql(f"SELECT {', '.join(got.columns)} FROM ({plans.ORACLE[name]})").fetchall())
+    codes = {(r["doc_id"], r["code"]) for r in plans.QUERIES["quality_engine_issues"](spark, str(tmp_path)).collect()}
+    assert (9, "ORPHAN_BLOCKS") not in codes and {(59, "BLOCK_PARENT_CYCLE"), (47, "ORPHAN_BLOCKS")} <= codes
