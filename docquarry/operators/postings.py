@@ -51,15 +51,15 @@ def standard(text: Column) -> Column:
 
 
 def folding(text: Column) -> Column:
-    """`standard` without marks on Latin letters."""
-    return standard(F.translate(F.lower(text), MARKED, UNMARKED))
+    """`standard` without marks on Latin letters. Letters become letters, so the words are those of `standard`."""
+    return F.transform(standard(text), lambda w: F.when(F.octet_length(w) == F.length(w), w).otherwise(F.translate(w, MARKED, UNMARKED)))
 
 
 def bigrams(text: Column) -> Column:
     """Lower-case words; a run of CJK characters as its pairs of neighbours."""
     runs = T.terms(text)
     pairs = F.transform(runs, lambda w: F.when((F.length(w) > 1) & F.rlike(w, F.lit(rf"^{T.CJK}+$")), F.transform(F.sequence(F.lit(1), F.greatest(F.length(w) - 1, F.lit(1))), lambda i: F.substring(w, i, F.lit(2)))).otherwise(F.array(w)))
-    return F.flatten(pairs)
+    return F.when(F.rlike(text, F.lit(T.CJK)), F.flatten(pairs)).otherwise(runs)
 
 
 @dataclass(frozen=True)
