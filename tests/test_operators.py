@@ -350,3 +350,11 @@ def test_embeddings(spark):
     assert math.isclose(sum(x * x for x in out[1]), 1) and not any(out[2])
     with pytest.raises(RuntimeError, match="RERANK_UNAVAILABLE"):
         files.unavailable("rerank")()
+
+
+def test_audits_move_no_texts(spark):
+    before = spark.createDataFrame([("d", 1, "a" * 50), ("d", 2, "b"), ("d", 3, None), ("d", 4, "x")], "d string, o long, t string")
+    after = spark.createDataFrame([("d", 1, "a" * 50), ("d", 2, "c"), ("d", 3, None), ("d", 5, "x")], "d string, o long, t string")
+    told = cleaning.audit(before, after, ["d", "o"], "t")
+    assert {r["o"]: r["change"] for r in told.collect()} == {1: "same", 2: "changed", 3: "same", 4: "removed", 5: "added"}
+    assert "sha2" in told._jdf.queryExecution().optimizedPlan().toString()
